@@ -160,3 +160,202 @@ def q_upsert_stats(spark, sf_dir):
 @register("run_summary", _SUMMARY_SQL)
 def q_run_summary(spark, sf_dir):
     return run_summary(upsert_scenario(spark, sf_dir).outcomes)
+
+
+# ================================================================= enrichment
+
+from ..functions.provider import map_company, map_person  # noqa: E402
+from ..operators.enrich import enrich_records  # noqa: E402
+from ..operators.keys import with_batches  # noqa: E402
+from ..operators.enrich import people_request_col  # noqa: E402
+from ..functions.text import has_value  # noqa: E402
+from .derived import duck_sql  # noqa: E402
+from .provider_fixtures import COMPANIES_SQL, PEOPLE_SQL, company_provider, people_provider  # noqa: E402
+
+P = S.DEFAULT_PREFIXES.person
+C = S.DEFAULT_PREFIXES.company
+
+
+def contacts(spark, sf_dir):
+    return dedupe_by_email(normalized_contacts(spark, sf_dir))[0]
+
+
+def _nz(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND {x} <> '' THEN trim({x}) END"
+
+
+def _flat(items: str) -> str:
+    return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL AND x <> ''), ', ')"
+
+
+def _person_d(a: str) -> dict[str, str]:
+    m = f"{a}.email IS NOT NULL"
+    d = {
+        S.FIRST: _nz(f"{a}.first_name"), S.LAST: _nz(f"{a}.last_name"), S.TITLE: _nz(f"{a}.title"),
+        S.EMAIL: _nz(f"{a}.new_email"), S.PERSON_LINKEDIN: _nz(f"{a}.linkedin_url"),
+        S.COUNTRY: _nz(f"{a}.country"), S.STATE: _nz(f"{a}.state"),
+        S.PERSON_PHONE: _nz(f"{a}.phone0"),
+        P + "Email Status": _nz(f"{a}.email_status"), P + "Headline": _nz(f"{a}.headline"),
+        P + "Seniority": _nz(f"{a}.seniority"),
+        P + "Departments": _flat(f"{a}.dept0, {a}.dept1"),
+        P + "Subdepartments": "NULL", P + "Functions": "NULL", P + "Photo URL": "NULL",
+        P + "Twitter URL": "NULL", P + "Github URL": "NULL", P + "Facebook URL": "NULL",
+        P + "Is Likely To Engage": f"CASE WHEN {a}.engage IS NULL THEN NULL WHEN {a}.engage THEN 'Yes' ELSE 'No' END",
+        P + "Current Org": _nz(f"{a}.hist_org"), P + "Current Role Start Date": _nz(f"{a}.hist_start"),
+    }
+    return {k: f"(CASE WHEN {m} THEN {v} END)" for k, v in d.items()}
+
+
+_ORG_COLS = [c for c, _ in map_company(F.lit(None))]
+
+
+def _emb_d(a: str) -> dict[str, str]:
+    m = f"({a}.email IS NOT NULL AND {a}.org_name <> '')"
+    d = {c: "NULL" for c in _ORG_COLS}
+    d.update({S.COMPANY: _nz(f"{a}.org_name"), S.INDUSTRY: _nz(f"{a}.org_industry"), S.LISTED: "'No'"})
+    return {k: f"(CASE WHEN {m} THEN {v} END)" for k, v in d.items()}
+
+
+def _org_d(a: str) -> dict[str, str]:
+    m = f"{a}.domain IS NOT NULL"
+    d = {c: "NULL" for c in _ORG_COLS}
+    d.update({
+        S.COMPANY: _nz(f"{a}.name"),
+        S.INDUSTRY: f"coalesce({_nz(a + '.industry')}, trim({a}.industry0))",
+        S.WEBSITE: f"'https://' || {a}.domain",
+        S.EMPLOYEES: f"CASE WHEN {a}.employees <> 0 THEN CAST({a}.employees AS VARCHAR) END",
+        S.COMPANY_PHONE: f"coalesce({_nz(a + '.phone')}, {_nz(a + '.account_phone')})",
+        S.ADDRESS: (f"CASE WHEN {a}.raw_address <> '' THEN {a}.raw_address "
+                    f"WHEN {a}.city <> '' OR {a}.ostate <> '' OR {a}.ocountry <> '' "
+                    f"THEN {_flat(f'{a}.city, {a}.ostate, {a}.ocountry')} END"),
+        S.LISTED: f"CASE WHEN {a}.symbol <> '' THEN 'Yes' ELSE 'No' END",
+        S.REVENUE: (f"CASE WHEN {a}.revenue <> '' AND coalesce(TRY_CAST({a}.revenue AS DOUBLE) <> 0, true) "
+                    f"THEN {a}.revenue WHEN {a}.annual_revenue <> '' AND "
+                    f"coalesce(TRY_CAST({a}.annual_revenue AS DOUBLE) <> 0, true) THEN {a}.annual_revenue END"),
+        C + "Primary Domain": _nz(f"{a}.domain"),
+        C + "Founded Year": f"CASE WHEN {a}.founded <> 0 THEN CAST({a}.founded AS VARCHAR) END",
+        C + "Keywords": _flat(f"{a}.kw0, {a}.kw1"),
+        C + "Public Ticker": _nz(f"{a}.symbol"),
+        C + "Department Headcount": (
+            f"nullif({_flat(f'CASE WHEN {a}.dept_sales <> 0 THEN ' + chr(39) + 'sales: ' + chr(39) + f' || CAST({a}.dept_sales AS VARCHAR) END, CASE WHEN {a}.dept_finance <> 0 THEN ' + chr(39) + 'finance: ' + chr(39) + f' || CAST({a}.dept_finance AS VARCHAR) END')}, '')"),
+    })
+    return {k: f"(CASE WHEN {m} THEN {v} END)" for k, v in d.items()}
+
+
+_CONTACT_COLS = [S.EMAIL, S.FIRST, S.LAST, S.COMPANY, S.WEBSITE, S.TITLE, S.PERSON_PHONE,
+                 S.COUNTRY, S.STATE, S.EMAIL_SEND, S.CLIENT_TYPE, S.LEAD_SOURCE]
+
+
+def _hv(x: str) -> str:
+    return f"({x} IS NOT NULL AND {x} <> '')"
+
+
+def _enrich_sql(people: bool, orgs: bool) -> str:
+    q = O.q
+    pers = {**_emb_d("p"), **{k: v for k, v in _person_d("p").items()}} if people else {}
+    if people:
+        emb, pd_ = _emb_d("p"), _person_d("p")
+        pers = {}
+        for c in list(emb) + [k for k in pd_ if k not in emb]:
+            parts = [x for x in (emb.get(c), pd_.get(c)) if x is not None]
+            pers[c] = parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
+    org = _org_d("o") if orgs else {}
+
+    def orig(c):
+        return f"c.{q(c)}" if c in _CONTACT_COLS else "CAST(NULL AS VARCHAR)"
+
+    people_val = {c: f"(CASE WHEN {_hv(v)} THEN {v} ELSE coalesce({orig(c)}, '') END)" for c, v in pers.items()}
+    final = {}
+    for c in list(dict.fromkeys(list(people_val) + list(org))):
+        p_c = people_val.get(c, f"coalesce({orig(c)}, '')")
+        if not orgs:
+            final[c] = p_c
+            continue
+        fallback = f"(CASE WHEN {_hv(orig(c))} THEN {orig(c)} ELSE {p_c} END)" if people else p_c
+        if c in org:
+            o = org[c]
+            final[c] = (f"(CASE WHEN {o} IS NOT NULL THEN (CASE WHEN {o} <> '' THEN {o} ELSE {p_c} END) "
+                        f"ELSE {fallback} END)")
+        else:
+            final[c] = fallback
+    sel = ["c._row_id"]
+    for c in _CONTACT_COLS:
+        sel.append(f"{final[c]} AS {q(c)}" if c in final else f"c.{q(c)}")
+    for c, v in final.items():
+        if c not in _CONTACT_COLS:
+            sel.append(f"{v} AS {q(c)}")
+    sel.append(f"'' AS {q('_enrichment_error')}")
+    joins = ""
+    if people:
+        joins += f" LEFT JOIN ({duck_sql(PEOPLE_SQL)}) p ON p.email = c.{q(S.EMAIL)}"
+    if orgs:
+        dom = O.d_domain(f"trim(c.{q(S.WEBSITE)})")
+        joins += (f" LEFT JOIN ({duck_sql(COMPANIES_SQL)}) o ON o.domain = "
+                  f"(CASE WHEN trim(c.{q(S.WEBSITE)}) <> '' THEN {dom} END)")
+    return f"SELECT {', '.join(sel)} FROM ({O.deduped_contacts_sql()}) c{joins}"
+
+
+@register("enrich_people", _enrich_sql(True, False))
+def q_enrich_people(spark, sf_dir):
+    return enrich_records(contacts(spark, sf_dir), people_provider(spark, sf_dir), None).frame
+
+
+@register("enrich_companies", _enrich_sql(False, True))
+def q_enrich_companies(spark, sf_dir):
+    return enrich_records(contacts(spark, sf_dir), None, company_provider(spark, sf_dir)).frame
+
+
+@register("enrich_both_precedence", _enrich_sql(True, True))
+def q_enrich_both(spark, sf_dir):
+    return enrich_records(contacts(spark, sf_dir), people_provider(spark, sf_dir),
+                          company_provider(spark, sf_dir)).frame
+
+
+@register("enrich_counts",
+          f"SELECT count(*) AS people_enriched, count(o.domain) AS orgs_enriched_matched, "
+          f"count(*) AS orgs_enriched, count(*) FILTER (WHERE trim(c.{O.q(S.WEBSITE)}) = '') "
+          f"AS orgs_skipped_no_domain FROM ({O.deduped_contacts_sql()}) c LEFT JOIN "
+          f"({duck_sql(COMPANIES_SQL)}) o ON o.domain = (CASE WHEN trim(c.{O.q(S.WEBSITE)}) <> '' "
+          f"THEN {O.d_domain('trim(c.' + O.q(S.WEBSITE) + ')')} END)")
+def q_enrich_counts(spark, sf_dir):
+    e = enrich_records(contacts(spark, sf_dir), people_provider(spark, sf_dir), company_provider(spark, sf_dir))
+    return e.full.agg(
+        F.count_if(F.col("__people_ok")).alias("people_enriched"),
+        F.count_if(has_value(qcol(S.DEFAULT_PREFIXES.company + "Primary Domain"))).alias("orgs_enriched_matched"),
+        F.count_if(F.col("__org_ok")).alias("orgs_enriched"),
+        F.count_if(F.col("__no_domain")).alias("orgs_skipped_no_domain"))
+
+
+@register("map_person", "SELECT email, " + ", ".join(
+    f"{v} AS {O.q(k)}" for k, v in _person_d("p").items()) + f" FROM ({duck_sql(PEOPLE_SQL)}) p")
+def q_map_person(spark, sf_dir):
+    prov = people_provider(spark, sf_dir)
+    return prov.select("email", *[v.alias(k) for k, v in map_person(F.col("person"))])
+
+
+@register("map_company", "SELECT domain, " + ", ".join(
+    f"{v} AS {O.q(k)}" for k, v in _org_d("o").items()) + f" FROM ({duck_sql(COMPANIES_SQL)}) o")
+def q_map_company(spark, sf_dir):
+    prov = company_provider(spark, sf_dir)
+    return prov.select("domain", *[v.alias(k) for k, v in map_company(F.col("organization"))])
+
+
+def _req_json_sql(a: str) -> str:
+    q = O.q
+    f, l_, w, co, e = (f"{a}.{q(x)}" for x in (S.FIRST, S.LAST, S.WEBSITE, S.COMPANY, S.EMAIL))
+    parts = [f"CASE WHEN {_hv(f)} THEN '\"first_name\":' || to_json({f})::VARCHAR END",
+             f"CASE WHEN {_hv(l_)} THEN '\"last_name\":' || to_json({l_})::VARCHAR END",
+             f"CASE WHEN {_hv(w)} THEN '\"organization_domain\":' || to_json({w})::VARCHAR END",
+             f"CASE WHEN NOT {_hv(w)} AND {_hv(co)} THEN '\"organization_name\":' || to_json({co})::VARCHAR END",
+             f"CASE WHEN {_hv(e)} THEN '\"email\":' || to_json({e})::VARCHAR END"]
+    return f"'{{' || array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+@register("people_request",
+          f"SELECT _row_id, (row_number() OVER (ORDER BY _row_id) - 1) // 10 AS batch_id, "
+          f"(row_number() OVER (ORDER BY _row_id) - 1) % 10 AS pos, {_req_json_sql('c')} AS request "
+          f"FROM ({O.deduped_contacts_sql()}) c")
+def q_people_request(spark, sf_dir):
+    df = contacts(spark, sf_dir)
+    req = df.select("_row_id", F.to_json(people_request_col(df)).alias("request"))
+    return with_batches(req, ["_row_id"], S.MAX_PROVIDER_BATCH)
