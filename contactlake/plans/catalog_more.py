@@ -359,3 +359,23 @@ def q_people_request(spark, sf_dir):
     df = contacts(spark, sf_dir)
     req = df.select("_row_id", F.to_json(people_request_col(df)).alias("request"))
     return with_batches(req, ["_row_id"], S.MAX_PROVIDER_BATCH)
+
+
+# ================================================================= extraction
+
+from ..operators.extract import extract_contacts, items_to_contacts, parse_reply  # noqa: E402
+from .derived import read_table, spark_sql  # noqa: E402
+from .extract_fixtures import (EXTRACT_ORACLE, PARSED_ITEMS_ORACLE, REPLIES_SQL,  # noqa: E402
+                               fallback_extractor, primary_extractor)
+
+
+@register("parse_items", PARSED_ITEMS_ORACLE)
+def q_parse_items(spark, sf_dir):
+    replies = spark_sql(spark, sf_dir, REPLIES_SQL, ["supplier", "nation"])
+    return parse_reply(replies)
+
+
+@register("extract_contacts", EXTRACT_ORACLE)
+def q_extract_contacts(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_contacts(pages, primary_extractor, fallback_extractor)
