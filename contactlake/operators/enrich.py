@@ -35,6 +35,7 @@ from ..functions.provider import ORG_SCHEMA, PERSON_SCHEMA, map_company, map_per
 from ..functions.text import has_value, is_blank, py_strip
 from ..functions.url import extract_domain
 from .columns import qcol
+from ..session import ship_package
 from .normalize import has_people_identifier
 
 ROW_ID = "_row_id"
@@ -130,9 +131,12 @@ def _first_per_key(df: DataFrame, key: str, obj: str) -> DataFrame:
 # ---------------------------------------------------------------- callable providers
 
 def _batched_calls(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_size: int,
-                   policy: RetryPolicy, parallelism: int | None) -> DataFrame:
-    """``(_row_id, req)`` -> ``(_row_id, match, err)`` by batched calls."""
+                   policy: RetryPolicy, parallelism: int | None, unwrap: bool = False) -> DataFrame:
+    """``(_row_id, req)`` -> ``(_row_id, match, err)`` by batched calls.
+    ``req`` is JSON text; with ``unwrap`` it is a one-element array whose
+    element is the request item."""
     batch_size = max(1, min(int(batch_size), S.MAX_PROVIDER_BATCH))
+    ship_package(rows.sparkSession)
     if parallelism:
         rows = rows.repartition(parallelism)
     rows = rows.sortWithinPartitions(ROW_ID)
@@ -147,6 +151,8 @@ def _batched_calls(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_s
             for start in range(0, len(ids), batch_size):
                 chunk = range(start, min(start + batch_size, len(ids)))
                 items = [json.loads(reqs[i]) for i in chunk]
+                if unwrap:
+                    items = [x[0] for x in items]
                 try:
                     resp = call_with_retry(fn, endpoint, {payload_key: items}, policy) or {}
                     got = resp.get("matches") or []
@@ -217,8 +223,8 @@ def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
         return prov.select("__domain", F.col("organization").alias("__org"),
                            F.lit(None).cast("string").alias("__oerr")), "__domain"
     sent = df.select(qcol(ROW_ID).alias(ROW_ID), org_domain_col(df).alias("d")).where(F.col("d").isNotNull())
-    calls = _batched_calls(sent.select(ROW_ID, F.to_json(F.col("d")).alias("req")), provider,
-                           ORG_ENDPOINT, "domains", batch_size, policy, parallelism)
+    calls = _batched_calls(sent.select(ROW_ID, F.to_json(F.array(F.col("d"))).alias("req")), provider,
+                           ORG_ENDPOINT, "domains", batch_size, policy, parallelism, unwrap=True)
     return calls.select(ROW_ID, F.from_json("match", ORG_SCHEMA).alias("__org"),
                         F.col("err").alias("__oerr")), ROW_ID
 

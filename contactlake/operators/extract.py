@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.json import keep_item, normalize_item, reply_objects
 from ..functions.text import py_strip, truncate_text
+from ..session import ship_package
 
 ITEM_COLUMNS = ["firstName", "lastName", "organization", "email"]
 
@@ -30,6 +31,7 @@ ITEM_COLUMNS = ["firstName", "lastName", "organization", "email"]
 def _call_each(df: DataFrame, fn: Callable, args: list[str], parallelism: int | None) -> DataFrame:
     """``(page_id, reply)`` from calling ``fn`` once per row (Python only for
     the external call itself); a failing call yields an empty reply."""
+    ship_package(df.sparkSession)
     if parallelism:
         df = df.repartition(parallelism)
 

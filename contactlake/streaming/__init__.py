@@ -1 +1,5 @@
-"""streaming."""
+"""Structured Streaming jobs."""
+
+from .upsert_stream import StreamLog, apply_batch, upsert_stream
+
+__all__ = ["StreamLog", "apply_batch", "upsert_stream"]
