@@ -285,7 +285,8 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
         pv = dict(person_cols)
         for c in list(emb):
             set_c = F.coalesce(*[x for x in (emb.get(c), pv.get(c)) if x is not None])
-            people_val[c] = F.when(has_value(set_c), set_c).otherwise(F.coalesce(orig_val(c), F.lit("")))
+            keep = orig_val(c) if c in orig else F.lit("")  # new columns start as ""
+            people_val[c] = F.when(has_value(set_c), set_c).otherwise(keep)
     sent = has_people_identifier(df)
     p_err = F.when(~sent, F.lit(S.SKIPPED_NO_IDENTIFIER)).otherwise(F.col("__perr")) if do_people \
         else F.lit(None).cast("string")
@@ -294,7 +295,7 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
     if do_orgs:
         ov = dict(org_cols)
         for c in set(ov) | set(people_val):
-            p_c = people_val.get(c, F.coalesce(orig_val(c), F.lit("")))
+            p_c = people_val.get(c, orig_val(c) if c in orig else F.lit(""))
             o_c = ov.get(c)
             fallback = F.when(has_value(orig_val(c)), orig_val(c)).otherwise(p_c) if do_people else p_c
             if o_c is None:

@@ -52,14 +52,41 @@ _INCOMING = {S.FIRST: "fname", S.TITLE: "title", S.INDUSTRY: "industry",
 _MERGE = [c for c in S.BASE_COLUMNS if c not in S.UPSERT_SPECIAL] + [SENIORITY]
 
 
-def _upsert_ctes() -> str:
+def _stored_sql() -> str:
     q = O.q
-    stored_cols = ", ".join(
-        f"{q(c) if c in _NORMALIZED else 'CAST(NULL AS VARCHAR)'} AS m{i}"
-        for i, c in enumerate(_MERGE))
-    inc_cols = ", ".join(
-        f"{_INCOMING[c] if c in _INCOMING else 'CAST(NULL AS VARCHAR)'} AS m{i}"
-        for i, c in enumerate(_MERGE))
+    cols = ", ".join(f"{q(c) if c in _NORMALIZED else 'CAST(NULL AS VARCHAR)'} AS m{i}"
+                     for i, c in enumerate(_MERGE))
+    return (f"SELECT _row_id + 1 AS sn, {q(S.EMAIL)} AS email, '{STORED_AT}' AS upd, "
+            f"{q(S.EMAIL_SEND)} AS es, {cols} FROM ({O.deduped_contacts_sql()}) d "
+            f"WHERE {q(S.CLIENT_TYPE)} <> '{NEW_SEGMENT}'")
+
+
+def _orders_incoming_sql(offset: int = 0) -> str:
+    cols = ", ".join(f"{_INCOMING[c] if c in _INCOMING else 'CAST(NULL AS VARCHAR)'} AS m{i}"
+                     for i, c in enumerate(_MERGE))
+    return f"SELECT _row_id + {offset} AS _row_id, email, email_send, {cols} FROM ({O.incoming_sql()}) i"
+
+
+def _contacts_incoming_sql(deduped: bool = False) -> str:
+    q = O.q
+    cols = ", ".join(f"{q(c) if c in _NORMALIZED else 'CAST(NULL AS VARCHAR)'} AS m{i}"
+                     for i, c in enumerate(_MERGE))
+    src = O.deduped_contacts_sql() if deduped else O.normalized_contacts_sql()
+    return (f"SELECT _row_id, {q(S.EMAIL)} AS email, {q(S.EMAIL_SEND)} AS email_send, {cols} "
+            f"FROM ({src}) n")
+
+
+_NO_STORED = ("SELECT CAST(NULL AS BIGINT) AS sn, CAST(NULL AS VARCHAR) AS email, "
+              "CAST(NULL AS VARCHAR) AS upd, CAST(NULL AS VARCHAR) AS es, "
+              + ", ".join(f"CAST(NULL AS VARCHAR) AS m{i}" for i in range(len(_MERGE))) + " WHERE false")
+
+
+def _upsert_ctes(stored: str | None = None, incoming: str | None = None) -> str:
+    """Set-wise restatement of the fold for DuckDB over generic inputs:
+    stored (sn, email, upd, es, m0..) and incoming (_row_id, email,
+    email_send, m0..)."""
+    stored = stored or _stored_sql()
+    incoming = incoming or _orders_incoming_sql()
     m = [f"m{i}" for i in range(len(_MERGE))]
     per_col = ", ".join(
         f"min(ord) FILTER (WHERE {x} IS NOT NULL AND {x} <> '') AS o_{x}, "
@@ -67,11 +94,8 @@ def _upsert_ctes() -> str:
         f"arg_min_null({x}, ord) AS f_{x}" for x in m)
     srcs = ", ".join(f"o_{x}" for x in m)
     return f"""
-stored AS (
-  SELECT _row_id + 1 AS sn, {q(S.EMAIL)} AS email, '{STORED_AT}' AS upd, {q(S.EMAIL_SEND)} AS es,
-         {stored_cols}
-  FROM ({O.deduped_contacts_sql()}) d WHERE {q(S.CLIENT_TYPE)} <> '{NEW_SEGMENT}'),
-incoming AS (SELECT _row_id, email, email_send, {inc_cols} FROM ({O.incoming_sql()}) i),
+stored AS ({stored}),
+incoming AS ({incoming}),
 inc AS (SELECT * FROM incoming WHERE email IS NOT NULL AND email <> ''),
 keys AS (SELECT DISTINCT email FROM inc),
 allrows AS (
@@ -87,15 +111,16 @@ flags AS (
   SELECT *, list_filter([{srcs}], lambda x: x IS NOT NULL AND x >= 0) AS srcs,
          CASE WHEN NOT has_stored THEN first_ord END AS ins FROM agg),
 newsn AS (
-  SELECT email, (SELECT max(sn) FROM stored) + row_number() OVER (ORDER BY first_ord) AS nsn
+  SELECT email, coalesce((SELECT max(sn) FROM stored), 0) + row_number() OVER (ORDER BY first_ord) AS nsn
   FROM flags WHERE NOT has_stored)
 """
 
 
-def _state_sql() -> str:
+def _state_sql(stored: str | None = None, incoming: str | None = None, now: str = UPSERT_NOW,
+               extra: tuple[str, ...] = (SENIORITY,)) -> str:
     q = O.q
     touched_cols, untouched_cols = [], []
-    for c in S.BASE_COLUMNS + [SENIORITY]:
+    for c in S.BASE_COLUMNS + list(extra):
         if c == S.SN:
             touched_cols.append(f"coalesce(f.sn, n.nsn) AS {q(c)}")
             untouched_cols.append(f"sn AS {q(c)}")
@@ -106,14 +131,14 @@ def _state_sql() -> str:
             touched_cols.append(f"f.es AS {q(c)}")
             untouched_cols.append(f"es AS {q(c)}")
         elif c == S.UPDATED:
-            touched_cols.append(f"CASE WHEN NOT f.has_stored OR len(f.srcs) > 0 THEN '{UPSERT_NOW}' "
+            touched_cols.append(f"CASE WHEN NOT f.has_stored OR len(f.srcs) > 0 THEN '{now}' "
                                 f"ELSE f.upd END AS {q(c)}")
             untouched_cols.append(f"upd AS {q(c)}")
         else:
             x = f"m{_MERGE.index(c)}"
             touched_cols.append(f"coalesce(f.v_{x}, f.f_{x}) AS {q(c)}")
             untouched_cols.append(f"{x} AS {q(c)}")
-    return (f"WITH {_upsert_ctes()} "
+    return (f"WITH {_upsert_ctes(stored, incoming)} "
             f"SELECT {', '.join(touched_cols)} FROM flags f LEFT JOIN newsn n ON f.email = n.email "
             f"UNION ALL SELECT {', '.join(untouched_cols)} FROM stored "
             f"WHERE email NOT IN (SELECT email FROM keys)")
@@ -264,10 +289,13 @@ def _enrich_sql(people: bool, orgs: bool) -> str:
     def orig(c):
         return f"c.{q(c)}" if c in _CONTACT_COLS else "CAST(NULL AS VARCHAR)"
 
-    people_val = {c: f"(CASE WHEN {_hv(v)} THEN {v} ELSE coalesce({orig(c)}, '') END)" for c, v in pers.items()}
+    def keep(c):
+        return orig(c) if c in _CONTACT_COLS else "''"
+
+    people_val = {c: f"(CASE WHEN {_hv(v)} THEN {v} ELSE {keep(c)} END)" for c, v in pers.items()}
     final = {}
     for c in list(dict.fromkeys(list(people_val) + list(org))):
-        p_c = people_val.get(c, f"coalesce({orig(c)}, '')")
+        p_c = people_val.get(c, keep(c))
         if not orgs:
             final[c] = p_c
             continue
@@ -379,3 +407,150 @@ def q_parse_items(spark, sf_dir):
 def q_extract_contacts(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     return extract_contacts(pages, primary_extractor, fallback_extractor)
+
+
+# ================================================================= sources, sinks, streaming, flows
+
+from ..operators.columns import column_catalog, map_columns  # noqa: E402
+from ..operators.search import build_filters, export_frame, lookup  # noqa: E402
+from ..operators.stats import statistics  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources.store import TruthStore, empty_truth  # noqa: E402
+from ..sources.workbook import NA_TOKENS, export_workbooks, read_workbooks  # noqa: E402
+from ..streaming import upsert_stream  # noqa: E402
+from .catalog import _CONTACTS_SN_SQL, _contacts_with_sn, _d_mask  # noqa: E402
+from .derived import raw_contacts  # noqa: E402
+
+SOURCE2_OFFSET = 1 << 40  # second source's rows come after every row of the first
+LOOKUP_EMAIL = "user3@example.com"
+EXPORT_FILTERS = {"email": "user1"}
+
+
+def _na(x: str) -> str:
+    toks = ", ".join("'" + t.replace("'", "''") + "'" for t in sorted(NA_TOKENS))
+    return f"CASE WHEN {x} IN ({toks}) THEN NULL ELSE {x} END"
+
+
+_RT_COLS = [S.EMAIL, S.FIRST, S.LAST, S.COMPANY, S.WEBSITE, S.TITLE, S.PERSON_PHONE, S.COUNTRY,
+            S.STATE, S.EMAIL_SEND, S.CLIENT_TYPE, S.LEAD_SOURCE]
+
+
+@register("workbook_roundtrip",
+          "SELECT row_number() OVER (ORDER BY t." + O.q(S.SN) + ") - 1 AS _row_id, "
+          + f"CAST(t.{O.q(S.SN)} AS VARCHAR) AS {O.q(S.SN)}, "
+          + ", ".join(f"{_na('t.' + O.q(c))} AS {O.q(c)}" for c in _RT_COLS)
+          + f" FROM ({_CONTACTS_SN_SQL}) t")
+def q_workbook_roundtrip(spark, sf_dir):
+    frame = _contacts_with_sn(spark, sf_dir).drop("_row_id")
+    out = scratch_path(spark, "workbooks")
+    export_workbooks(frame, out, rows_per_part=500)
+    return read_workbooks(spark, out).frame.drop("_file")
+
+
+@register("stream_upsert", _state_sql())
+def q_stream_upsert(spark, sf_dir):
+    root = scratch_path(spark, "stream")
+    store = TruthStore(spark, root + "/truth")
+    store.commit(stored_truth(spark, sf_dir))
+    inc = incoming_updates(spark, sf_dir)
+    inc.repartitionByRange(3, "_row_id").write.parquet(root + "/incoming")
+    stream = spark.readStream.schema(inc.schema).parquet(root + "/incoming")
+    upsert_stream(stream, store, root + "/checkpoint", now=UPSERT_NOW).awaitTermination()
+    return store.read()
+
+
+@register("consolidate_sources",
+          _state_sql(_NO_STORED, f"{_contacts_incoming_sql()} UNION ALL {_orders_incoming_sql(SOURCE2_OFFSET)}"))
+def q_consolidate(spark, sf_dir):
+    first = normalized_contacts(spark, sf_dir)
+    second = incoming_updates(spark, sf_dir).withColumn("_row_id", F.col("_row_id") + F.lit(SOURCE2_OFFSET))
+    both = first.unionByName(second, allowMissingColumns=True)
+    return upsert(empty_truth(spark), both, now=UPSERT_NOW).state
+
+
+@register("ingest_base_flow", _state_sql(_NO_STORED, _contacts_incoming_sql(deduped=True), extra=()))
+def q_ingest_base_flow(spark, sf_dir):
+    from .flows import ingest_base
+
+    root = scratch_path(spark, "ingest")
+    raw = raw_contacts(spark, sf_dir)
+    raw.repartitionByRange(4, "_row_id").sortWithinPartitions("_row_id").drop("_row_id") \
+        .write.parquet(root + "/upload")
+    store = TruthStore(spark, root + "/truth")
+    ingest_base(spark, root + "/upload", store, now=UPSERT_NOW, fmt="parquet")
+    return store.read()
+
+
+def _catalog_sql() -> str:
+    fam = S.DEFAULT_PREFIXES.family()
+    return (f"WITH c AS (SELECT column_name AS name, row_number() OVER () AS pos FROM (DESCRIBE {_state_sql()})) "
+            f"SELECT name, CASE WHEN starts_with(name, '{fam}') THEN 'provider' ELSE 'base' END AS kind, "
+            f"CAST(CASE WHEN starts_with(name, '{fam}') "
+            f"THEN (SELECT count(*) FROM c WHERE NOT starts_with(name, '{fam}')) - 1 + "
+            f"row_number() OVER (PARTITION BY starts_with(name, '{fam}') ORDER BY name) "
+            f"ELSE row_number() OVER (PARTITION BY starts_with(name, '{fam}') ORDER BY pos) - 1 END AS INTEGER) "
+            f"AS ordinal FROM c")
+
+
+@register("column_catalog", _catalog_sql())
+def q_column_catalog(spark, sf_dir):
+    return column_catalog(spark, upsert_scenario(spark, sf_dir).state)
+
+
+@register("lookup", f"SELECT * FROM ({_state_sql()}) s WHERE {O.q(S.EMAIL)} = '{LOOKUP_EMAIL}'")
+def q_lookup(spark, sf_dir):
+    return lookup(upsert_scenario(spark, sf_dir).state, LOOKUP_EMAIL)
+
+
+@register("export_slice", f"SELECT * FROM ({_state_sql()}) s WHERE {O.q(S.EMAIL)} ILIKE '%user1%' "
+          f"ORDER BY {O.q(S.SN)} LIMIT {S.EXPORT_ROW_CAP}")
+def q_export_slice(spark, sf_dir):
+    return export_frame(upsert_scenario(spark, sf_dir).state, build_filters(**EXPORT_FILTERS))
+
+
+@register("stats_recent_boundary",
+          "SELECT count(*) AS total_records, count(*) FILTER (WHERE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') "
+          ">= '2024-01-24 00:00:00') AS recent_updates, CAST(3 AS BIGINT) AS total_columns FROM events")
+def q_stats_boundary(spark, sf_dir):
+    from ..functions.text import format_utc
+
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias(S.LEAD_SOURCE), format_utc(F.col("ts")).alias(S.UPDATED))
+    return statistics(ev, "2024-01-31T00:00:00Z", boundary_day=True)
+
+
+def _scrape_split_sql() -> str:
+    q = O.q
+    return (f"WITH e AS ({EXTRACT_ORACLE}), r AS (SELECT page_id * 1000000 + item_pos AS _row_id, "
+            f"trim(firstName) AS f, trim(lastName) AS l, {O.d_company('trim(organization)')} AS c FROM e) "
+            f"SELECT f AS {q(S.FIRST)}, l AS {q(S.LAST)}, c AS {q(S.COMPANY)} FROM r "
+            f"QUALIFY row_number() OVER (PARTITION BY f, l, c ORDER BY _row_id) = 1")
+
+
+@register("scrape_split", _scrape_split_sql())
+def q_scrape_split(spark, sf_dir):
+    from ..operators.dedupe import dedupe_by_name_company
+    from ..operators.normalize import normalize
+    from .flows import saved_and_skipped
+
+    items = extract_contacts(read_table(spark, sf_dir, "pages"), primary_extractor, fallback_extractor)
+    rows = normalize(items_to_contacts(items), lead_source=S.SCRAPE_LEAD_SOURCE)
+    rows = dedupe_by_name_company(rows)[0]
+    return saved_and_skipped(rows)[1]
+
+
+def _errors_sql() -> str:
+    def nb(c):
+        return f"(raw.{c} IS NOT NULL AND trim(raw.{c}) <> '')"
+    ident = f"({nb('email')} OR ({nb('fname')} AND {nb('lname')}) OR {nb('organization')} OR {nb('website')})"
+    return (f"SELECT {_d_mask("coalesce(raw.email, 'Unknown')")} AS email, "
+            f"'{S.SKIPPED_NO_IDENTIFIER}' AS message FROM ({O.raw_contacts_sql()}) raw WHERE NOT {ident}")
+
+
+@register("enrichment_errors", _errors_sql())
+def q_enrichment_errors(spark, sf_dir):
+    from .flows import enrichment_errors
+
+    mapped, _ = map_columns(raw_contacts(spark, sf_dir))
+    e = enrich_records(mapped, people_provider(spark, sf_dir), None)
+    return enrichment_errors(e.frame)

@@ -111,3 +111,17 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def posix_path(uri: str) -> str:
+    """Local path of a ``file:`` URI or plain path, for Python-side file IO
+    (xlsx parts). Other schemes raise: write those through a mounted
+    shared folder instead."""
+    if uri.startswith("file://"):
+        return uri[len("file://"):]
+    if uri.startswith("file:"):
+        return uri[len("file:"):]
+    if "://" in uri:
+        raise ValueError(f"{uri}: workbook parts are written with plain file IO; "
+                         "use a folder mounted on every executor")
+    return uri

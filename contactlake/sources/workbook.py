@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.keys import with_index
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir, posix_path, ship_package
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
@@ -272,6 +272,7 @@ def export_workbooks(df: DataFrame, out_dir: str, rows_per_part: int = 500_000,
     n = df.count()
     parts = max(1, -(-n // rows_per_part))
     header = df.columns
+    out_dir = posix_path(out_dir)
     ordered = df.repartitionByRange(parts, F.col("`" + order_col + "`")).sortWithinPartitions(
         F.col("`" + order_col + "`"))
 
@@ -293,7 +294,9 @@ def export_workbooks(df: DataFrame, out_dir: str, rows_per_part: int = 500_000,
         else:
             yield pd.DataFrame({"path": [], "rows": []})
 
-    written = ordered.select(*[F.col("`" + c + "`").cast("string").alias(c) for c in header]) \
+    # positional names: mapInPandas resolves columns by name, and names such
+    # as "S.N." are not valid attribute names there
+    written = ordered.select(*[F.col("`" + c + "`").cast("string").alias(f"c{i}") for i, c in enumerate(header)]) \
         .mapInPandas(write, "path string, rows long").collect()
     return sorted(r["path"] for r in written)
 
