@@ -73,6 +73,25 @@ def is_blank(c: Column | str) -> Column:
     return c.isNull() | (py_strip(c) == F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable).
+
+    Expressions inside higher-order functions are not shared by Spark's
+    subexpression elimination; binding through a one-element ``transform``
+    keeps a stage that reads its input twice from evaluating it twice.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _mask_phone(p: Column) -> Column:
+    n_digits = F.length(F.regexp_replace(p, r"(?U)\D", ""))
+    head = p.substr(F.lit(1), F.length(p) - 2)
+    return F.when(
+        n_digits >= 4,
+        F.concat(F.regexp_replace(head, r"(?U)\d", "*"), F.right(p, F.lit(2))),
+    ).otherwise(F.repeat(F.lit("*"), F.length(p)))
+
+
 def mask_pii(c: Column | str) -> Column:
     """Mask e-mails as ``u***@e***.com`` and phone numbers.
 
@@ -83,21 +102,19 @@ def mask_pii(c: Column | str) -> Column:
     loop. NULL and ``""`` come back unchanged.
     """
     text = F.regexp_replace(_c(c), F.lit(EMAIL_MASK_PATTERN), F.lit(EMAIL_MASK_REPLACEMENT))
-
-    def mask_one(p: Column) -> Column:
-        n_digits = F.length(F.regexp_replace(p, r"(?U)\D", ""))
-        head = p.substr(F.lit(1), F.length(p) - 2)
-        return F.when(
-            n_digits >= 4,
-            F.concat(F.regexp_replace(head, r"(?U)\d", "*"), F.right(p, F.lit(2))),
-        ).otherwise(F.repeat(F.lit("*"), F.length(p)))
-
     for pattern in PHONE_MASK_PATTERNS:
-        found = F.regexp_extract_all(text, F.lit(pattern), 0)
-        text = F.aggregate(found, text, lambda acc, p: F.replace(acc, p, mask_one(p)))
+        text = let(text, _phone_stage(pattern))
     return text
 
 
+def _phone_stage(pattern: str):
+    """One phone pattern applied to a bound text (single-argument lambda)."""
+    def stage(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), 0)
+        return F.aggregate(found, t, lambda acc, p: F.replace(acc, p, _mask_phone(p)))
+    return stage
+
+
 def is_valid_email(c: Column | str) -> Column:
     """Non-blank, at most 254 characters after strip, and matching the pattern.
 
@@ -112,19 +129,26 @@ def is_valid_email(c: Column | str) -> Column:
     )
 
 
-def _title_piece(p: Column) -> Column:
-    first = p.substr(F.lit(1), F.lit(1))
-    # Full title-case mapping of sharp s is "Ss" (upper would give "SS").
-    first_t = F.when(first == F.lit("ß"), F.lit("Ss")).otherwise(F.upper(first))
-    return F.concat(first_t, p.substr(F.lit(2), F.length(p)))
+_SPACE_MARK = "\uffff"  # stands in for original spaces while initcap runs
 
 
 def title_case(c: Column | str) -> Column:
     """Python ``str.title()``: upper-case a cased character that follows an
-    uncased one (start, digit, apostrophe, ``&`` ...), lower-case the rest."""
+    uncased one (start, digit, apostrophe, ``&`` ...), lower-case the rest.
+
+    Codegen-friendly form: original spaces are parked on a marker, a space
+    is put before every cased character that follows an uncased one,
+    ``initcap`` capitalises after those spaces, then the inserted spaces go
+    and the marker turns back into spaces. A word-initial ``ß`` becomes
+    ``Ss`` (its full title-case mapping). Text containing U+FFFF is not
+    supported (that code point is the marker).
+    """
     lowered = F.lower(_c(c))
-    pieces = F.split(lowered, rf"(?<=[^{CASED}])", -1)
-    return F.array_join(F.transform(pieces, _title_piece), "")
+    parked = F.translate(lowered, " ", _SPACE_MARK)
+    spaced = F.regexp_replace(parked, rf"(?<=[^{CASED}])(?=[{CASED}])", " ")
+    capped = F.regexp_replace(F.initcap(spaced), " ß", " Ss")
+    capped = F.regexp_replace(capped, "^ß", "Ss")
+    return F.translate(F.regexp_replace(capped, " ", ""), _SPACE_MARK, " ")
 
 
 def collapse_spaces(c: Column | str) -> Column:

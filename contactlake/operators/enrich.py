@@ -86,9 +86,13 @@ def call_with_retry(fn, endpoint: str, payload: dict, policy: RetryPolicy) -> di
     raise ProviderError(f"Request failed after {policy.max_attempts} attempts")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     """Broadcast hint only when the frame has at most ``max_rows`` rows
-    (checked with a bounded count)."""
+    (checked with a bounded count). With ``max_rows=None`` no hint is given:
+    the planner broadcasts only below ``spark.sql.autoBroadcastJoinThreshold``
+    by its size estimate, and AQE converts to a broadcast join at run time
+    when the measured shuffle output is below the adaptive threshold; both
+    are size checks that cost no extra job."""
     if max_rows and df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
@@ -233,7 +237,7 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
                    enrich_people: bool = True, enrich_companies: bool = True,
                    prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
                    batch_size: int = S.MAX_PROVIDER_BATCH, policy: RetryPolicy | None = None,
-                   parallelism: int | None = None, broadcast_rows: int = 100_000) -> Enriched:
+                   parallelism: int | None = None, broadcast_rows: int | None = None) -> Enriched:
     """Enrich contact rows (with ``_row_id``) by people and/or companies.
 
     Without any provider the frame is returned unchanged. Records without
@@ -276,31 +280,45 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
     def orig_val(c: str) -> Column:
         return _text(df, c) if c in orig else F.lit(None).cast("string")
 
-    # People stage result per column.
-    people_val: dict[str, Column] = {}
+    # Stage 1: mapped values as named columns, so the merge below refers to
+    # them instead of repeating the mapping expressions.
+    staged: list[Column] = []
+    set_name: dict[str, str] = {}
     if do_people:
-        emb = dict(emb_cols)
-        for c, v in person_cols:
-            emb.setdefault(c, None)
-        pv = dict(person_cols)
-        for c in list(emb):
-            set_c = F.coalesce(*[x for x in (emb.get(c), pv.get(c)) if x is not None])
-            keep = orig_val(c) if c in orig else F.lit("")  # new columns start as ""
-            people_val[c] = F.when(has_value(set_c), set_c).otherwise(keep)
+        emb, pv = dict(emb_cols), dict(person_cols)
+        for c in list(emb) + [k for k in pv if k not in emb]:
+            parts = [x for x in (emb.get(c), pv.get(c)) if x is not None]
+            set_name[c] = f"__ps{len(set_name)}"
+            staged.append((parts[0] if len(parts) == 1 else F.coalesce(*parts)).alias(set_name[c]))
+    org_name: dict[str, str] = {}
+    if do_orgs:
+        for c, v in org_cols:
+            org_name[c] = f"__os{len(org_name)}"
+            staged.append(v.alias(org_name[c]))
     sent = has_people_identifier(df)
-    p_err = F.when(~sent, F.lit(S.SKIPPED_NO_IDENTIFIER)).otherwise(F.col("__perr")) if do_people \
+    flags = [sent.alias("__sent"),
+             (F.col("__perr") if do_people else F.lit(None).cast("string")).alias("__perr"),
+             (F.col("__oerr") if do_orgs else F.lit(None).cast("string")).alias("__oerr")]
+    stage1 = out.select(*[qcol(c) for c in df.columns], *staged, *flags)
+
+    # Stage 2: merge with the stage precedence.
+    sent_c = F.col("__sent")
+    people_val: dict[str, Column] = {}
+    for c, n in set_name.items():
+        keep = orig_val(c) if c in orig else F.lit("")  # new columns start as ""
+        people_val[c] = F.when(has_value(F.col(n)), F.col(n)).otherwise(keep)
+    p_err = F.when(~sent_c, F.lit(S.SKIPPED_NO_IDENTIFIER)).otherwise(F.col("__perr")) if do_people \
         else F.lit(None).cast("string")
 
     final: dict[str, Column] = {}
     if do_orgs:
-        ov = dict(org_cols)
-        for c in set(ov) | set(people_val):
+        for c in list(dict.fromkeys(list(org_name) + list(people_val))):
             p_c = people_val.get(c, orig_val(c) if c in orig else F.lit(""))
-            o_c = ov.get(c)
             fallback = F.when(has_value(orig_val(c)), orig_val(c)).otherwise(p_c) if do_people else p_c
-            if o_c is None:
+            if c not in org_name:
                 final[c] = fallback
             else:
+                o_c = F.col(org_name[c])
                 final[c] = F.when(o_c.isNotNull(), F.when(has_value(o_c), o_c).otherwise(p_c)).otherwise(fallback)
         o_err = F.col("__oerr")
         err = F.when(has_value(o_err), o_err).otherwise(p_err)
@@ -318,10 +336,10 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
             cols.append(final[c].alias(c))
     prior_err = _text(df, ERROR) if ERROR in orig else F.lit(None).cast("string")
     cols.append(F.coalesce(F.when(has_value(err), err), prior_err, F.lit("")).alias(ERROR))
-    people_ok = (sent & ~has_value(F.col("__perr"))) if do_people else F.lit(False)
+    people_ok = (sent_c & ~has_value(F.col("__perr"))) if do_people else F.lit(False)
     orgs_ok = ~has_value(F.col("__oerr")) if do_orgs else F.lit(False)
-    full = out.select(*cols, sent.alias("__sent"), people_ok.alias("__people_ok"),
-                      orgs_ok.alias("__org_ok"), no_dom.alias("__no_domain"))
+    full = stage1.select(*cols, sent_c.alias("__sent"), people_ok.alias("__people_ok"),
+                         orgs_ok.alias("__org_ok"), is_blank(_text(df, S.WEBSITE)).alias("__no_domain"))
     return Enriched(full)
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.text import has_value
 from .columns import is_internal, qcol
+from ..session import checkpoint_dir
 from .keys import with_serial
 
 ROW_ID = "_row_id"
@@ -51,6 +52,7 @@ class UpsertResult:
     added_columns: list[str] = field(default_factory=list)
     unknown_columns: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    max_sn: int | None = None  # highest serial number in ``state``
 
 
 def _now_col(now: str | Column | None) -> Column:
@@ -76,7 +78,7 @@ def classify_columns(truth_cols: list[str], batch_cols: list[str],
 def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
            prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
            unknown_columns: str = "reject", broadcast_keys_below: int = 2_000_000,
-           materialize: bool = True) -> UpsertResult:
+           materialize: bool = True, max_sn: int | None = None) -> UpsertResult:
     """Merge ``batch`` (with a unique long ``_row_id`` giving input order)
     into ``truth``; returns the new state, one outcome per record and a
     one-row count summary.
@@ -85,6 +87,11 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
     columns that are neither base nor provider columns (no write; new
     e-mails and records carrying anything new fail, the rest are skipped);
     ``"drop"`` removes such columns with a warning and upserts the rest.
+
+    ``max_sn``: the table's highest serial number when known (the store
+    keeps it in its commit log); otherwise it is computed from ``truth``.
+    The incoming batch is checkpointed once, so its upstream plan runs a
+    single time whatever reads it afterwards.
     """
     if ROW_ID not in batch.columns:
         raise ValueError("batch needs a _row_id column giving input order")
@@ -104,6 +111,9 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
         return UpsertResult(truth, failed, _stats(failed), [], unknown, warnings)
 
     email = qcol(S.EMAIL)
+    if materialize:
+        checkpoint_dir(batch.sparkSession)
+        batch = batch.checkpoint(eager=True)
     valid = batch.where(has_value(email))
     bad = batch.where(~has_value(email)).select(
         qcol(ROW_ID).alias(ROW_ID), email.alias(S.EMAIL), F.lit("failed").alias("action"),
@@ -165,9 +175,12 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
 
     # Serial numbers for new e-mails, in the order of their first record.
     new_rows = per_email.where(~has_stored)
-    max_sn = truth.agg(F.max(qcol(S.SN)).alias("m")).collect()[0]["m"] if materialize else None
+    if max_sn is None and materialize:
+        max_sn = truth.agg(F.max(qcol(S.SN)).alias("m")).collect()[0]["m"]
     start = int(max_sn) + 1 if max_sn is not None else 1
+    n_new = 0
     if materialize:
+        n_new = new_rows.count()
         new_rows = with_serial(new_rows, [first["o"]], "__new_sn", start)
     else:
         new_rows = new_rows.withColumn("__new_sn", F.lit(None).cast("long"))
@@ -203,7 +216,8 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
     good = good.select(ROW_ID, S.EMAIL, F.coalesce("action", F.lit("skip")).alias("action"),
                        F.lit(None).cast("string").alias("error"))
     outcomes = good.unionByName(bad)
-    return UpsertResult(state, outcomes, _stats(outcomes), added, [], warnings)
+    top = start + n_new - 1 if n_new else (int(max_sn) if max_sn is not None else None)
+    return UpsertResult(state, outcomes, _stats(outcomes), added, [], warnings, top)
 
 
 def _stats(outcomes: DataFrame) -> DataFrame:

@@ -17,8 +17,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+# Dimension tables stay as read (they are broadcast); fact and text tables
+# are spread over the cores when the scan yields too few partitions.
+SMALL_TABLES = {"region", "nation", "supplier"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from ..session import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in SMALL_TABLES else spread(df)
 
 
 def _k(m: int, r: int = 0) -> str:

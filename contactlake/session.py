@@ -125,3 +125,16 @@ def posix_path(uri: str) -> str:
         raise ValueError(f"{uri}: workbook parts are written with plain file IO; "
                          "use a folder mounted on every executor")
     return uri
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over at least ``min_partitions`` (default: the
+    context's default parallelism) when its scan yields fewer partitions.
+
+    A single large file with one row group is read by one task; CPU-heavy
+    per-row work (regular expressions over long texts) would then run on
+    one core. On inputs that already have enough splits this is a no-op, so
+    it adds no shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

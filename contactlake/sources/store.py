@@ -32,12 +32,19 @@ class TruthStore:
     def _log(self) -> str:
         return f"{self.root}/_log"
 
-    def versions(self) -> list[int]:
+    def _log_rows(self) -> list:
         try:
-            rows = self.spark.read.parquet(self._log).select("version").collect()
+            return self.spark.read.parquet(self._log).collect()  # one small row per version
         except Exception:  # no log yet
             return []
-        return sorted(int(r["version"]) for r in rows)
+
+    def versions(self) -> list[int]:
+        return sorted(int(r["version"]) for r in self._log_rows())
+
+    def max_sn(self) -> int | None:
+        """Highest serial number of the current version, from the log."""
+        rows = sorted(self._log_rows(), key=lambda r: r["version"])
+        return rows[-1]["max_sn"] if rows else None
 
     def current_version(self) -> int | None:
         v = self.versions()
@@ -53,16 +60,21 @@ class TruthStore:
             return empty_truth(self.spark)
         return self.spark.read.parquet(self.path(v))
 
-    def commit(self, state: DataFrame, version: int | None = None, sort_by_email: bool = True) -> int:
+    def commit(self, state: DataFrame, version: int | None = None, sort_by_email: bool = True,
+               max_sn: int | None = None) -> int:
         """Write ``state`` as a new version and publish it. Rows are
         clustered by e-mail inside each file so that point lookups skip row
-        groups by their min/max statistics."""
+        groups by their min/max statistics. ``max_sn`` (the highest serial
+        number in ``state``) is logged; computed when not given."""
         v = (self.current_version() or 0) + 1 if version is None else version
         if v in self.versions():
             return v  # already published: replay is a no-op
         out = state.sortWithinPartitions(qcol(S.EMAIL)) if sort_by_email else state
         out.write.mode("overwrite").parquet(self.path(v))
-        self.spark.createDataFrame([(v,)], "version long").coalesce(1).write.mode("append").parquet(self._log)
+        if max_sn is None:
+            max_sn = self.spark.read.parquet(self.path(v)).agg(F.max(qcol(S.SN))).first()[0]
+        self.spark.createDataFrame([(v, max_sn)], "version long, max_sn long").coalesce(1) \
+            .write.mode("append").parquet(self._log)
         return v
 
     def lookup(self, email: str) -> DataFrame:

@@ -51,8 +51,8 @@ def apply_batch(store: TruthStore, batch: DataFrame, batch_id: int, now: str | N
     if "_row_id" not in batch.columns:
         order = order_cols or [c for c in batch.columns][:1]
         batch = with_index(batch, order, name="_row_id")
-    res = upsert(store.read(), batch, now=now, **upsert_kw)
-    version = store.commit(res.state)
+    res = upsert(store.read(), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
+    version = store.commit(res.state, max_sn=res.max_sn)
     res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append") \
         .parquet(store.root + "/_outcomes")
     log.record(batch_id, version)
