@@ -40,7 +40,14 @@ def stored_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_scenario(spark: SparkSession, sf_dir: str):
-    return upsert(stored_truth(spark, sf_dir), incoming_updates(spark, sf_dir), now=UPSERT_NOW)
+    """Stored contacts published as a snapshot (as the table lives in
+    production), then the order-derived batch upserted into it."""
+    from ..session import scratch_path
+    from ..sources.store import TruthStore
+
+    store = TruthStore(spark, scratch_path(spark, "truth"))
+    store.commit(stored_truth(spark, sf_dir))
+    return upsert(store.read(), incoming_updates(spark, sf_dir), now=UPSERT_NOW, max_sn=store.max_sn())
 
 
 # ----------------------------------------------------------------- oracle text
