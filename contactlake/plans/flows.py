@@ -87,8 +87,10 @@ def save(store: TruthStore, df: DataFrame, now: str | None = None, **upsert_kw):
     has_email = S.EMAIL in ready.columns
     skipped = ready.where(~has_value(qcol(S.EMAIL))).count() if has_email else ready.count()
     batch = ready.where(has_value(qcol(S.EMAIL))) if has_email else ready.limit(0)
-    res = upsert(store.read(), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
-    version = store.commit(res.state, max_sn=res.max_sn)
+    touched = store.touched_buckets(batch) if S.EMAIL in batch.columns else []
+    res = upsert(store.read(buckets=touched), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
+    version = store.commit(res.state, max_sn=res.max_sn, buckets=touched) if touched \
+        else store.current_version()
     return res, version, skipped
 
 

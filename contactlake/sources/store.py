@@ -1,33 +1,54 @@
-"""The truth table as versioned Parquet snapshots.
-
-``Parquet`` has no in-place ``MERGE``; an upsert computes the full new
-state and writes it to ``<root>/v=<n>/``. A version becomes current only
-after its files are complete: a one-row entry is then appended to the
-commit log ``<root>/_log/`` (its own file per version). Readers take the
-highest logged version, so a failed or retried job never exposes a partial
-snapshot, and the folder being read is never overwritten. Re-running a
-version number rewrites only that unpublished folder.
+"""The truth table as versioned, e-mail-bucketed Parquet snapshots.
+
+Parquet has no in-place ``MERGE``. Rows live in ``B`` buckets by
+``pmod(xxhash64(email), B)``; a version directory ``<root>/v=<n>/`` holds
+only the buckets that version rewrote (``_bucket=<b>/``). The commit log
+``<root>/_log/`` gets one small row per version: the version, the highest
+serial number, and the manifest (for every bucket, the version that holds
+its current rows). So:
+
+* an upsert reads and rewrites only the buckets its e-mails fall into;
+  every other bucket is carried over by the manifest, not copied;
+* a point lookup reads one bucket;
+* a version becomes visible only when its log row exists, so a failed or
+  retried job never exposes a partial snapshot, and the folders being read
+  are never overwritten (re-running an unpublished version rewrites only
+  its own folder).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.columns import qcol
 
+BUCKET = "_bucket"
+DEFAULT_BUCKETS = 64
+
 
 def empty_truth(spark: SparkSession, extra_columns: list[str] | None = None) -> DataFrame:
     """Empty table with the 23 base columns (plus any extra text columns)."""
     return spark.createDataFrame([], S.truth_schema(extra_columns))
 
 
+def bucket_of(email: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(email), F.lit(buckets)).cast("int")
+
+
 class TruthStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    """Snapshot store. Choose ``buckets`` so that one bucket is a sensible
+    rewrite unit (a few GB): about table size / 5 GB."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
+    # ------------------------------------------------------------- log
     @property
     def _log(self) -> str:
         return f"{self.root}/_log"
@@ -38,45 +59,96 @@ class TruthStore:
         except Exception:  # no log yet
             return []
 
+    def _last(self):
+        rows = sorted(self._log_rows(), key=lambda r: r["version"])
+        return rows[-1] if rows else None
+
     def versions(self) -> list[int]:
         return sorted(int(r["version"]) for r in self._log_rows())
 
+    def current_version(self) -> int | None:
+        last = self._last()
+        return int(last["version"]) if last else None
+
     def max_sn(self) -> int | None:
         """Highest serial number of the current version, from the log."""
-        rows = sorted(self._log_rows(), key=lambda r: r["version"])
-        return rows[-1]["max_sn"] if rows else None
+        last = self._last()
+        return last["max_sn"] if last else None
 
-    def current_version(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
+    def manifest(self, version: int | None = None) -> list[int]:
+        rows = {int(r["version"]): r for r in self._log_rows()}
+        if not rows:
+            return [-1] * self.buckets
+        v = max(rows) if version is None else version
+        return list(rows[v]["manifest"])
 
     def path(self, version: int) -> str:
         return f"{self.root}/v={version}"
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Current (or given) snapshot; the empty base table before the first commit."""
-        v = self.current_version() if version is None else version
-        if v is None:
+    # ------------------------------------------------------------- read
+    def bucket_paths(self, buckets: list[int] | None = None, version: int | None = None) -> list[str]:
+        man = self.manifest(version)
+        wanted = range(len(man)) if buckets is None else buckets
+        return [f"{self.path(man[b])}/{BUCKET}={b}" for b in wanted if man[b] >= 0]
+
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Current (or given) snapshot, optionally only some buckets; the
+        empty base table before the first commit."""
+        paths = self.bucket_paths(buckets, version)
+        if not paths:
             return empty_truth(self.spark)
-        return self.spark.read.parquet(self.path(v))
-
-    def commit(self, state: DataFrame, version: int | None = None, sort_by_email: bool = True,
-               max_sn: int | None = None) -> int:
-        """Write ``state`` as a new version and publish it. Rows are
-        clustered by e-mail inside each file so that point lookups skip row
-        groups by their min/max statistics. ``max_sn`` (the highest serial
-        number in ``state``) is logged; computed when not given."""
-        v = (self.current_version() or 0) + 1 if version is None else version
-        if v in self.versions():
-            return v  # already published: replay is a no-op
-        out = state.sortWithinPartitions(qcol(S.EMAIL)) if sort_by_email else state
-        out.write.mode("overwrite").parquet(self.path(v))
-        if max_sn is None:
-            max_sn = self.spark.read.parquet(self.path(v)).agg(F.max(qcol(S.SN))).first()[0]
-        self.spark.createDataFrame([(v, max_sn)], "version long, max_sn long").coalesce(1) \
-            .write.mode("append").parquet(self._log)
-        return v
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
+    def touched_buckets(self, batch: DataFrame) -> list[int]:
+        """Buckets of the e-mails in ``batch`` (at most ``buckets`` values)."""
+        rows = batch.select(bucket_of(qcol(S.EMAIL), self.buckets).alias("b")).distinct().collect()
+        return sorted(int(r["b"]) for r in rows if r["b"] is not None)
 
     def lookup(self, email: str) -> DataFrame:
-        """Point lookup by e-mail on the current snapshot (pushed-down filter)."""
-        return self.read().where(qcol(S.EMAIL) == F.lit(email)).limit(1)
+        """Point lookup: reads the one bucket the e-mail hashes to."""
+        b = self.spark.range(1).select(bucket_of(F.lit(email), self.buckets)).first()[0]
+        return self.read(buckets=[int(b)]).where(qcol(S.EMAIL) == F.lit(email)).limit(1)
+
+    # ------------------------------------------------------------- write
+    def commit(self, state: DataFrame, version: int | None = None, max_sn: int | None = None,
+               buckets: list[int] | None = None) -> int:
+        """Publish ``state`` as a new version.
+
+        ``buckets=None``: ``state`` is the whole table. Otherwise ``state``
+        holds exactly the rows of the listed buckets (as produced by an
+        upsert over :meth:`read` of those buckets) and the other buckets are
+        carried over. Rows are clustered by e-mail inside each bucket file so
+        lookups skip row groups by their min/max statistics. Replaying an
+        already published version is a no-op.
+        """
+        known = self.versions()
+        v = (max(known) if known else 0) + 1 if version is None else version
+        if v in known:
+            return v
+        spread_over = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n_touched = self.buckets if buckets is None else max(1, len(buckets))
+        salt = F.pmod(F.xxhash64(qcol(S.EMAIL), F.lit("salt")), F.lit(max(1, spread_over // n_touched)))
+        out = state.withColumn(BUCKET, bucket_of(qcol(S.EMAIL), self.buckets))
+        # each bucket spread over several tasks (rows are unique per e-mail,
+        # so buckets are even; the salt keeps one bucket off one task)
+        out.repartition(spread_over, BUCKET, salt).sortWithinPartitions(BUCKET, qcol(S.EMAIL)) \
+            .write.mode("overwrite").partitionBy(BUCKET).parquet(self.path(v))
+        written = set()
+        try:
+            files = self.spark.read.parquet(self.path(v)).inputFiles()  # driver-side listing
+        except Exception:  # nothing written (empty state)
+            files = []
+        for f in files:
+            m = re.search(rf"/{BUCKET}=(\d+)/", f)
+            if m:
+                written.add(int(m.group(1)))
+        man = self.manifest() if buckets is not None else [-1] * self.buckets
+        for b in (range(self.buckets) if buckets is None else buckets):
+            man[b] = v if b in written else -1
+        if max_sn is None:
+            prev = self.max_sn() if buckets is not None else None
+            top = state.agg(F.max(qcol(S.SN))).first()[0]
+            max_sn = max(x for x in (prev, top) if x is not None) if (prev or top) else None
+        self.spark.createDataFrame([(v, max_sn, man)], "version long, max_sn long, manifest array<long>") \
+            .coalesce(1).write.mode("append").parquet(self._log)
+        return v

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schema as S
+
 from ..operators.keys import with_index
 from ..operators.upsert import upsert
 from ..sources.store import TruthStore
@@ -51,8 +53,10 @@ def apply_batch(store: TruthStore, batch: DataFrame, batch_id: int, now: str | N
     if "_row_id" not in batch.columns:
         order = order_cols or [c for c in batch.columns][:1]
         batch = with_index(batch, order, name="_row_id")
-    res = upsert(store.read(), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
-    version = store.commit(res.state, max_sn=res.max_sn)
+    touched = store.touched_buckets(batch) if S.EMAIL in batch.columns else []
+    res = upsert(store.read(buckets=touched), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
+    version = store.commit(res.state, max_sn=res.max_sn, buckets=touched) if touched \
+        else store.current_version()
     res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append") \
         .parquet(store.root + "/_outcomes")
     log.record(batch_id, version)

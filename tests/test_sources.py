@@ -101,3 +101,31 @@ def test_truth_store_versions(spark, tmpdir_path):
     assert store.read().count() == 1
     v2 = store.commit(t)
     assert v2 == 2 and store.read().count() == 0 and store.read(1).count() == 1
+
+
+def test_bucketed_incremental_commit(spark, tmpdir_path):
+    from contactlake.operators.upsert import upsert
+    from contactlake.sources.store import BUCKET, bucket_of
+
+    store = TruthStore(spark, f"{tmpdir_path}/bk", buckets=8)
+    schema = f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string"
+    first = spark.createDataFrame([(i, f"u{i}@x.com", f"F{i}") for i in range(40)], schema)
+    res = upsert(store.read(), first, now="t1")
+    v1 = store.commit(res.state, max_sn=res.max_sn)
+    assert store.max_sn() == 40 and sorted(store.manifest()) == [v1] * 8
+    second = spark.createDataFrame([(100, "u3@x.com", "X"), (101, "new@x.com", "N")], schema)
+    touched = store.touched_buckets(second)
+    assert 1 <= len(touched) <= 2
+    res2 = upsert(store.read(buckets=touched), second, now="t2", max_sn=store.max_sn())
+    v2 = store.commit(res2.state, max_sn=res2.max_sn, buckets=touched)
+    man = store.manifest()
+    assert {b for b, v in enumerate(man) if v == v2} == set(touched)
+    assert all(v == v1 for b, v in enumerate(man) if b not in touched)
+    written = {int(f.split(f"{BUCKET}=")[1].split("/")[0]) for f in spark.read.parquet(store.path(v2)).inputFiles()}
+    assert written == set(touched)
+    rows = {r[S.EMAIL]: r for r in store.read().collect()}
+    assert len(rows) == 41 and rows["new@x.com"][S.SN] == 41 and rows["u3@x.com"][S.FIRST] == "F3"
+    assert store.max_sn() == 41
+    assert store.lookup("new@x.com").first()[S.FIRST] == "N"
+    b = spark.range(1).select(bucket_of(F.lit("u5@x.com"), 8)).first()[0]
+    assert store.lookup("u5@x.com").first()[S.SN] == 6 and 0 <= b < 8
