@@ -353,3 +353,26 @@ def prune_empty_new_columns(df: DataFrame, before: list[str]) -> DataFrame:
     row = df.agg(*[F.max(has_value(qcol(c)).cast("int")).alias(f"c{i}") for i, c in enumerate(new)]).first()
     drop = [c for i, c in enumerate(new) if not row[f"c{i}"]]
     return df.drop(*drop) if drop else df
+
+
+def request_batches(df: DataFrame, kind: str = "people", size: int = S.MAX_PROVIDER_BATCH) -> DataFrame:
+    """Provider request payloads as rows, one per batch of at most ``size``
+    requests in ``_row_id`` order: ``(batch_id, payload)`` with payload
+    ``{"details": [...]}`` (people) or ``{"domains": [...]}`` (companies,
+    only records whose website yields a domain). A batch holds at most
+    ``size`` small items, so ``collect_list`` per batch is bounded."""
+    from .keys import with_batches
+
+    size = max(1, min(int(size), S.MAX_PROVIDER_BATCH))
+    if kind == "people":
+        rows = df.where(has_people_identifier(df)).select(qcol(ROW_ID).alias(ROW_ID),
+                                                         people_request_col(df).alias("item"))
+        key = "details"
+    else:
+        rows = df.select(qcol(ROW_ID).alias(ROW_ID), org_domain_col(df).alias("item")) \
+            .where(F.col("item").isNotNull())
+        key = "domains"
+    rows = with_batches(rows, [ROW_ID], size)
+    per = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("xs"))
+    return per.select("batch_id", F.to_json(F.struct(
+        F.transform("xs", lambda x: x["item"]).alias(key))).alias("payload"))

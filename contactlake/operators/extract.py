@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.json import keep_item, normalize_item, reply_objects
 from ..functions.text import py_strip, truncate_text
-from ..session import ship_package
+from ..session import apply_runtime_conf, ship_package
 
 ITEM_COLUMNS = ["firstName", "lastName", "organization", "email"]
 
@@ -55,7 +55,10 @@ def _call_each(df: DataFrame, fn: Callable, args: list[str], parallelism: int |
 
 def parse_reply(replies: DataFrame) -> DataFrame:
     """``(page_id, reply)`` -> ``(page_id, item_pos, firstName, lastName,
-    organization, email)`` keeping items with a name or organisation."""
+    organization, email)`` keeping items with a name or organisation.
+    Sets ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` on the session (item keys
+    that collide after lower-casing: the later one wins)."""
+    apply_runtime_conf(replies.sparkSession)
     objs = replies.select("page_id", F.posexplode(reply_objects("reply")).alias("item_pos", "m"))
     items = objs.select("page_id", "item_pos", normalize_item("m").alias("it")).where(keep_item(F.col("it")))
     return items.select("page_id", "item_pos", *[F.col("it")[c].alias(c) for c in ITEM_COLUMNS])

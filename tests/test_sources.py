@@ -129,3 +129,33 @@ def test_bucketed_incremental_commit(spark, tmpdir_path):
     assert store.lookup("new@x.com").first()[S.FIRST] == "N"
     b = spark.range(1).select(bucket_of(F.lit("u5@x.com"), 8)).first()[0]
     assert store.lookup("u5@x.com").first()[S.SN] == 6 and 0 <= b < 8
+
+
+def test_provider_response_zip(spark, tmpdir_path):
+    import json
+
+    from contactlake.sources.provider import read_responses, zip_responses
+
+    os.makedirs(f"{tmpdir_path}/resp")
+    with open(f"{tmpdir_path}/resp/r.json", "w") as fh:
+        fh.write(json.dumps({"batch_id": 0, "matches": [{"first_name": "A"}, None, {"title": "CTO"}]}) + "\n")
+        fh.write(json.dumps({"batch_id": 1, "matches": []}) + "\n")
+    resp = read_responses(spark, f"{tmpdir_path}/resp", "people")
+    reqs = spark.createDataFrame([(10, 0, 0), (11, 0, 1), (12, 0, 2), (13, 1, 0)], "_row_id long, batch_id long, pos int")
+    got = {r["_row_id"]: r["match"] for r in zip_responses(reqs, resp).collect()}
+    assert got[10]["first_name"] == "A" and got[11] is None and got[12]["title"] == "CTO" and got[13] is None
+
+
+def test_request_batches(spark):
+    import json
+
+    from contactlake.operators.enrich import request_batches
+
+    df = spark.createDataFrame(
+        [(i, f"u{i}@x.com", f"F{i}", "", "" if i % 2 else f"www.d{i}.com") for i in range(23)],
+        f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string, `{S.COMPANY}` string, `{S.WEBSITE}` string")
+    people = {r["batch_id"]: json.loads(r["payload"]) for r in request_batches(df, "people").collect()}
+    assert sorted(people) == [0, 1, 2] and [len(people[b]["details"]) for b in (0, 1, 2)] == [10, 10, 3]
+    assert people[0]["details"][0] == {"first_name": "F0", "organization_domain": "www.d0.com", "email": "u0@x.com"}
+    orgs = {r["batch_id"]: json.loads(r["payload"]) for r in request_batches(df, "companies").collect()}
+    assert orgs[0]["domains"][:2] == ["d0.com", "d2.com"] and sum(len(v["domains"]) for v in orgs.values()) == 12
