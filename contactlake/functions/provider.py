@@ -167,6 +167,22 @@ def map_person(col: Column, dtype: T.StructType = PERSON_SCHEMA,
     return out
 
 
+ORG_BASE_COLUMNS = [S.COMPANY, S.INDUSTRY, S.WEBSITE, S.COMPANY_LINKEDIN, S.EMPLOYEES,
+                    S.COMPANY_PHONE, S.ADDRESS, S.LISTED, S.REVENUE, S.SIZE]
+PERSON_BASE_COLUMNS = [S.FIRST, S.LAST, S.TITLE, S.EMAIL, S.PERSON_LINKEDIN, S.COUNTRY, S.STATE,
+                       S.PERSON_PHONE]
+
+
+def company_columns(prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> list[str]:
+    """Names :func:`map_company` produces, in its order (no session needed)."""
+    return ORG_BASE_COLUMNS + prefixes.company_columns()
+
+
+def person_columns(prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> list[str]:
+    """Names :func:`map_person` produces, in its order (no session needed)."""
+    return PERSON_BASE_COLUMNS + prefixes.person_columns()
+
+
 def map_company(col: Column, dtype: T.StructType = ORG_SCHEMA,
                 prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> list[tuple[str, Column]]:
     """Organisation match -> ``[(column, value-or-NULL)]``: 10 base and 17

@@ -13,6 +13,26 @@ from ..operators.upsert import upsert
 from . import oracle as O
 from .catalog import STORED_AT, UPSERT_NOW, normalized_contacts, register
 from .derived import incoming_updates
+from ..functions.provider import company_columns, map_company, map_person
+from ..operators.enrich import enrich_records
+from ..operators.keys import with_batches
+from ..operators.enrich import people_request_col
+from ..functions.text import has_value
+from .derived import duck_sql
+from .provider_fixtures import COMPANIES_SQL, PEOPLE_SQL, company_provider, people_provider
+from ..operators.extract import extract_contacts, items_to_contacts, parse_reply
+from .derived import read_table, spark_sql
+from .extract_fixtures import (EXTRACT_ORACLE, PARSED_ITEMS_ORACLE, REPLIES_SQL,
+                               fallback_extractor, primary_extractor)
+from ..operators.columns import column_catalog, map_columns
+from ..operators.search import build_filters, export_frame, lookup
+from ..operators.stats import statistics
+from ..session import scratch_path
+from ..sources.store import TruthStore, empty_truth
+from ..sources.workbook import NA_TOKENS, export_workbooks, read_workbooks
+from ..streaming import upsert_stream
+from .catalog import _CONTACTS_SN_SQL, _contacts_with_sn, _d_mask
+from .derived import raw_contacts
 
 SENIORITY = S.DEFAULT_PREFIXES.person + "Seniority"
 NEW_SEGMENT = "HOUSEHOLD"  # contacts of this segment are not yet stored
@@ -196,13 +216,6 @@ def q_run_summary(spark, sf_dir):
 
 # ================================================================= enrichment
 
-from ..functions.provider import map_company, map_person  # noqa: E402
-from ..operators.enrich import enrich_records  # noqa: E402
-from ..operators.keys import with_batches  # noqa: E402
-from ..operators.enrich import people_request_col  # noqa: E402
-from ..functions.text import has_value  # noqa: E402
-from .derived import duck_sql  # noqa: E402
-from .provider_fixtures import COMPANIES_SQL, PEOPLE_SQL, company_provider, people_provider  # noqa: E402
 
 P = S.DEFAULT_PREFIXES.person
 C = S.DEFAULT_PREFIXES.company
@@ -238,7 +251,7 @@ def _person_d(a: str) -> dict[str, str]:
     return {k: f"(CASE WHEN {m} THEN {v} END)" for k, v in d.items()}
 
 
-_ORG_COLS = [c for c, _ in map_company(F.lit(None))]
+_ORG_COLS = company_columns()
 
 
 def _emb_d(a: str) -> dict[str, str]:
@@ -398,10 +411,6 @@ def q_people_request(spark, sf_dir):
 
 # ================================================================= extraction
 
-from ..operators.extract import extract_contacts, items_to_contacts, parse_reply  # noqa: E402
-from .derived import read_table, spark_sql  # noqa: E402
-from .extract_fixtures import (EXTRACT_ORACLE, PARSED_ITEMS_ORACLE, REPLIES_SQL,  # noqa: E402
-                               fallback_extractor, primary_extractor)
 
 
 @register("parse_items", PARSED_ITEMS_ORACLE)
@@ -418,15 +427,6 @@ def q_extract_contacts(spark, sf_dir):
 
 # ================================================================= sources, sinks, streaming, flows
 
-from ..operators.columns import column_catalog, map_columns  # noqa: E402
-from ..operators.search import build_filters, export_frame, lookup  # noqa: E402
-from ..operators.stats import statistics  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources.store import TruthStore, empty_truth  # noqa: E402
-from ..sources.workbook import NA_TOKENS, export_workbooks, read_workbooks  # noqa: E402
-from ..streaming import upsert_stream  # noqa: E402
-from .catalog import _CONTACTS_SN_SQL, _contacts_with_sn, _d_mask  # noqa: E402
-from .derived import raw_contacts  # noqa: E402
 
 SOURCE2_OFFSET = 1 << 40  # second source's rows come after every row of the first
 LOOKUP_EMAIL = "user3@example.com"

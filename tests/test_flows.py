@@ -1,6 +1,5 @@
 """End-to-end flows with fake providers, and the streaming upsert."""
 
-import json
 import os
 
 from pyspark.sql import functions as F

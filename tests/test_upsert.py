@@ -4,7 +4,6 @@ against a sequential record-by-record fold on random batches."""
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from contactlake import schema as S
 from contactlake.operators.upsert import serials, upsert
@@ -183,3 +182,29 @@ def test_provider_columns_grow_schema(spark):
     res = upsert(truth, batch, now=NOW)
     assert col in res.state.columns and res.added_columns == [col]
     assert res.state.first()[col] == "1999"
+
+
+def test_hot_email_third_of_batch(spark):
+    """One e-mail holds a third of the records; result equals the fold and
+    keep-first dedupe picks the first of the hot group."""
+    from contactlake.operators.dedupe import dedupe_by_email
+
+    rng = random.Random(7)
+    records = []
+    for i in range(600):
+        email = "hot@x.com" if i % 3 == 0 else f"u{rng.randint(0, 150)}@x.com"
+        rec = {"_row_id": i, S.EMAIL: email}
+        for c in COLS + [PROV]:
+            rec[c] = rng.choice([None, "", f"v{i}"]) if rng.random() < 0.3 else None
+        records.append(rec)
+    stored = {"hot@x.com": {**{c: None for c in S.BASE_COLUMNS}, S.SN: 7, S.EMAIL: "hot@x.com",
+                            S.UPDATED: OLD, S.FIRST: "Kept"}}
+    exp_state, exp_out = fold(stored, [dict(r) for r in records], NOW)
+    res, state, out = run(spark, stored, records, False, parts=7)
+    assert [out[r["_row_id"]] for r in records] == exp_out
+    for e, exp in exp_state.items():
+        for c in COLS + [PROV, S.SN, S.UPDATED]:
+            assert state[e].get(c) == exp.get(c), (e, c)
+    batch = make_batch(spark, records, False).repartition(7)
+    firsts = {r[S.EMAIL]: r["_row_id"] for r in dedupe_by_email(batch)[0].collect()}
+    assert firsts["hot@x.com"] == 0
