@@ -13,13 +13,14 @@ from ..operators.upsert import upsert
 from . import oracle as O
 from .catalog import STORED_AT, UPSERT_NOW, normalized_contacts, register
 from .derived import incoming_updates
-from ..functions.provider import company_columns, map_company, map_person
+from ..functions.provider import company_columns, map_company, map_person, person_columns
 from ..operators.enrich import enrich_records
 from ..operators.keys import with_batches
 from ..operators.enrich import people_request_col
 from ..functions.text import has_value
 from .derived import duck_sql
-from .provider_fixtures import COMPANIES_SQL, PEOPLE_SQL, company_provider, people_provider
+from .provider_fixtures import (COMPANIES_SQL, PEOPLE_SQL, company_callable, company_provider,
+                                people_callable, people_provider)
 from ..operators.extract import extract_contacts, items_to_contacts, parse_reply
 from .derived import read_table, spark_sql
 from .extract_fixtures import (EXTRACT_ORACLE, PARSED_ITEMS_ORACLE, REPLIES_SQL,
@@ -561,3 +562,46 @@ def q_enrichment_errors(spark, sf_dir):
     mapped, _ = map_columns(raw_contacts(spark, sf_dir))
     e = enrich_records(mapped, people_provider(spark, sf_dir), None)
     return enrichment_errors(e.frame)
+
+
+# ================================================================= batched provider calls
+
+
+
+def _calls_sql(kind: str) -> str:
+    q = O.q
+    email, first, web = f"c.{q(S.EMAIL)}", f"c.{q(S.FIRST)}", f"c.{q(S.WEBSITE)}"
+    cols = list(dict.fromkeys(company_columns() + person_columns())) if kind == "people" else company_columns()
+    if kind == "people":
+        matched = f"NOT ends_with({email}, '5@example.com')"
+        set_vals = {S.TITLE: f"'Lead ' || CASE WHEN {first} <> '' THEN {first} ELSE '?' END",
+                    S.DEFAULT_PREFIXES.person + "Seniority":
+                        f"CASE WHEN length({email}) % 2 = 1 THEN 'senior' END",
+                    S.DEFAULT_PREFIXES.person + "Departments": "'ops'"}
+    else:
+        dom = O.d_domain(f"trim({web})")
+        matched = f"(trim({web}) <> '' AND {dom} IS NOT NULL AND NOT ends_with({dom}, '.net'))"
+        set_vals = {S.COMPANY: f"upper(split_part({dom}, '.', 1))",
+                    S.EMPLOYEES: f"CAST(length({dom}) AS VARCHAR)",
+                    S.LISTED: f"CASE WHEN length({dom}) % 2 = 1 THEN 'Yes' ELSE 'No' END",
+                    S.DEFAULT_PREFIXES.company + "Public Ticker": f"CASE WHEN length({dom}) % 2 = 1 THEN 'X' END"}
+    sel = ["c._row_id"]
+    for c in _CONTACT_COLS + [x for x in cols if x not in _CONTACT_COLS]:
+        keep = f"c.{q(c)}" if c in _CONTACT_COLS else "''"
+        if c in set_vals:
+            v = set_vals[c]
+            sel.append(f"CASE WHEN {matched} AND ({v}) IS NOT NULL AND ({v}) <> '' THEN {v} ELSE {keep} END AS {q(c)}")
+        else:
+            sel.append(f"{keep} AS {q(c)}")
+    sel.append(f"'' AS {q('_enrichment_error')}")
+    return f"SELECT {', '.join(sel)} FROM ({O.deduped_contacts_sql()}) c"
+
+
+@register("enrich_people_calls", _calls_sql("people"))
+def q_enrich_people_calls(spark, sf_dir):
+    return enrich_records(contacts(spark, sf_dir), people_callable, None).frame
+
+
+@register("enrich_companies_calls", _calls_sql("companies"))
+def q_enrich_companies_calls(spark, sf_dir):
+    return enrich_records(contacts(spark, sf_dir), None, company_callable).frame

@@ -121,3 +121,27 @@ def company_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
         "annual_revenue": F.col("annual_revenue"),
     })
     return flat.select("domain", org.alias("organization"))
+
+
+def people_callable(endpoint: str, payload: dict, timeout: float) -> dict:
+    """Stand-in people provider: answers from the request alone. E-mails
+    ending in ``5@example.com`` have no match."""
+    out = []
+    for d in payload["details"]:
+        email = d.get("email", "")
+        if email.endswith("5@example.com"):
+            out.append(None)
+            continue
+        out.append({"title": "Lead " + d.get("first_name", "?"),
+                    "seniority": "senior" if len(email) % 2 else "",
+                    "departments": ["ops", ""]})
+    return {"matches": out}
+
+
+def company_callable(endpoint: str, payload: dict, timeout: float) -> dict:
+    """Stand-in company provider: one organisation per requested domain;
+    ``.net`` domains have no match."""
+    return {"matches": [None if d.endswith(".net") else
+                        {"name": d.split(".")[0].upper(), "estimated_num_employees": len(d),
+                         "publicly_traded_symbol": "X" if len(d) % 2 else None}
+                        for d in payload["domains"]]}
