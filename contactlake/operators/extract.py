@@ -87,20 +87,17 @@ def extract_contacts(pages: DataFrame, primary: Callable[[str, str], str] | None
         "page_id", "url", "source", "item_pos", *ITEM_COLUMNS)
 
 
-def items_to_contacts(items: DataFrame, keep_rows_without_email: bool | None = None,
-                      lead_source: str = S.SCRAPE_LEAD_SOURCE) -> DataFrame:
+def items_to_contacts(items: DataFrame, lead_source: str = S.SCRAPE_LEAD_SOURCE) -> DataFrame:
     """Items -> base-column contact rows: ``Lead Source`` = the scrape value,
     ``Email Send`` = "No", other base columns ''. The e-mail column is
-    present when some item has an e-mail (then rows without one are dropped
-    later by normalisation); ``keep_rows_without_email=True`` keeps it absent
-    whatever the data. Order key ``_row_id`` = (page, item) rank."""
+    present only when some item has an e-mail (normalisation then drops the
+    rows without one, unless it is told not to validate e-mails). Order key
+    ``_row_id`` = page_id * 1,000,000 + item position."""
     def s(c: str):
         return F.coalesce(py_strip(F.col(c)), F.lit(""))
 
     rows = items.where((s("firstName") != "") | (s("lastName") != "") | (s("organization") != ""))
-    with_email = False
-    if not keep_rows_without_email:
-        with_email = rows.where(s("email") != "").limit(1).count() > 0
+    with_email = rows.where(s("email") != "").limit(1).count() > 0
     base = [c for c in S.BASE_COLUMNS if c not in (S.SN, S.UPDATED)]
     cols = [(F.col("page_id") * F.lit(1_000_000) + F.col("item_pos")).cast("long").alias("_row_id")]
     for c in base:

@@ -169,8 +169,10 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
     items = extract_contacts(pages, primary, fallback)
     checkpoint_dir(spark)
     items = items.checkpoint(eager=True)  # extractor called once
-    rows = items_to_contacts(items, keep_rows_without_email)
-    rows = normalize(rows, lead_source=S.SCRAPE_LEAD_SOURCE)
+    rows = items_to_contacts(items)
+    # parity: with an e-mail column, rows without e-mail are dropped here;
+    # keep_rows_without_email keeps them (they are then skipped at save)
+    rows = normalize(rows, lead_source=S.SCRAPE_LEAD_SOURCE, validate_email=not keep_rows_without_email)
     rows = dedupe_by_name_company(rows)[0].checkpoint(eager=True)
     summary["total_processed"] = rows.count()
     if summary["total_processed"] == 0:

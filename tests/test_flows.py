@@ -130,3 +130,46 @@ def test_stream_upsert_replay(spark, tmpdir_path):
     outs = spark.read.parquet(store.root + "/_outcomes").where(F.col("_row_id") >= 3).collect()
     assert sorted(o["action"] for o in outs) == ["skip", "skip"]
     assert {r[S.UPDATED] for r in store.read().collect()} == {NOW}
+
+
+def scrape_reply(html, url):
+    return '```json\n[{"name": "Jane Smith", "company": "acme corp", "email": "jane@acme.com"},' \
+           ' {"firstName": "Bob", "organization": "Beta"}, {"name": "Jane Smith", "company": "acme corp"}]\n```'
+
+
+def no_reply(html, url):
+    return ""
+
+
+def fallback_items(url):
+    return {"items": [{"name": "Fall Back", "org": "Gamma", "email": "fb@gamma.com"}]}
+
+
+def test_ingest_pages(spark, tmpdir_path):
+    from contactlake.plans.flows import ingest_pages
+
+    pages = spark.createDataFrame([(1, "https://a.com", "<html>x</html>"), (2, "https://b.com", None)],
+                                  "page_id long, url string, html string")
+    store = TruthStore(spark, f"{tmpdir_path}/scrape")
+    r = ingest_pages(spark, pages, store, scrape_reply, fallback_items, now=NOW)
+    # page 1: three items, the repeated name+company dropped; as some items
+    # carry an e-mail, Bob (none) is dropped by normalisation; page 2 (no
+    # html) goes to the fallback
+    assert r.summary["total_processed"] == 2
+    assert r.summary["new_inserts"] == 2 and r.summary["skipped_no_email"] == 0
+    rows = {x[S.EMAIL]: x for x in store.read().collect()}
+    assert rows["jane@acme.com"][S.COMPANY] == "Acme Corp" and rows["jane@acme.com"][S.LEAD_SOURCE] == "Website Scrape"
+    assert rows["fb@gamma.com"][S.FIRST] == "Fall" and rows["fb@gamma.com"][S.LAST] == "Back"
+    kept = ingest_pages(spark, pages, TruthStore(spark, f"{tmpdir_path}/scrape3"), scrape_reply, fallback_items,
+                        now=NOW, keep_rows_without_email=True)
+    assert kept.summary["total_processed"] == 3 and kept.summary["skipped_no_email"] == 1
+    r2 = ingest_pages(spark, pages, TruthStore(spark, f"{tmpdir_path}/scrape2"), no_reply, None, now=NOW)
+    assert r2.summary["total_processed"] == 0
+
+
+def test_export_file_name():
+    import re
+
+    from contactlake.sources.workbook import export_file_name
+
+    assert re.match(r"^contacts_export_\d{8}_\d{6}\.xlsx$", export_file_name())
