@@ -48,20 +48,21 @@ def _call_each(df: DataFrame, fn: Callable, args: list[str], parallelism: int |
                 if r is not None and not isinstance(r, str):
                     r = json.dumps(r)
                 out.append(r)
-            yield pd.DataFrame({"page_id": pdf["page_id"].tolist(), "reply": out})
+            yield pd.DataFrame({"page_id": pdf["page_id"].tolist(), "url": pdf["url"].tolist(), "reply": out})
 
-    return df.select("page_id", *[a for a in args]).mapInPandas(run, "page_id long, reply string")
+    cols = ["page_id", "url"] + [a for a in args if a != "url"]
+    return df.select(*cols).mapInPandas(run, "page_id long, url string, reply string")
 
 
-def parse_reply(replies: DataFrame) -> DataFrame:
+def parse_reply(replies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(page_id, reply)`` -> ``(page_id, item_pos, firstName, lastName,
     organization, email)`` keeping items with a name or organisation.
     Sets ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` on the session (item keys
     that collide after lower-casing: the later one wins)."""
     apply_runtime_conf(replies.sparkSession)
-    objs = replies.select("page_id", F.posexplode(reply_objects("reply")).alias("item_pos", "m"))
-    items = objs.select("page_id", "item_pos", normalize_item("m").alias("it")).where(keep_item(F.col("it")))
-    return items.select("page_id", "item_pos", *[F.col("it")[c].alias(c) for c in ITEM_COLUMNS])
+    objs = replies.select("page_id", *keep, F.posexplode(reply_objects("reply")).alias("item_pos", "m"))
+    items = objs.select("page_id", *keep, "item_pos", normalize_item("m").alias("it")).where(keep_item(F.col("it")))
+    return items.select("page_id", *keep, "item_pos", *[F.col("it")[c].alias(c) for c in ITEM_COLUMNS])
 
 
 def extract_contacts(pages: DataFrame, primary: Callable[[str, str], str] | None,
@@ -75,16 +76,18 @@ def extract_contacts(pages: DataFrame, primary: Callable[[str, str], str] | None
     if primary is not None:
         usable = pages.where(F.col("html").isNotNull() & (py_strip(F.col("html")) != F.lit("")))
         prepared = usable.select("page_id", "url", truncate_text(F.col("html"), max_chars).alias("html"))
-        found = parse_reply(_call_each(prepared, primary, ["html", "url"], parallelism)) \
+        found = parse_reply(_call_each(prepared, primary, ["html", "url"], parallelism), keep=("url",)) \
             .withColumn("source", F.lit("primary"))
     if fallback is not None:
-        rest = pages if found is None else pages.join(found.select("page_id").distinct(), "page_id", "left_anti")
-        more = parse_reply(_call_each(rest, fallback, ["url"], parallelism)).withColumn("source", F.lit("fallback"))
+        # only (page_id, url) is shuffled for the anti join, never the html
+        ids = pages.select("page_id", "url")
+        rest = ids if found is None else ids.join(found.select("page_id").distinct(), "page_id", "left_anti")
+        more = parse_reply(_call_each(rest, fallback, ["url"], parallelism), keep=("url",)) \
+            .withColumn("source", F.lit("fallback"))
         found = more if found is None else found.unionByName(more)
     if found is None:
         raise ValueError("no extractor given")
-    return found.join(pages.select("page_id", "url"), "page_id").select(
-        "page_id", "url", "source", "item_pos", *ITEM_COLUMNS)
+    return found.select("page_id", "url", "source", "item_pos", *ITEM_COLUMNS)
 
 
 def items_to_contacts(items: DataFrame, lead_source: str = S.SCRAPE_LEAD_SOURCE) -> DataFrame:
