@@ -26,7 +26,7 @@ from .. import schema as S
 from ..functions.text import display_value, has_value, mask_pii
 from ..operators.columns import column_catalog, map_columns, qcol
 from ..operators.dedupe import dedupe_by_email, dedupe_by_name_company
-from ..operators.enrich import ERROR, enrich_records
+from ..operators.enrich import ERROR, enrich_records, prune_empty_new_columns
 from ..operators.extract import extract_contacts, items_to_contacts
 from ..operators.normalize import normalize, prepare_for_save
 from ..operators.search import build_filters, export_frame, search, search_total
@@ -135,7 +135,7 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
                            org_enrichment_skipped_no_domain=c["n"])
             from ..operators.enrich import FLAGS
 
-            rows = full.drop(*FLAGS)
+            rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
         res, version, skipped = save(store, rows, now=now)
         summary.update(_counts(res))
         summary["skipped_no_email"] = skipped
@@ -184,7 +184,7 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
         summary.update(people_enriched=c["p"], orgs_enriched=c["o"])
         from ..operators.enrich import FLAGS
 
-        rows = full.drop(*FLAGS)
+        rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
     res, version, skipped = save(store, rows, now=now)
     summary.update(_counts(res))
     summary["skipped_no_email"] = skipped

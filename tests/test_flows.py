@@ -54,6 +54,9 @@ def test_upload_and_enrich(spark, tmpdir_path):
     assert a[S.DEFAULT_PREFIXES.person + "Departments"] == "eng"
     assert a[S.DEFAULT_PREFIXES.company + "Department Headcount"] == "eng: 3"
     assert a[S.WEBSITE] == "acme.com" and a[S.UPDATED] == NOW and a[S.SN] == 1
+    # provider columns nobody carried are not added to the table
+    assert S.DEFAULT_PREFIXES.person + "Github URL" not in a
+    assert S.DEFAULT_PREFIXES.person + "Seniority" in a
     errs = r.errors.collect()
     assert len(errs) == 1 and errs[0]["email"].startswith("f***@x***.com") and "400" in errs[0]["message"]
     # second upload of the same sheet: nothing new
