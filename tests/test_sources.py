@@ -159,3 +159,25 @@ def test_request_batches(spark):
     assert people[0]["details"][0] == {"first_name": "F0", "organization_domain": "www.d0.com", "email": "u0@x.com"}
     orgs = {r["batch_id"]: json.loads(r["payload"]) for r in request_batches(df, "companies").collect()}
     assert orgs[0]["domains"][:2] == ["d0.com", "d2.com"] and sum(len(v["domains"]) for v in orgs.values()) == 12
+
+
+def test_input_order_across_splits(spark, tmpdir_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    os.makedirs(f"{tmpdir_path}/pq")
+    for name, start in (("b.parquet", 5000), ("a.parquet", 0)):
+        t = pa.table({"Email": [f"u{i}@x.com" for i in range(start, start + 4000)],
+                      "n": list(range(start, start + 4000))})
+        pq.write_table(t, f"{tmpdir_path}/pq/{name}", row_group_size=500)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = read_contacts(spark, f"{tmpdir_path}/pq", "parquet")
+        assert spark.read.parquet(f"{tmpdir_path}/pq").rdd.getNumPartitions() > 2
+        got = [int(r["n"]) for r in df.orderBy("_row_id").collect()]
+        ids = sorted(r["_row_id"] for r in df.select("_row_id").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(range(0, 4000)) + list(range(5000, 9000))
+    assert ids == list(range(8000))
