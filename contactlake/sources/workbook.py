@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators.keys import with_index
 from ..session import checkpoint_dir, posix_path, ship_package
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -194,7 +193,16 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float = 50.0,
     frame = frames[0]
     for f in frames[1:]:
         frame = frame.unionByName(f, allowMissingColumns=True)
-    frame = with_index(frame, ["_file", "row_idx"], name="_row_id").drop("row_idx")
+    # position = rows of earlier files + row index inside the file (rows of a
+    # file are numbered contiguously by the parser): one count per file
+    counts = data.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, running = [], 0
+    for r in sorted(counts, key=lambda r: r["path"]):
+        offsets.append((r["path"], running))
+        running += int(r["n"])
+    off = spark.createDataFrame(offsets or [("", 0)], "_file string, __off long")
+    frame = frame.join(F.broadcast(off), "_file", "inner") \
+        .withColumn("_row_id", F.col("__off") + F.col("row_idx") - 1).drop("row_idx", "__off")
     return WorkbookRead(frame, sorted(set(warnings), key=warnings.index))
 
 
