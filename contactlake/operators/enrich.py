@@ -127,8 +127,11 @@ def org_domain_col(df: DataFrame) -> Column:
     return F.when(~is_blank(web), extract_domain(py_strip(web)))
 
 
-def _first_per_key(df: DataFrame, key: str, obj: str) -> DataFrame:
-    """One provider row per key (deterministic pick among duplicates)."""
+def _first_per_key(df: DataFrame, key: str, obj: str, unique: bool = False) -> DataFrame:
+    """One provider row per key (deterministic pick among duplicates).
+    Skipped when the caller declares the provider keys unique."""
+    if unique:
+        return df
     return df.groupBy(key).agg(F.min_by(F.col(obj), F.to_json(F.col(obj))).alias(obj))
 
 
@@ -201,7 +204,8 @@ def _unmatched_key(prefix: str) -> Column:
 
 
 def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                    parallelism: int | None, broadcast_rows: int) -> tuple[DataFrame, str]:
+                    parallelism: int | None, broadcast_rows: int | None,
+                    unique: bool = False) -> tuple[DataFrame, str]:
     """Person matches for records with an identifier; (frame, join column)."""
     sent = has_people_identifier(df)
     if isinstance(provider, DataFrame):
@@ -209,7 +213,7 @@ def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolic
             *[F.col(c).cast("string").alias(c) for c in
               ("first_name", "last_name", "organization_domain", "organization_name", "email")]
         )).alias("__key"), F.col("person"))
-        prov = sized_broadcast(_first_per_key(prov, "__key", "person"), broadcast_rows)
+        prov = sized_broadcast(_first_per_key(prov, "__key", "person", unique), broadcast_rows)
         return prov.select("__key", F.col("person").alias("__person"),
                            F.lit(None).cast("string").alias("__perr")), "__key"
     rows = df.where(sent).select(qcol(ROW_ID).alias(ROW_ID), F.to_json(people_request_col(df)).alias("req"))
@@ -219,11 +223,12 @@ def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolic
 
 
 def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                 parallelism: int | None, broadcast_rows: int) -> tuple[DataFrame, str]:
+                 parallelism: int | None, broadcast_rows: int | None,
+                 unique: bool = False) -> tuple[DataFrame, str]:
     """Organisation matches per record with a domain; (frame, join column)."""
     if isinstance(provider, DataFrame):
         prov = provider.select(F.lower(F.col("domain")).alias("__domain"), F.col("organization"))
-        prov = sized_broadcast(_first_per_key(prov, "__domain", "organization"), broadcast_rows)
+        prov = sized_broadcast(_first_per_key(prov, "__domain", "organization", unique), broadcast_rows)
         return prov.select("__domain", F.col("organization").alias("__org"),
                            F.lit(None).cast("string").alias("__oerr")), "__domain"
     sent = df.select(qcol(ROW_ID).alias(ROW_ID), org_domain_col(df).alias("d")).where(F.col("d").isNotNull())
@@ -237,9 +242,13 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
                    enrich_people: bool = True, enrich_companies: bool = True,
                    prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
                    batch_size: int = S.MAX_PROVIDER_BATCH, policy: RetryPolicy | None = None,
-                   parallelism: int | None = None, broadcast_rows: int | None = None) -> Enriched:
+                   parallelism: int | None = None, broadcast_rows: int | None = None,
+                   provider_unique: bool = False) -> Enriched:
     """Enrich contact rows (with ``_row_id``) by people and/or companies.
 
+    ``provider_unique=True`` declares provider tables unique on their key,
+    which skips the per-key pick (an aggregation) before the join.
+
     Without any provider the frame is returned unchanged. Records without
     a people identifier get ``Skipped (no identifier for matching)``. New
     columns start as ``""``; a mapped non-empty value overwrites per the
@@ -258,7 +267,8 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
     emb_cols: list[tuple[str, Column]] = []
     org_cols: list[tuple[str, Column]] = []
     if do_people:
-        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, broadcast_rows)
+        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, broadcast_rows,
+                                  provider_unique)
         if key == "__key":
             k = F.when(has_people_identifier(df), request_key(people_request_col(df)))
             out = out.withColumn("__key", F.coalesce(k, _unmatched_key("\u0000"))).join(pm, "__key", "left")
@@ -267,7 +277,8 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
         person_cols = map_person(F.col("__person"), PERSON_SCHEMA, prefixes)
         emb_cols = map_company(F.col("__person")["organization"], ORG_SCHEMA, prefixes)
     if do_orgs:
-        om, key = _org_matches(df, company_provider, batch_size, policy, parallelism, broadcast_rows)
+        om, key = _org_matches(df, company_provider, batch_size, policy, parallelism, broadcast_rows,
+                               provider_unique)
         if key == "__domain":
             dom = F.coalesce(org_domain_col(df), _unmatched_key("\u0000"))
             out = out.withColumn("__domain", dom).join(om, "__domain", "left")
