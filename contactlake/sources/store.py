@@ -53,34 +53,37 @@ class TruthStore:
     def _log(self) -> str:
         return f"{self.root}/_log"
 
-    def _log_rows(self) -> list:
+    def _log_frame(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self._log).collect()  # one small row per version
+            return self.spark.read.parquet(self._log)
         except Exception:  # no log yet
-            return []
-
-    def _last(self):
-        rows = sorted(self._log_rows(), key=lambda r: r["version"])
-        return rows[-1] if rows else None
+            return None
 
     def versions(self) -> list[int]:
-        return sorted(int(r["version"]) for r in self._log_rows())
+        log = self._log_frame()
+        return [] if log is None else sorted(int(r[0]) for r in log.select("version").collect())
+
+    def _row(self, version: int | None = None):
+        """The log row of ``version`` (default: the latest); only that row
+        (with its manifest) is fetched."""
+        log = self._log_frame()
+        if log is None:
+            return None
+        v = version if version is not None else log.agg(F.max("version")).first()[0]
+        return None if v is None else log.where(F.col("version") == F.lit(v)).first()
 
     def current_version(self) -> int | None:
-        last = self._last()
-        return int(last["version"]) if last else None
+        row = self._row()
+        return int(row["version"]) if row else None
 
     def max_sn(self) -> int | None:
         """Highest serial number of the current version, from the log."""
-        last = self._last()
-        return last["max_sn"] if last else None
+        row = self._row()
+        return row["max_sn"] if row else None
 
     def manifest(self, version: int | None = None) -> list[int]:
-        rows = {int(r["version"]): r for r in self._log_rows()}
-        if not rows:
-            return [-1] * self.buckets
-        v = max(rows) if version is None else version
-        return list(rows[v]["manifest"])
+        row = self._row(version)
+        return [-1] * self.buckets if row is None else list(row["manifest"])
 
     def path(self, version: int) -> str:
         return f"{self.root}/v={version}"
