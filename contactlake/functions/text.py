@@ -146,9 +146,10 @@ def title_case(c: Column | str) -> Column:
     lowered = F.lower(_c(c))
     parked = F.translate(lowered, " ", _SPACE_MARK)
     spaced = F.regexp_replace(parked, rf"(?<=[^{CASED}])(?=[{CASED}])", " ")
-    capped = F.regexp_replace(F.initcap(spaced), " ß", " Ss")
-    capped = F.regexp_replace(capped, "^ß", "Ss")
-    return F.translate(F.regexp_replace(capped, " ", ""), _SPACE_MARK, " ")
+    capped = F.initcap(spaced)
+    # only texts holding a sharp s pay for the word-initial fix-up
+    capped = F.when(capped.contains("ß"), F.regexp_replace(capped, "(^| )ß", "$1Ss")).otherwise(capped)
+    return F.translate(F.replace(capped, F.lit(" "), F.lit("")), _SPACE_MARK, " ")
 
 
 def collapse_spaces(c: Column | str) -> Column:
