@@ -122,3 +122,21 @@ def test_display_order_and_catalog(spark):
     cat = [(r["name"], r["kind"], r["ordinal"]) for r in column_catalog(spark, df).orderBy("ordinal").collect()]
     assert cat[:3] == [(S.SN, "base", 0), (S.EMAIL, "base", 1), (S.FIRST, "base", 2)]
     assert [c[0] for c in cat[3:]] == sorted([P.company + "Keywords", P.person + "Headline"])
+
+
+def test_people_match_by_name_when_no_email(spark):
+    from contactlake.functions.provider import PERSON_SCHEMA
+
+    df = frame(spark, ["_row_id", S.EMAIL, S.FIRST, S.LAST, S.WEBSITE, S.COMPANY, S.TITLE],
+               [(1, "", "Ann", "Lee", "acme.com", "Acme", ""), (2, "", "Bob", "Ray", "", "Beta Co", ""),
+                (3, "", "Cy", "", "", "", "")])
+    person = F.struct(*[(F.lit("Found") if f.name == "title" else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in PERSON_SCHEMA.fields])
+    rows = [("Ann", "Lee", "acme.com", None), ("Bob", "Ray", None, "Beta Co"), ("Cy", None, None, None)]
+    prov = spark.createDataFrame(rows, "first_name string, last_name string, organization_domain string, "
+                                       "organization_name string") \
+        .withColumn("email", F.lit(None).cast("string")).withColumn("person", person)
+    out = {r["_row_id"]: r for r in enrich_records(df, prov, None, provider_unique=True).frame.collect()}
+    assert out[1][S.TITLE] == "Found" and out[2][S.TITLE] == "Found"
+    # row 3 has no identifier (first name alone): skipped, not looked up
+    assert out[3][S.TITLE] == "" and out[3]["_enrichment_error"] == S.SKIPPED_NO_IDENTIFIER
