@@ -146,9 +146,9 @@ def title_case(c: Column | str) -> Column:
     lowered = F.lower(_c(c))
     parked = F.translate(lowered, " ", _SPACE_MARK)
     spaced = F.regexp_replace(parked, rf"(?<=[^{CASED}])(?=[{CASED}])", " ")
-    capped = F.initcap(spaced)
-    # only texts holding a sharp s pay for the word-initial fix-up
-    capped = F.when(capped.contains("ß"), F.regexp_replace(capped, "(^| )ß", "$1Ss")).otherwise(capped)
+    # one pass fixes a word-initial sharp s (referencing the initcap result
+    # once: a CASE over it would evaluate it per branch)
+    capped = F.regexp_replace(F.initcap(spaced), "(^| )ß", "$1Ss")
     return F.translate(F.replace(capped, F.lit(" "), F.lit("")), _SPACE_MARK, " ")
 
 
