@@ -67,8 +67,7 @@ def map_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
         seen.setdefault(target.lower(), 0)
         keep.append(F.col(tmp[i]).alias(target))
     if dup_mapped or dup_plain:
-        warnings.append("Duplicate column names detected (e.g. 'Email.1'); "
-                        "only the first matching column is used for each field.")
+        warnings.append(S.MSG_DUPLICATE_COLUMNS)
     return df.toDF(*tmp).select(*keep), warnings
 
 

@@ -35,7 +35,7 @@ def dedupe_by_email(df: DataFrame, order: str = ROW_ID) -> tuple[DataFrame, list
     """First row per e-mail (case-sensitive); unchanged with a warning when
     the frame has no e-mail column."""
     if S.EMAIL not in df.columns:
-        return df, ["Email column not found, skipping deduplication"]
+        return df, [S.MSG_NO_EMAIL_DEDUPE]
     return keep_first(df, [S.EMAIL], order), []
 
 
@@ -44,5 +44,5 @@ def dedupe_by_name_company(df: DataFrame, order: str = ROW_ID) -> tuple[DataFram
     keys = [S.FIRST, S.LAST, S.COMPANY]
     missing = [k for k in keys if k not in df.columns]
     if missing:
-        return df, [f"Columns {missing} not found, skipping name+company deduplication"]
+        return df, [S.MSG_NO_NAME_COMPANY_DEDUPE.format(missing=missing)]
     return keep_first(df, keys, order), []

@@ -82,8 +82,8 @@ def call_with_retry(fn, endpoint: str, payload: dict, policy: RetryPolicy) -> di
             attempt += 1
             timeout = int(timeout * 1.5)
         except Exception as e:  # connection errors and the like
-            raise ProviderError(f"Request failed: {e}") from e
-    raise ProviderError(f"Request failed after {policy.max_attempts} attempts")
+            raise ProviderError(S.MSG_REQUEST_FAILED.format(error=e)) from e
+    raise ProviderError(S.MSG_RETRIES_EXHAUSTED.format(attempts=policy.max_attempts))
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:

@@ -118,8 +118,7 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
         if rows.isEmpty():
             return _empty(summary, warnings)
         if S.EMAIL not in rows.columns:
-            raise ValueError("The file must contain an email column (e.g. 'Email', 'Email Address', "
-                             "'E-mail'). No rows can be saved without email.")
+            raise ValueError(S.MSG_NO_EMAIL_COLUMN)
         rows = dedupe_by_email(rows)[0]
         checkpoint_dir(spark)
         rows = rows.checkpoint(eager=True)
@@ -141,7 +140,7 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
         summary["skipped_no_email"] = skipped
         return RunResult(summary, res.outcomes, enrichment_errors(rows), warnings, version)
     except Exception as e:  # the run reports instead of raising
-        summary["errors"] = [{"email": "N/A", "message": f"Processing failed: {e}"}]
+        summary["errors"] = [{"email": "N/A", "message": S.MSG_PROCESSING_FAILED.format(error=e)}]
         summary["processing_failed"] = True
         if summary["total_processed"] > 0:
             summary["failed"] = summary["total_processed"]

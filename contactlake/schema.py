@@ -120,6 +120,17 @@ EXPORT_ROW_CAP = 1_000_000
 PAGE_SIZES = [25, 50, 100, 500]
 EXPORT_SHEET = "Truth Data"
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+MSG_MULTIPLE_SHEETS = "Multiple sheets detected; only the first sheet was read."
+MSG_DUPLICATE_COLUMNS = ("Duplicate column names detected (e.g. 'Email.1'); "
+                         "only the first matching column is used for each field.")
+MSG_NO_EMAIL_COLUMN = ("The file must contain an email column (e.g. 'Email', 'Email Address', "
+                       "'E-mail'). No rows can be saved without email.")
+MSG_NO_EMAIL_DEDUPE = "Email column not found, skipping deduplication"
+MSG_NO_NAME_COMPANY_DEDUPE = "Columns {missing} not found, skipping name+company deduplication"
+MSG_NO_DATA_EXPORT = "No data to export"
+MSG_PROCESSING_FAILED = "Processing failed: {error}"
+MSG_REQUEST_FAILED = "Request failed: {error}"
+MSG_RETRIES_EXHAUSTED = "Request failed after {attempts} attempts"
 
 # --------------------------------------------------------------------------
 # End of fixed values

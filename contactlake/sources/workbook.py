@@ -166,7 +166,7 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float = 50.0,
     heads = parsed.where(F.col("row_idx") == 0).select("path", "sheets", "cells").collect()
     warnings: list[str] = []
     if any(h["sheets"] > 1 for h in heads):
-        warnings.append("Multiple sheets detected; only the first sheet was read.")
+        warnings.append(S.MSG_MULTIPLE_SHEETS)
     if max_rows:
         over = parsed.groupBy("path").agg(F.max("row_idx").alias("n")).where(F.col("n") > max_rows).limit(1).collect()
         if over:
@@ -181,8 +181,7 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float = 50.0,
     frames = []
     for names, paths in groups.items():
         if any(re.match(r"^.+\.\d+$", n.strip()) for n in names):
-            warnings.append("Duplicate column names detected (e.g. 'Email.1'); "
-                            "only the first matching column is used for each field.")
+            warnings.append(S.MSG_DUPLICATE_COLUMNS)
         rows = data if len(groups) == 1 else data.where(F.col("path").isin(paths))
         part = rows.select(
             F.col("path").alias("_file"), "row_idx",
@@ -275,7 +274,7 @@ def export_workbooks(df: DataFrame, out_dir: str, rows_per_part: int = 500_000,
     import os
 
     if df.isEmpty():
-        raise ValueError("No data to export")
+        raise ValueError(S.MSG_NO_DATA_EXPORT)
     ship_package(df.sparkSession)
     n = df.count()
     parts = max(1, -(-n // rows_per_part))
