@@ -155,3 +155,26 @@ class TruthStore:
         self.spark.createDataFrame([(v, max_sn, man)], "version long, max_sn long, manifest array<long>") \
             .coalesce(1).write.mode("append").parquet(self._log)
         return v
+
+    # ------------------------------------------------------------- housekeeping
+    def vacuum(self, keep_last: int = 2) -> list[int]:
+        """Delete version folders that none of the last ``keep_last``
+        versions' manifests refer to; returns the deleted versions. Older
+        versions can no longer be read afterwards. Uses the Hadoop
+        FileSystem of the store's path, so it works on any store URI."""
+        if keep_last < 1:
+            raise ValueError("keep_last must be >= 1")
+        versions = self.versions()
+        kept = versions[-keep_last:]
+        needed = set(kept)
+        for v in kept:
+            needed |= {int(x) for x in self.manifest(v) if x >= 0}
+        doomed = [v for v in versions if v not in needed]
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for v in doomed:
+            p = jvm.org.apache.hadoop.fs.Path(self.path(v))
+            fs = p.getFileSystem(conf)
+            if fs.exists(p):
+                fs.delete(p, True)
+        return doomed

@@ -181,3 +181,22 @@ def test_input_order_across_splits(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == list(range(0, 4000)) + list(range(5000, 9000))
     assert ids == list(range(8000))
+
+
+def test_vacuum_keeps_referenced_versions(spark, tmpdir_path):
+    from contactlake.operators.upsert import upsert
+
+    store = TruthStore(spark, f"{tmpdir_path}/vac", buckets=4)
+    schema = f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string"
+    res = upsert(store.read(), spark.createDataFrame([(i, f"u{i}@x.com", "A") for i in range(20)], schema), now="t")
+    store.commit(res.state, max_sn=res.max_sn)                                   # v1: all buckets
+    for k in range(3):                                                           # v2..v4: one bucket each
+        b = spark.createDataFrame([(100 + k, "u1@x.com", "B")], schema)
+        touched = store.touched_buckets(b)
+        r = upsert(store.read(buckets=touched), b, now=f"t{k}", max_sn=store.max_sn())
+        store.commit(r.state, max_sn=r.max_sn, buckets=touched)
+    before = store.read().count()
+    deleted = store.vacuum(keep_last=1)
+    assert deleted == [2, 3]            # v1 still holds the untouched buckets, v4 is current
+    assert store.read().count() == before == 20
+    assert not os.path.exists(f"{tmpdir_path}/vac/v=2") and os.path.exists(f"{tmpdir_path}/vac/v=1")
