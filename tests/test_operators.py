@@ -140,3 +140,16 @@ def test_people_match_by_name_when_no_email(spark):
     assert out[1][S.TITLE] == "Found" and out[2][S.TITLE] == "Found"
     # row 3 has no identifier (first name alone): skipped, not looked up
     assert out[3][S.TITLE] == "" and out[3]["_enrichment_error"] == S.SKIPPED_NO_IDENTIFIER
+
+
+def test_rejected_emails_and_enrichment_counts(spark):
+    from contactlake.operators.normalize import rejected_emails
+    from contactlake.operators.stats import enrichment_counts
+
+    df = frame(spark, ["_row_id", S.EMAIL, S.FIRST], [(1, "a@x.com", "A"), (2, "bad", "B"), (3, None, "C"),
+                                                      (4, None, None)])
+    # row 4 is entirely empty: dropped before the e-mail check, not counted as rejected
+    assert sorted(r["_row_id"] for r in rejected_emails(df).collect()) == [2, 3]
+    e = frame(spark, ["_row_id", "_enrichment_error"], [(1, ""), (2, None), (3, "API error 400: x")])
+    c = enrichment_counts(e).first()
+    assert (c["enriched"], c["with_error"]) == (2, 1)
