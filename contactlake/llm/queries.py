@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, mixing, near_dup, piece_codec, quality, token_count, topk, url_filter
+from . import html_text, language, mixing, near_dup, piece_codec, quality, suffix_dup, token_count, topk, url_filter
 from .common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,6 +68,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filter": op6_url_filter,
