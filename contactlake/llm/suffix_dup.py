@@ -14,8 +14,10 @@ so the difference-cover construction is carried to this depth and no further:
    range partitioned over all tasks and sorted; a tuple whose name has no
    equal neighbour can't lie in a repeat.
 3. Recurse and merge. Only places within reach before a sampled place with a
-   repeated name remain. Their names, now of the whole LENGTH bytes (96 bits),
-   are range partitioned and sorted in the same way.
+   repeated name remain. A second naming of these sampled places takes in what
+   strings share that begin in one of ``PARTS`` parts of the reach, and leaves
+   the parts whose name is repeated. Then all remaining places are named by
+   their whole LENGTH bytes (88 bits), partitioned and sorted in the same way.
 4. Compare adjacent. A place whose name equals a neighbour's starts a repeated
    string; the bytes that such strings cover are removed.
 
@@ -55,6 +57,8 @@ LENGTH = 400
 Q = 17
 CHUNK = 2 << 20
 RANGE = 4_000_000
+PARTS = 4
+LAST = 3
 _BASE = 0x5851F42D4C957F2D
 _BLOCK = 1 << 20
 
@@ -93,24 +97,6 @@ def _powers() -> list[np.ndarray]:
     return _POWERS
 
 
-def names(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """64-bit fingerprints of the ``length`` bytes (8 at least) from each of the rising ``places``."""
-    forth, back = _powers()
-    out = np.empty(len(places), np.uint64)
-    for a in range(0, len(data), _BLOCK):
-        i, j = np.searchsorted(places, (a, a + _BLOCK))
-        if i == j:
-            continue
-        own = data[a: a + _BLOCK + length]
-        own = np.concatenate([own, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.sliding_window_view(own, 8)
-        symbols = mixed(np.ascontiguousarray(eight).view("<u8").ravel()[:-1])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * forth[: len(symbols)], dtype=np.uint64)])
-        at = places[i:j] - a
-        out[i:j] = (sums[at + length - 7] - sums[at]) * back[at]
-    return mixed(out)
-
-
 class Chunk:
     """A packed row of texts and what is asked about them."""
 
@@ -122,29 +108,63 @@ class Chunk:
         n = int(self.ends[-1]) if len(self.ends) else 0
         self.data = np.frombuffer(pa.decompress(row["texts"], n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
         self.starts = np.append(0, self.ends[:-1])
-
-    def sampled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places, and the first place of the text of each."""
+        self._kept: dict[int, np.ndarray] = {}
+
+    def _sums(self, a: int) -> np.ndarray:
+        """Running sums of mixed symbols from byte ``a`` on, a block and what its strings reach; kept in small chunks."""
+        if a not in self._kept:
+            own = np.concatenate([self.data[a: a + _BLOCK + self.length], np.zeros(8, np.uint8)])
+            eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, 8)).view("<u8").ravel()[:-1]
+            sums = np.cumsum(mixed(eight) * _powers()[0][: len(eight)], dtype=np.uint64)
+            if len(self.data) > 4 * _BLOCK:
+                self._kept.clear()
+            self._kept[a] = np.concatenate([np.zeros(1, np.uint64), sums])
+        return self._kept[a]
+
+    def names(self, places: np.ndarray, length: int) -> np.ndarray:
+        """64-bit fingerprints of the ``length`` bytes (8 at least) from each of the rising ``places``."""
+        back, out = _powers()[1], np.empty(len(places), np.uint64)
+        for a in range(0, len(self.data), _BLOCK):
+            i, j = np.searchsorted(places, (a, a + _BLOCK))
+            if i < j:
+                sums, at = self._sums(a), places[i:j] - a
+                out[i:j] = (sums[at + length - 7] - sums[at]) * back[at]
+        return mixed(out)
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled places with a whole tuple, and the first and last byte's place of the text of each."""
         longest = int((self.ends - self.starts).max(initial=0))
         offsets = (np.arange(0, longest + self.v, self.v)[:, None] + np.array(self.cover)).ravel()
-        places, heads = [], []
-        for s, e in zip(self.starts.tolist(), self.ends.tolist()):
-            if e - s >= self.length:
-                own = offsets[: np.searchsorted(offsets, e - s - self.tuple, "right")]
-                places.append(own + s)
-                heads.append(np.full(len(own), s))
-        empty = np.zeros(0, np.int64)
-        return np.concatenate(places or [empty]), np.concatenate(heads or [empty])
-
-    def remaining(self, places: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """Places at which a string of the whole length begins that reaches one of the sampled ``places``."""
+        long = self.ends - self.starts >= self.length
+        starts, ends = self.starts[long], self.ends[long]
+        n = np.searchsorted(offsets, ends - starts - self.tuple, "right")
+        heads = np.repeat(starts, n)
+        return offsets[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] + heads, heads, np.repeat(ends, n)
+
+    def asked(self, step: int, replies: pd.DataFrame | None = None):
+        """(names, places) of a step; places rise in step 3 only, in which they are what remains of all places."""
+        places, heads, ends = self.sampled()
+        own = self.names(places, self.tuple)
+        if step == 1:
+            return own, places
+        again = _again(own, replies[replies["step"] == 1])
+        places, heads, ends = places[again], heads[again], ends[again]
+        # a string that begins from a to b bytes before a sampled place holds what all strings of that part share
+        parts = []
+        for k in range(PARTS):
+            a, b = k * self.v // PARTS, (k + 1) * self.v // PARTS - 1
+            whole = (places - a >= heads) & (places - b + self.length <= ends)
+            at = places[whole] - a
+            parts.append((self.names(at, self.length - (b - a)), at - (b - a), at, heads[whole], ends[whole]))
+        own, low, high, heads, ends = (np.concatenate(x) for x in zip(*parts))
+        if step == 2:
+            return own, high
+        again = _again(own, replies[replies["step"] == 2])
         change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, np.maximum(places - self.v + 1, heads), 1)
-        np.add.at(change, places + 1, -1)
-        near = np.cumsum(change[:-1]) > 0
-        for s, e in zip(self.starts.tolist(), self.ends.tolist()):
-            near[max(s, e - self.length + 1): e] = False
-        return np.flatnonzero(near)
+        np.add.at(change, np.maximum(low, heads)[again], 1)
+        np.add.at(change, np.minimum(high, ends - self.length)[again] + 1, -1)
+        rest = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        return self.names(rest, self.length), rest
 
 
 _COVERS: dict[int, tuple[int, list[int]]] = {}
@@ -156,60 +176,58 @@ def difference_cover_of(q: int) -> tuple[int, list[int]]:
     return _COVERS[q]
 
 
-def _first_names(chunk: Chunk):
-    places, heads = chunk.sampled()
-    return places, heads, names(chunk.data, places, chunk.tuple)
-
-
-def _second_names(chunk: Chunk, replies: pd.DataFrame):
-    places, heads, first = _first_names(chunk)
-    again = _again(first, replies[replies["step"] == 1])
-    rest = chunk.remaining(places[again], heads[again])
-    return rest, names(chunk.data, rest, chunk.length)
-
-
 def _check_bits(chunk: Chunk, places: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """32 more bits of the names of places, from another sum: of the string's two halves."""
+    """24 more bits of the names of places, from another sum: of the string's two halves."""
     half = chunk.length // 2
-    other = names(chunk.data, places, half) * np.uint64(3) + names(chunk.data, places + half, chunk.length - half)
-    return (mixed(other ^ (own * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)).astype("<u4")
+    other = chunk.names(places, half) * np.uint64(3) + chunk.names(places + half, chunk.length - half)
+    return (mixed(other ^ (own * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(40)).astype("<u4")
 
 
 def _requests(chunk_id: int, own: np.ndarray, ranges: int, checks=None) -> pd.DataFrame:
-    """The distinct names of a chunk, sorted and cut by range: one row a range."""
+    """The distinct names of a chunk, sorted and cut by range: one row a range.
+
+    There are 256 ranges or more, as a power of two, so that a name's first
+    byte follows from its range: seven bytes of it are sent, and three of its
+    check bits if it has any.
+    """
     distinct, first = np.unique(own, return_index=True)
-    where = _range_of(distinct, ranges)
-    bounds = np.searchsorted(where, np.arange(ranges + 1))
+    bounds = np.searchsorted(distinct >> np.uint64(64 - ranges.bit_length() + 1), np.arange(ranges + 1))
     rows = np.flatnonzero(np.diff(bounds))
-    checks = None if checks is None else checks(first)
-    cuts = [(bounds[r], bounds[r + 1]) for r in rows]
+    sent = [_low_bytes(distinct, 7)] + ([] if checks is None else [_low_bytes(checks(first), 3)])
+    sent = np.concatenate(sent, axis=1)
     return pd.DataFrame({
         "range": rows.astype(np.int64), "chunk": np.full(len(rows), chunk_id),
-        "names": [distinct[a:b].astype("<u8").tobytes() for a, b in cuts],
-        "checks": [b"" if checks is None else checks[a:b].tobytes() for a, b in cuts]})
+        "names": [sent[bounds[r]: bounds[r + 1]].tobytes() for r in rows]})
 
 
-def _range_of(x: np.ndarray, ranges: int) -> np.ndarray:
-    return (((x >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+def _low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]
 
 
 def _replies(frame: pd.DataFrame, step: int) -> pd.DataFrame:
     """One bit for each name that was sent: whether an equal one came from another chunk."""
-    sent = [np.frombuffer(x, "<u8") for x in frame["names"]]
-    all_names = np.concatenate(sent)
-    checks = np.frombuffer(b"".join(frame["checks"]), "<u4")
-    order = np.lexsort((checks, all_names)) if len(checks) else np.argsort(all_names, kind="stable")
-    ordered = all_names[order]
-    same = ordered[1:] == ordered[:-1]
-    if len(checks):
-        same &= checks[order][1:] == checks[order][:-1]
+    width = 10 if step == LAST else 7
+    sent = np.frombuffer(b"".join(frame["names"]), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(sent), 8), np.uint8)
+    wide[:, :7] = sent[:, :7]
+    own = wide.view("<u8").ravel()
+    if step == LAST:
+        wide = np.zeros((len(sent), 4), np.uint8)
+        wide[:, :3] = sent[:, 7:]
+        checks = wide.view("<u4").ravel()
+        order = np.lexsort((checks, own))
+        same = (own[order[1:]] == own[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+    else:
+        order = np.argsort(own, kind="stable")
+        same = own[order[1:]] == own[order[:-1]]
     again = np.zeros(len(order), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    ends = np.cumsum([len(x) for x in sent])
-    return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "step": np.full(len(sent), step, np.int32),
-                         "range": frame["range"].to_numpy(), "n": [len(x) for x in sent],
-                         "bits": [np.packbits(again[e - len(x): e]).tobytes() for e, x in zip(ends, sent)]})
+    n = np.array([len(x) // width for x in frame["names"]])
+    ends = np.cumsum(n)
+    return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "step": np.full(len(n), step, np.int32),
+                         "range": frame["range"].to_numpy(), "n": n,
+                         "bits": [np.packbits(again[e - k: e]).tobytes() for e, k in zip(ends, n)]})
 
 
 def _again(own: np.ndarray, replies: pd.DataFrame) -> np.ndarray:
@@ -223,7 +241,7 @@ def _again(own: np.ndarray, replies: pd.DataFrame) -> np.ndarray:
     return ((count > 1) | elsewhere)[back]
 
 
-_REQUEST = "range long, chunk long, names binary, checks binary"
+_REQUEST = "range long, chunk long, names binary"
 _REPLY = "chunk long, step int, range long, n long, bits binary"
 
 
@@ -233,6 +251,7 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        codec = pa.Codec("zstd", 5)
         number = TaskContext.get().partitionId() << 32
         held: list = []
         total = 0
@@ -244,7 +263,7 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
                 [pa.array([number]), pa.array([len(blob)], pa.int64()), pa.array([b"".join(x[0] for x in held)], pa.binary()),
                  pa.array([np.array([len(x[1]) for x in held], "<i8").tobytes()], pa.binary()),
                  pa.array([np.array([x[2] for x in held], "<i8").tobytes()], pa.binary()),
-                 pa.array([pa.compress(blob, "zstd", asbytes=True) if blob else b""], pa.binary())],
+                 pa.array([codec.compress(blob, asbytes=True) if blob else b""], pa.binary())],
                 names=["chunk", "n_bytes", "shas", "sizes", "copies", "texts"])
             number, held, total = number + 1, [], 0
             return made
@@ -264,8 +283,8 @@ def _packed(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _kept(chunk: Chunk, row, replies: pd.DataFrame, keep_text: bool) -> pd.DataFrame:
-    rest, second = _second_names(chunk, replies)
-    again = rest[_again(second, replies[replies["step"] == 2])]
+    own, rest = chunk.asked(LAST, replies)
+    again = rest[_again(own, replies[replies["step"] == LAST])]
     change = np.zeros(len(chunk.data) + 1, np.int32)
     np.add.at(change, again, 1)
     np.add.at(change, again + chunk.length, -1)
@@ -301,42 +320,48 @@ def repeats(documents: DataFrame, text_col: str = "text", length: int = LENGTH,
     chunks = cut(_packed(folded, chunk))
     _released(spark)
     n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    down = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(4 * down, n_bytes * (q + 1) // (q * q + q + 1) // RANGE)
+    names = n_bytes * (q + 1) // (q * q + q + 1)
+    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), names // RANGE)
+    ranges = 1 << (int(ranges) - 1).bit_length()
+
+    def ask(row, step, replies=None):
+        c = Chunk(row, length, q)
+        own, places = c.asked(step, replies)
+        return _requests(row["chunk"], own, ranges,
+                         (lambda first: _checks_at(c, places, own, first)) if step == LAST else None)
 
     def first(frames):
         for frame in frames:
             for row in frame.to_dict("records"):
-                yield _requests(row["chunk"], _first_names(Chunk(row, length, q))[2], ranges)
+                yield ask(row, 1)
 
-    def second(left, right):
-        out = [pd.DataFrame({"range": [], "chunk": [], "names": [], "checks": []})]
-        for row in left.to_dict("records"):
-            c = Chunk(row, length, q)
-            rest, own = _second_names(c, right)
-            out.append(_requests(row["chunk"], own, ranges, lambda i: _check_bits_at(c, rest, own, i)))
-        return pd.concat(out[1:] or out)
+    def further(step):
+        return lambda left, right: pd.concat([ask(row, step, right) for row in left.to_dict("records")])
 
-    def last(left, right):
-        out = [_kept(Chunk(row, length, q), row, right, keep_text) for row in left.to_dict("records")]
-        return pd.concat(out)
+    def answer(step):
+        return lambda frame: _replies(frame, step)
 
-    asked = chunks.mapInPandas(first, _REQUEST)
-    replies = cut(asked.groupBy("range").applyInPandas(lambda x: _replies(x, 1), _REPLY))
-    _released(spark)
-    asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(second, _REQUEST)
-    more = cut(asked.groupBy("range").applyInPandas(lambda x: _replies(x, 2), _REPLY))
-    _released(spark)
-    both = replies.unionByName(more)
+    def last(left, right):
+        return pd.concat([_kept(Chunk(row, length, q), row, right, keep_text) for row in left.to_dict("records")])
+
+    by_chunk, replies = chunks.groupBy("chunk"), None
+    for step in range(1, LAST + 1):
+        if step == 1:
+            asked = chunks.mapInPandas(first, _REQUEST)
+        else:
+            asked = by_chunk.cogroup(replies.groupBy("chunk")).applyInPandas(further(step), _REQUEST)
+        new = cut(asked.groupBy("range").applyInPandas(answer(step), _REPLY))
+        replies = new if replies is None else replies.unionByName(new)
+        _released(spark)
     schema = "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(last, schema)
+    return by_chunk.cogroup(replies.groupBy("chunk")).applyInPandas(last, schema)
 
 
-def _check_bits_at(chunk: Chunk, rest: np.ndarray, own: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _checks_at(chunk: Chunk, places: np.ndarray, own: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Check bits of the places whose names are at ``first``, in that order."""
     order = np.argsort(first)
     bits = np.empty(len(first), "<u4")
-    bits[order] = _check_bits(chunk, rest[first[order]], own[first[order]])
+    bits[order] = _check_bits(chunk, places[first[order]], own[first[order]])
     return bits
 
 
