@@ -58,7 +58,7 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RA
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[\s_-]+")
 _DEFAULT = {"body": 0.3, "div": 0.3, "section": 0.3, "td": 0.3, "p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "article": 1.0, "main": 1.0}
-_TAG_DEFAULT, _WORD_DEFAULT, _MOST = -0.5, -1.0, 4.0
+_TAG_DEFAULT, _INSIDE_DEFAULT, _WORD_DEFAULT, _MOST = -0.5, -0.05, -1.0, 4.0
 
 
 def _named_outside(name: str, attributes: str) -> bool:
@@ -164,7 +164,8 @@ def region(rows: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     best, span, total, first = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, outside, _) in enumerate(rows):
         if kind is None:
-            total += weights.get("<" + value, _TAG_DEFAULT)
+            name = value.lstrip("/")
+            total += weights.get("<" + value, _INSIDE_DEFAULT if name in INLINE or name in _DEFAULT else _TAG_DEFAULT)
         else:
             w = weights.get("-" + kind, -_MOST) if outside else weights.get(kind, _DEFAULT.get(kind, _WORD_DEFAULT))
             total += w * len(value.split())
