@@ -90,7 +90,7 @@ def reply_items_text(c: Column | str) -> Column:
     A top-level array is used as is; an object contributes the first truthy
     of ``result`` / ``items`` / ``people``. Anything else gives NULL.
     """
-    t = strip_fence(c)
+    t = _one_value(strip_fence(c))
     is_array = t.startswith("[")
     is_object = t.startswith("{")
     picked = None
@@ -102,16 +102,36 @@ def reply_items_text(c: Column | str) -> Column:
     return F.when(is_array, t).when(is_object, from_obj)
 
 
-def reply_objects(c: Column | str) -> Column:
+#: Strict JSON: what a plain JSON parser rejects isn't taken either.
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def _one_value(t: Column) -> Column:
+    """The text of the one JSON value that ``t`` consists of; NULL if it isn't
+    one value (not JSON, or more text after it)."""
+    values = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", _STRICT)
+    return F.when(F.size(values) == 1, py_strip(t))
+
+
+def reply_list_text(c: Column | str) -> Column:
+    """The reply itself if it is a JSON array, else NULL (the primary
+    extractor's rule: an object holds no items)."""
+    t = _one_value(strip_fence(c))
+    return F.when(t.startswith("["), t)
+
+
+def reply_objects(c: Column | str, shapes: bool = True) -> Column:
     """Array of ``map<string,string>``, one per object element of the reply.
 
+    ``shapes=False`` takes a top-level array only.
+
     Elements that are not JSON objects are dropped singly (parsing as
     ``array<string>`` first keeps one bad element from nulling the rest).
     """
-    elems = F.from_json(reply_items_text(c), "array<string>")
+    elems = F.from_json(reply_items_text(c) if shapes else reply_list_text(c), "array<string>", _STRICT)
     as_maps = F.transform(
         F.filter(elems, lambda e: py_strip(e).startswith("{")),
-        lambda e: F.from_json(e, "map<string,string>"),
+        lambda e: F.from_json(e, "map<string,string>", _STRICT),
     )
     return F.coalesce(F.filter(as_maps, lambda m: m.isNotNull()),
                       F.array().cast("array<map<string,string>>"))

@@ -115,9 +115,10 @@ def request_key(req: Column) -> Column:
     organisation."""
     return F.coalesce(
         F.concat(F.lit("e|"), req["email"]),
-        F.concat_ws("|", F.lit("n"), F.coalesce(req["first_name"], F.lit("")),
-                    F.coalesce(req["last_name"], F.lit("")),
-                    F.coalesce(req["organization_domain"], req["organization_name"], F.lit(""))))
+        # as JSON: parts that hold the separator can't run into one another
+        F.concat(F.lit("n|"), F.to_json(F.array(
+            F.coalesce(req["first_name"], F.lit("")), F.coalesce(req["last_name"], F.lit("")),
+            F.coalesce(req["organization_domain"], req["organization_name"], F.lit(""))))))
 
 
 def org_domain_col(df: DataFrame) -> Column:

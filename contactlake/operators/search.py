@@ -106,10 +106,9 @@ def page(df: DataFrame, n: int, size: int = S.DEFAULT_PAGE_SIZE,
 
 
 def export_frame(df: DataFrame, filters: dict[str, str] | None = None,
-                 cap: int | None = S.EXPORT_ROW_CAP, case_sensitive: bool = False) -> DataFrame:
-    """Filtered rows in ``S.N.`` order, at most ``cap`` rows (the export
-    feature's own row cap; ``cap=None`` exports everything with a
-    range-partitioned sort)."""
+                 cap: int | None = None, case_sensitive: bool = False) -> DataFrame:
+    """Filtered rows in ``S.N.`` order: all of them, by a range-partitioned
+    sort, or at most ``cap`` when one is given."""
     q = apply_filters(df, filters, case_sensitive).orderBy(qcol(S.SN).asc())
     return q.limit(int(cap)) if cap else q
 

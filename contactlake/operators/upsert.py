@@ -76,8 +76,7 @@ def classify_columns(truth_cols: list[str], batch_cols: list[str],
 
 def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
            prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
-           unknown_columns: str = "reject", broadcast_keys_below: int = 2_000_000,
-           materialize: bool = True, max_sn: int | None = None) -> UpsertResult:
+           unknown_columns: str = "reject", max_sn: int | None = None) -> UpsertResult:
     """Merge ``batch`` (with a unique long ``_row_id`` giving input order)
     into ``truth``; returns the new state, one outcome per record and a
     one-row count summary.
@@ -110,9 +109,11 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
         return UpsertResult(truth, failed, _stats(failed), [], unknown, warnings)
 
     email = qcol(S.EMAIL)
-    if materialize:
-        checkpoint_dir(batch.sparkSession)
-        batch = batch.checkpoint(eager=True)
+    checkpoint_dir(batch.sparkSession)
+    batch = batch.checkpoint(eager=True)
+    repeated = batch.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_ID).head(1)
+    if repeated:
+        raise ValueError(f"_row_id {repeated[0][0]} occurs more than once in the batch")
     valid = batch.where(has_value(email))
     bad = batch.where(~has_value(email)).select(
         qcol(ROW_ID).alias(ROW_ID), email.alias(S.EMAIL), F.lit("failed").alias("action"),
@@ -128,13 +129,6 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
     email_send_in_batch = S.EMAIL_SEND in in_batch
 
     keys = valid.select(email.alias(S.EMAIL)).distinct()
-    if broadcast_keys_below:
-        # Size guard: only a batch whose row count is below the bound can
-        # have a key set small enough to broadcast.
-        n = valid.limit(broadcast_keys_below + 1).count() if materialize else broadcast_keys_below + 1
-        if n <= broadcast_keys_below:
-            keys = F.broadcast(keys)
-
     stored = truth.join(keys, S.EMAIL, "left_semi")
     untouched = truth.join(keys, S.EMAIL, "left_anti")
 
@@ -161,8 +155,7 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
         aggs.append(F.min(F.when(has_value(qcol(c)), F.struct(F.col(ORD).alias("o"), qcol(c).alias("v"))))
                     .alias(idx[c]))
     per_email = rows.groupBy(S.EMAIL).agg(*aggs)
-    if materialize:
-        per_email = per_email.checkpoint(eager=True)
+    per_email = per_email.checkpoint(eager=True)
 
     first = F.col("__first")
     has_stored = first["o"] < 0
@@ -174,15 +167,11 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
 
     # Serial numbers for new e-mails, in the order of their first record.
     new_rows = per_email.where(~has_stored)
-    if max_sn is None and materialize:
+    if max_sn is None:
         max_sn = truth.agg(F.max(qcol(S.SN)).alias("m")).collect()[0]["m"]
     start = int(max_sn) + 1 if max_sn is not None else 1
-    n_new = 0
-    if materialize:
-        n_new = new_rows.count()
-        new_rows = with_serial(new_rows, [first["o"]], "__new_sn", start)
-    else:
-        new_rows = new_rows.withColumn("__new_sn", F.lit(None).cast("long"))
+    n_new = new_rows.count()
+    new_rows = with_serial(new_rows, [first["o"]], "__new_sn", start)
     old_rows = per_email.where(has_stored).withColumn("__new_sn", F.lit(None).cast("long"))
     touched = old_rows.unionByName(new_rows)
 

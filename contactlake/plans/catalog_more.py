@@ -511,7 +511,7 @@ def q_lookup(spark, sf_dir):
 
 
 @register("export_slice", f"SELECT * FROM ({_state_sql()}) s WHERE {O.q(S.EMAIL)} ILIKE '%user1%' "
-          f"ORDER BY {O.q(S.SN)} LIMIT {S.EXPORT_ROW_CAP}")
+          f"ORDER BY {O.q(S.SN)}")
 def q_export_slice(spark, sf_dir):
     return export_frame(upsert_scenario(spark, sf_dir).state, build_filters(**EXPORT_FILTERS))
 

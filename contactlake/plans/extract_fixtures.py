@@ -36,8 +36,9 @@ WHERE s.s_suppkey % 4 <> 3
 
 def primary_extractor(html: str, url: str) -> str:
     """Pairs of navigation link texts become people of the page's host.
-    Reply shape varies with the page; pages whose host starts with "ww"
-    or whose path number is a multiple of 7 get no reply."""
+    Reply shape varies with the page: a fenced list, an object (which holds
+    no items, so that the page goes to the fallback), or a list with other
+    values in it; a path number that is a multiple of 7 gives no reply."""
     host = (_HOST.match(url) or [None, ""])[1]
     num = re.search(r"/(\d+)", url)
     if num and int(num.group(1)) % 7 == 0:
@@ -62,7 +63,9 @@ EXTRACT_ORACLE = r"""
 WITH p AS (
   SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
          regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS links,
-         coalesce(TRY_CAST(regexp_extract(url, '/(\d+)', 1) AS BIGINT) % 7 = 0, false) AS empty_reply
+         -- an empty reply, or an object where a list is asked for
+         coalesce(TRY_CAST(regexp_extract(url, '/(\d+)', 1) AS BIGINT) % 7 = 0, false)
+           OR length(url) % 3 = 1 AS empty_reply
   FROM pages),
 prim AS (
   SELECT page_id, url, 'primary' AS source, CAST(i AS INTEGER) AS item_pos,

@@ -45,6 +45,9 @@ class RunResult:
     errors: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
     version: int | None = None
+    cause: Exception | None = None
+    saved: DataFrame | None = None
+    skipped: DataFrame | None = None
 
 
 def guess_format(path: str, fmt: str | None) -> str:
@@ -103,9 +106,12 @@ def _counts(res) -> dict:
 def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: TruthStore,
                       people_provider=None, company_provider=None, enrich_people: bool = True,
                       enrich_companies: bool = True, now: str | None = None,
-                      fmt: str | None = None, **kw) -> RunResult:
+                      fmt: str | None = None, prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
+                      **kw) -> RunResult:
     """Upload-and-enrich flow. ``source`` is a path (xlsx/csv/json/parquet)
-    or a DataFrame with ``_row_id``."""
+    or a DataFrame with ``_row_id``. ``prefixes`` are those of the table's
+    provider columns; they hold for enrichment and for the upsert. An error
+    ends up in the summary and, as it was raised, in ``RunResult.cause``."""
     summary = {"total_processed": 0, "new_inserts": 0, "updates": 0, "failed": 0,
                "people_enriched": 0, "orgs_enriched": 0, "empty_reason": None,
                "org_enrichment_skipped_no_domain": 0, "skipped_no_email": 0}
@@ -126,7 +132,8 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
         if summary["total_processed"] == 0:
             return _empty(summary, warnings)
         if enrich_people or enrich_companies:
-            e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies, **kw)
+            e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies,
+                               prefixes=prefixes, **kw)
             full = e.full.checkpoint(eager=True)  # provider called once
             c = full.agg(F.count_if(F.col("__people_ok")).alias("p"), F.count_if(F.col("__org_ok")).alias("o"),
                          F.count_if(F.col("__no_domain")).alias("n")).first()
@@ -135,16 +142,16 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
             from ..operators.enrich import FLAGS
 
             rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
-        res, version, skipped = save(store, rows, now=now)
+        res, version, skipped = save(store, rows, now=now, prefixes=prefixes)
         summary.update(_counts(res))
         summary["skipped_no_email"] = skipped
-        return RunResult(summary, res.outcomes, enrichment_errors(rows), warnings, version)
+        return RunResult(summary, res.outcomes, enrichment_errors(rows), warnings + res.warnings, version)
     except Exception as e:  # the run reports instead of raising
         summary["errors"] = [{"email": "N/A", "message": S.MSG_PROCESSING_FAILED.format(error=e)}]
         summary["processing_failed"] = True
         if summary["total_processed"] > 0:
             summary["failed"] = summary["total_processed"]
-        return RunResult(summary, warnings=warnings)
+        return RunResult(summary, warnings=warnings, cause=e)
 
 
 def ingest_base(spark: SparkSession, source: str | DataFrame, store: TruthStore,
@@ -152,17 +159,20 @@ def ingest_base(spark: SparkSession, source: str | DataFrame, store: TruthStore,
     """Base upload: no enrichment, no e-mail-column requirement."""
     raw, warnings = _read(spark, source, fmt)
     mapped, w = map_columns(raw)
-    rows = dedupe_by_email(normalize(mapped))[0]
+    checkpoint_dir(spark)
+    rows = dedupe_by_email(normalize(mapped))[0].checkpoint(eager=True)  # the input is evaluated once
     res, version, skipped = save(store, rows, now=now)
     summary = {"total": rows.count(), "skipped_no_email": skipped, **_counts(res)}
-    return RunResult(summary, res.outcomes, None, warnings + w, version)
+    return RunResult(summary, res.outcomes, None, warnings + w + res.warnings, version)
 
 
 def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, primary, fallback=None,
                  people_provider=None, company_provider=None, enrich_people: bool = True,
                  enrich_companies: bool = True, now: str | None = None,
-                 keep_rows_without_email: bool | None = None) -> RunResult:
-    """Scrape flow over stored pages."""
+                 keep_rows_without_email: bool | None = None,
+                 prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> RunResult:
+    """Scrape flow over stored pages. ``saved`` and ``skipped`` of the result
+    are the display rows with and without an e-mail."""
     summary = {"total_processed": 0, "new_inserts": 0, "updates": 0, "failed": 0,
                "people_enriched": 0, "orgs_enriched": 0, "skipped_no_email": 0}
     items = extract_contacts(pages, primary, fallback)
@@ -177,17 +187,19 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
     if summary["total_processed"] == 0:
         return RunResult(summary)
     if (enrich_people and people_provider is not None) or (enrich_companies and company_provider is not None):
-        e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies)
+        e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies, prefixes=prefixes)
         full = e.full.checkpoint(eager=True)
         c = full.agg(F.count_if(F.col("__people_ok")).alias("p"), F.count_if(F.col("__org_ok")).alias("o")).first()
         summary.update(people_enriched=c["p"], orgs_enriched=c["o"])
         from ..operators.enrich import FLAGS
 
         rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
-    res, version, skipped = save(store, rows, now=now)
+    res, version, skipped = save(store, rows, now=now, prefixes=prefixes)
     summary.update(_counts(res))
     summary["skipped_no_email"] = skipped
-    return RunResult(summary, res.outcomes, enrichment_errors(rows), [], version)
+    saved, without = saved_and_skipped(rows)
+    return RunResult(summary, res.outcomes, enrichment_errors(rows), res.warnings, version,
+                     saved=saved, skipped=without)
 
 
 def saved_and_skipped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,9 +218,9 @@ def search_store(store: TruthStore, limit: int = S.DEFAULT_PAGE_SIZE, offset: in
     return search(t, f, limit, offset), search_total(t, f)
 
 
-def export_store(store: TruthStore, out_dir: str, **params) -> tuple[list[str], str]:
+def export_store(store: TruthStore, out_dir: str, cap: int | None = None, **params) -> tuple[list[str], str]:
     """Export the filtered table as workbook parts; returns (paths, name)."""
-    frame = export_frame(store.read(), build_filters(**params))
+    frame = export_frame(store.read(), build_filters(**params), cap)
     return export_workbooks(frame, out_dir), export_file_name()
 
 

@@ -3,10 +3,11 @@ with an input-order key ``_row_id`` (file path order, then row order)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
 from .workbook import read_workbooks
 
 _LOCAL = "__local"
@@ -20,31 +21,27 @@ def _all_text(df: DataFrame) -> DataFrame:
 
 def with_input_order(df: DataFrame) -> DataFrame:
     """Add ``_row_id``: dense position by (file path, split start, row in
-    split), without shuffling the rows.
+    split).
 
-    A first pass counts rows per input split (one small row per split; the
-    split count bounds what reaches the driver and the broadcast). Rows of a
-    split are read contiguously by one task, so a row's position is its
-    split's offset plus ``monotonically_increasing_id() - first id of the
-    split``. Both passes scan the same relation, whose file listing and
-    split plan are fixed, so the ids agree. Needs the file-source
-    ``_metadata`` column: call it on a freshly read frame.
+    The rows are read once and checkpointed with their file, split and local
+    position; counts and positions both come from that copy, so a split plan
+    that differs between two scans can't lose rows. Rows of a split are read
+    contiguously by one task: a row's position is its split's offset plus its
+    local id less the split's first one. Offsets are a running sum over one
+    small row per split. Needs the file-source ``_metadata`` column: call it
+    on a freshly read frame.
     """
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
     keyed = df.select("*", F.col("_metadata.file_path").alias("__path"),
                       F.col("_metadata.file_block_start").alias("__block"),
-                      F.monotonically_increasing_id().alias(_LOCAL))
-    splits = keyed.groupBy("__path", "__block").agg(
-        F.count(F.lit(1)).alias("n"), F.min(_LOCAL).alias("lo")).collect()
-    offsets, running = [], 0
-    for r in sorted(splits, key=lambda r: (r["__path"], r["__block"])):
-        offsets.append((r["__path"], int(r["__block"]), running - int(r["lo"])))
-        running += int(r["n"])
-    if not offsets:
-        return df.withColumn("_row_id", F.lit(None).cast("long")).limit(0)
-    delta = spark.createDataFrame(offsets, "__path string, __block long, __delta long")
-    out = keyed.join(F.broadcast(delta), ["__path", "__block"], "inner")
-    return out.withColumn("_row_id", F.col(_LOCAL) + F.col("__delta")).drop("__path", "__block", _LOCAL, "__delta")
+                      F.monotonically_increasing_id().alias(_LOCAL)).checkpoint(eager=True)
+    before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = keyed.groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("n"), F.min(_LOCAL).alias("lo"))
+    delta = splits.select(F.col("__path").alias("__p"), F.col("__block").alias("__b"),
+                          (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).alias("__delta"))
+    out = keyed.join(delta, (F.col("__path") == F.col("__p")) & (F.col("__block") == F.col("__b")))
+    return out.withColumn("_row_id", F.col(_LOCAL) + F.col("__delta")).drop(
+        "__path", "__block", "__p", "__b", _LOCAL, "__delta")
 
 
 def read_contacts(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:

@@ -47,6 +47,14 @@ class TruthStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        row = self._row()
+        if row is not None:  # the table keeps the bucket count it was created with
+            self.buckets = len(row["manifest"])
+
+    def _hadoop(self, path: str):
+        """(FileSystem, Path) of a path, by its own scheme."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     # ------------------------------------------------------------- log
     @property
@@ -54,10 +62,9 @@ class TruthStore:
         return f"{self.root}/_log"
 
     def _log_frame(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self._log)
-        except Exception:  # no log yet
-            return None
+        """The log, or None where there is none; a log that can't be read is an error."""
+        fs, p = self._hadoop(self._log)
+        return self.spark.read.option("mergeSchema", "true").parquet(self._log) if fs.exists(p) else None
 
     def versions(self) -> list[int]:
         log = self._log_frame()
@@ -85,6 +92,13 @@ class TruthStore:
         row = self._row(version)
         return [-1] * self.buckets if row is None else list(row["manifest"])
 
+    def version_of(self, tag: str) -> int | None:
+        """The version published with ``tag``, if any."""
+        log = self._log_frame()
+        if log is None or "tag" not in log.columns:
+            return None
+        return log.where(F.col("tag") == F.lit(tag)).agg(F.max("version")).first()[0]
+
     def path(self, version: int) -> str:
         return f"{self.root}/v={version}"
 
@@ -114,9 +128,12 @@ class TruthStore:
 
     # ------------------------------------------------------------- write
     def commit(self, state: DataFrame, version: int | None = None, max_sn: int | None = None,
-               buckets: list[int] | None = None) -> int:
+               buckets: list[int] | None = None, tag: str | None = None) -> int:
         """Publish ``state`` as a new version.
 
+        ``tag`` names what the version came from (a micro-batch); it is
+        published in the same log row, see :meth:`version_of`.
+
         ``buckets=None``: ``state`` is the whole table. Otherwise ``state``
         holds exactly the rows of the listed buckets (as produced by an
         upsert over :meth:`read` of those buckets) and the other buckets are
@@ -136,15 +153,9 @@ class TruthStore:
         # so buckets are even; the salt keeps one bucket off one task)
         out.repartition(spread_over, BUCKET, salt).sortWithinPartitions(BUCKET, qcol(S.EMAIL)) \
             .write.mode("overwrite").partitionBy(BUCKET).parquet(self.path(v))
-        written = set()
-        try:
-            files = self.spark.read.parquet(self.path(v)).inputFiles()  # driver-side listing
-        except Exception:  # nothing written (empty state)
-            files = []
-        for f in files:
-            m = re.search(rf"/{BUCKET}=(\d+)/", f)
-            if m:
-                written.add(int(m.group(1)))
+        fs, p = self._hadoop(self.path(v))
+        names = [x.getPath().getName() for x in fs.listStatus(p)]  # one folder per bucket
+        written = {int(m.group(1)) for m in (re.fullmatch(rf"{BUCKET}=(\d+)", x) for x in names) if m}
         man = self.manifest() if buckets is not None else [-1] * self.buckets
         for b in (range(self.buckets) if buckets is None else buckets):
             man[b] = v if b in written else -1
@@ -152,7 +163,8 @@ class TruthStore:
             prev = self.max_sn() if buckets is not None else None
             top = state.agg(F.max(qcol(S.SN))).first()[0]
             max_sn = max(x for x in (prev, top) if x is not None) if (prev or top) else None
-        self.spark.createDataFrame([(v, max_sn, man)], "version long, max_sn long, manifest array<long>") \
+        self.spark.createDataFrame([(v, max_sn, man, tag)],
+                                   "version long, max_sn long, manifest array<long>, tag string") \
             .coalesce(1).write.mode("append").parquet(self._log)
         return v
 
@@ -170,11 +182,8 @@ class TruthStore:
         for v in kept:
             needed |= {int(x) for x in self.manifest(v) if x >= 0}
         doomed = [v for v in versions if v not in needed]
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for v in doomed:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(v))
-            fs = p.getFileSystem(conf)
+            fs, p = self._hadoop(self.path(v))
             if fs.exists(p):
                 fs.delete(p, True)
         return doomed

@@ -1,5 +1,5 @@
 """Structured Streaming jobs."""
 
-from .upsert_stream import StreamLog, apply_batch, upsert_stream
+from .upsert_stream import apply_batch, batch_tag, upsert_stream
 
-__all__ = ["StreamLog", "apply_batch", "upsert_stream"]
+__all__ = ["apply_batch", "batch_tag", "upsert_stream"]

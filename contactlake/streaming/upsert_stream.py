@@ -1,16 +1,18 @@
 """Incremental upsert as a Structured Streaming job.
 
 New contact files arrive in a folder; every micro-batch is upserted into
-the snapshot store with ``foreachBatch``. The commit log records which
-micro-batch produced which version, so a micro-batch that is re-run after a
-failure (same ``batchId``) is recognised and not applied twice; replaying
-the same records in a later batch is harmless as well, because the upsert
-then reports ``skip`` for all of them.
+the snapshot store with ``foreachBatch``. The version's log row names the
+micro-batch that it came from, so one that is re-run after a failure (same
+``batchId``) is recognised and not applied twice; replaying the same records in
+a later batch is harmless as well, because the upsert then reports ``skip`` for
+all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,46 +23,35 @@ from ..operators.upsert import upsert
 from ..sources.store import TruthStore
 
 
-class StreamLog:
-    """Which micro-batches of which stream were applied (one small file per
-    batch). A stream is identified by its checkpoint location, since batch
-    ids restart with a new checkpoint."""
-
-    def __init__(self, spark: SparkSession, root: str, stream: str = "") -> None:
-        self.spark, self.path, self.stream = spark, root.rstrip("/") + "/_stream_log", stream
-
-    def applied(self, batch_id: int) -> bool:
-        try:
-            log = self.spark.read.parquet(self.path)
-        except Exception:  # no log yet
-            return False
-        hit = log.where((F.col("stream") == self.stream) & (F.col("batch_id") == batch_id))
-        return hit.limit(1).count() > 0
-
-    def record(self, batch_id: int, version: int) -> None:
-        self.spark.createDataFrame([(self.stream, batch_id, version)],
-                                   "stream string, batch_id long, version long") \
-            .coalesce(1).write.mode("append").parquet(self.path)
+def batch_tag(stream: str, batch_id: int) -> str:
+    """Name of a micro-batch in the store's log. A stream is identified by its
+    checkpoint location, since batch ids restart with a new checkpoint."""
+    return f"{hashlib.sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
 
 
 def apply_batch(store: TruthStore, batch: DataFrame, batch_id: int, now: str | None = None,
                 order_cols: list[str] | None = None, stream: str = "", **upsert_kw) -> int | None:
     """Upsert one micro-batch; returns the published version (None when the
-    batch was already applied or empty)."""
-    log = StreamLog(store.spark, store.root, stream)
-    if log.applied(batch_id) or batch.isEmpty():
+    batch was already applied or empty).
+
+    Outcomes are written first, to a folder named after the batch that a
+    retry overwrites; the version is then published together with the
+    batch's tag in one log row. So a crash before the log row leaves nothing
+    behind that counts, and one after it is recognised by the tag.
+    """
+    tag = batch_tag(stream, batch_id)
+    if store.version_of(tag) is not None or batch.isEmpty():
         return None
     if "_row_id" not in batch.columns:
-        order = order_cols or [c for c in batch.columns][:1]
-        batch = with_index(batch, order, name="_row_id")
+        if not order_cols:
+            raise ValueError("a stream without _row_id needs order_cols: which record comes first decides")
+        batch = with_index(batch, order_cols, name="_row_id")
     touched = store.touched_buckets(batch) if S.EMAIL in batch.columns else []
     res = upsert(store.read(buckets=touched), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
-    version = store.commit(res.state, max_sn=res.max_sn, buckets=touched) if touched \
+    res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+        .parquet(f"{store.root}/_outcomes/batch={tag}")
+    return store.commit(res.state, max_sn=res.max_sn, buckets=touched, tag=tag) if touched \
         else store.current_version()
-    res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append") \
-        .parquet(store.root + "/_outcomes")
-    log.record(batch_id, version)
-    return version
 
 
 def upsert_stream(stream: DataFrame, store: TruthStore, checkpoint: str, now: str | None = None,

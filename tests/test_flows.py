@@ -176,3 +176,39 @@ def test_export_file_name():
     from contactlake.sources.workbook import export_file_name
 
     assert re.match(r"^contacts_export_\d{8}_\d{6}\.xlsx$", export_file_name())
+
+
+def test_stream_batch_retry_after_a_crash(spark, tmpdir_path, monkeypatch):
+    import pytest
+
+    from contactlake.streaming.upsert_stream import apply_batch
+
+    store = TruthStore(spark, f"{tmpdir_path}/retry")
+    batch = spark.createDataFrame([(1, "a@x.com"), (2, "b@x.com")], f"_row_id long, `{S.EMAIL}` string")
+
+    def crash(*a, **k):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(TruthStore, "commit", crash)
+        with pytest.raises(RuntimeError):
+            apply_batch(store, batch, 7, now=NOW, stream="s")
+    assert apply_batch(store, batch, 7, now=NOW, stream="s") == 1
+    assert apply_batch(store, batch, 7, now=NOW, stream="s") is None
+    outs = spark.read.parquet(store.root + "/_outcomes").collect()
+    assert sorted(o["action"] for o in outs) == ["insert", "insert"]
+    with pytest.raises(ValueError, match="order_cols"):
+        apply_batch(store, batch.drop("_row_id"), 8, now=NOW, stream="s")
+
+
+def test_prefixes_hold_through_the_flow(spark, tmpdir_path):
+    from contactlake.plans.flows import ingest_and_enrich
+
+    prefixes = S.ProviderPrefixes("X Person: ", "X Company: ")
+    rows = spark.createDataFrame([(0, "a@x.com", "https://x.com")], f"_row_id long, `{S.EMAIL}` string, `{S.WEBSITE}` string")
+    people = lambda endpoint, payload, timeout: {
+        "matches": [{"first_name": "Ann", "seniority": "chief"} for _ in payload["details"]]}
+    store = TruthStore(spark, f"{tmpdir_path}/prefixed")
+    r = ingest_and_enrich(spark, rows, store, people, None, enrich_companies=False, now=NOW, prefixes=prefixes)
+    assert r.cause is None and r.summary["new_inserts"] == 1 and r.summary["failed"] == 0
+    assert store.read().first()["X Person: Seniority"] == "chief"

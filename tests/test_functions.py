@@ -124,3 +124,14 @@ def test_normalize_item(spark, item, expected):
     df = spark.createDataFrame([(item,)], "m map<string,string>")
     r = df.select(CF.normalize_item("m").alias("i")).first()["i"]
     assert (r.firstName, r.lastName, r.organization, r.email) == expected
+
+
+def test_replies_of_the_primary_extractor_are_lists(spark):
+    from contactlake.functions.json import reply_objects
+
+    replies = ['[{"a": "1"}, 7]', '```json\n[{"a": "1"}]\n```', '{"result": [{"a": "1"}]}', '[{"a": "1"}] and more',
+               '[{"a": "1"}], [2]', "[{'a': '1'}]", "no", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(replies)], "i int, t string")
+    got = {r["i"]: (len(r["x"]), len(r["y"])) for r in
+           df.select("i", reply_objects("t", False).alias("x"), reply_objects("t").alias("y")).collect()}
+    assert got == {0: (1, 1), 1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0), 7: (0, 0)}

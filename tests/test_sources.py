@@ -200,3 +200,44 @@ def test_vacuum_keeps_referenced_versions(spark, tmpdir_path):
     assert deleted == [2, 3]            # v1 still holds the untouched buckets, v4 is current
     assert store.read().count() == before == 20
     assert not os.path.exists(f"{tmpdir_path}/vac/v=2") and os.path.exists(f"{tmpdir_path}/vac/v=1")
+
+
+def test_input_order_survives_another_split_plan(spark, tmpdir_path):
+    from contactlake.sources import files
+
+    spark.range(4000).selectExpr("cast(id as string) AS a").coalesce(2).write.json(f"{tmpdir_path}/in")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        out = files.read_contacts(spark, f"{tmpdir_path}/in", "json")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["_row_id"] for r in rows) == list(range(4000))
+    assert {r["a"] for r in rows} == {str(i) for i in range(4000)}
+
+
+def test_store_keeps_its_bucket_count_and_reports_a_broken_log(spark, tmpdir_path):
+    import glob
+
+    import pytest
+
+    from contactlake import schema as S
+    from contactlake.operators.upsert import upsert
+    from contactlake.sources.store import TruthStore
+
+    rows = [(i, f"u{i}@x.com", "A") for i in range(40)]
+    batch = spark.createDataFrame(rows, f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string")
+    store = TruthStore(spark, f"{tmpdir_path}/t", buckets=16)
+    store.commit(upsert(store.read(), batch, now="n").state)
+    again = TruthStore(spark, f"{tmpdir_path}/t", buckets=3)
+    assert again.buckets == 16
+    touched = again.touched_buckets(batch)
+    res = upsert(again.read(buckets=touched), batch, now="n", max_sn=again.max_sn())
+    assert {r["action"] for r in res.outcomes.collect()} == {"skip"}
+    for f in glob.glob(f"{tmpdir_path}/t/_log/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"broken")
+    with pytest.raises(Exception):
+        TruthStore(spark, f"{tmpdir_path}/t").versions()
+    assert glob.glob(f"{tmpdir_path}/t/v=1/_bucket=*")

@@ -208,3 +208,14 @@ def test_hot_email_third_of_batch(spark):
     batch = make_batch(spark, records, False).repartition(7)
     firsts = {r[S.EMAIL]: r["_row_id"] for r in dedupe_by_email(batch)[0].collect()}
     assert firsts["hot@x.com"] == 0
+
+
+def test_repeated_row_ids_are_refused(spark):
+    import pytest
+
+    from contactlake.operators.upsert import upsert
+    from contactlake.sources.store import empty_truth
+
+    batch = spark.createDataFrame([(1, "a@x.com"), (1, "b@x.com")], f"_row_id long, `{S.EMAIL}` string")
+    with pytest.raises(ValueError, match="_row_id 1"):
+        upsert(empty_truth(spark), batch, now="n")
