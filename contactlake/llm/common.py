@@ -8,13 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, ship_package
 
+BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship the package to the Python workers; settle the checkpoint folder."""
+    """Ship the package to the Python workers, settle the checkpoint folder, keep Arrow batches of texts small."""
     ship_package(spark)
     checkpoint_dir(spark)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, BATCH_ROWS)
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps from task to task: one operator's state at a time, so that it stays bounded."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, utf8
+from .common import ready, utf8, worker_state
 
 ORDER = 3
 SAMPLE = 250
@@ -130,11 +130,14 @@ class Tables:
             c = np.zeros((n_langs, len(contexts), 256), np.int32)
             c[lang, at, gram & 255] = count
             level.append((contexts, c))
-        self.node = np.zeros(1 << (8 * self.order), np.int32)
-        tables, first = [], 0
+        n_contexts = sum(len(contexts) for contexts, _ in level)
+        kind = np.uint16 if n_contexts <= 1 << 16 else np.int32
+        self.node = np.zeros(1 << (8 * self.order), kind)
+        self.bits = np.empty((n_contexts, 256, n_langs), np.float32)
+        first = 0
         for n in range(self.order + 1):
             contexts = level[n][0]
-            table = np.empty((len(contexts), 256, n_langs), np.float32)
+            table = self.bits[first: first + len(contexts)]
             for lang in range(n_langs):
                 for a in range(0, len(contexts), 2048):
                     own = contexts[a: a + 2048]
@@ -143,18 +146,17 @@ class Tables:
                         shorter = own & ((1 << (8 * m)) - 1)
                         chain.append(level[m][1][lang][np.searchsorted(level[m][0], shorter)])
                     table[a: a + 2048, :, lang] = code_lengths(chain)
-            tables.append(table)
             # each context takes over from the shorter one it ends in
             view = self.node.reshape(-1, 1 << (8 * n))
-            view[:, contexts] = np.arange(first, first + len(contexts), dtype=np.int32)
+            view[:, contexts] = np.arange(first, first + len(contexts), dtype=kind)
             first += len(contexts)
-        self.bits = np.concatenate(tables).reshape(-1, n_langs)
+        self.bits = self.bits.reshape(-1, n_langs)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (rows) under each language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        for a in range(0, len(data), 1 << 20):
-            own = data[a: a + (1 << 20)].astype(np.int32)
+        for a in range(0, len(data), 1 << 18):
+            own = data[a: a + (1 << 18)].astype(np.int32)
             first = int(np.searchsorted(offsets, a, "right")) - 1
             last = int(np.searchsorted(offsets, a + len(own), "left"))
             starts = offsets[first:last] - a
@@ -167,22 +169,15 @@ class Tables:
                 before[from_:] = data[a + from_ - j: a + len(own) - j]
                 before[within < j] = 0
                 context |= before << (8 * (j - 1))
-            spent = self.bits[self.node[context] * 256 + own].astype(np.float64)
+            spent = self.bits[self.node[context].astype(np.int32) * 256 + own].astype(np.float64)
             some = np.flatnonzero(sizes)
             out[first + some] += np.add.reduceat(spent, np.maximum(starts, 0)[some], axis=0)
         return out
 
 
-_TABLES: dict[str, Tables] = {}
-
-
 def tables_of(shared) -> Tables:
     """The tables of a broadcast model, made once a worker."""
-    model = shared.value
-    if model["key"] not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model["key"]] = Tables(model)
-    return _TABLES[model["key"]]
+    return worker_state(("language", shared.value["key"]), lambda: Tables(shared.value))
 
 
 def predict(documents: DataFrame, model: dict, text_col: str = "text", lang_out: str = "lang_pred",

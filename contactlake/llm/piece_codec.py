@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, slices, utf8
-from .pieces import SPACE, Recent, Vocabulary, vocabulary
+from .common import ready, slices, utf8, worker_state
+from .pieces import SPACE, Recent, Vocabulary
 
 KEPT = 150_000
 
@@ -61,13 +61,8 @@ class Codec:
         return ids, spelt
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(vocabulary(path))
-    return _CODECS[path]
+    return worker_state(("codec", path), lambda: Codec(Vocabulary(path)))
 
 
 def _run(documents: DataFrame, path: str, id_col: str, text_col: str, digest: bool) -> DataFrame:
@@ -78,7 +73,7 @@ def _run(documents: DataFrame, path: str, id_col: str, text_col: str, digest: bo
         codec = _codec(path)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 gc.disable()  # the many small lists made here hold no cycles
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, spelt = codec.encoded(texts)

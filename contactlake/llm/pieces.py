@@ -241,13 +241,3 @@ class Recent:
         if len(known) > self.most:
             self.old, self.young = known, {}
         return known
-
-
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
-def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, read once a worker."""
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]

@@ -51,12 +51,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, ready, utf8
+from .common import cut, mixed, ready, utf8, worker_state
 
 LENGTH = 400
 Q = 17
 CHUNK = 2 << 20
-RANGE = 4_000_000
+RANGE = 2_000_000
 PARTS = 4
 LAST = 3
 _BASE = 0x5851F42D4C957F2D
@@ -86,15 +86,11 @@ def difference_cover(q: int) -> tuple[int, list[int]]:
     raise ValueError(f"{q} is not a prime")
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        n = _BLOCK + 4096
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            _POWERS.append(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]), dtype=np.uint64))
-    return _POWERS
+    """Powers of the base and of its inverse."""
+    return worker_state("powers", lambda: [
+        np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK + 4096, np.uint64(b))]), dtype=np.uint64)
+        for b in (_BASE, pow(_BASE, -1, 1 << 64))])
 
 
 class Chunk:
@@ -321,7 +317,7 @@ def repeats(documents: DataFrame, text_col: str = "text", length: int = LENGTH,
     _released(spark)
     n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     names = n_bytes * (q + 1) // (q * q + q + 1)
-    ranges = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), names // RANGE)
+    ranges = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")), names // RANGE)
     ranges = 1 << (int(ranges) - 1).bit_length()
 
     def ask(row, step, replies=None):

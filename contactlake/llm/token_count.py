@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, slices, utf8
-from .pieces import Recent, Vocabulary, vocabulary
+from .common import ready, slices, utf8, worker_state
+from .pieces import Recent, Vocabulary
 
 LIMIT = 4096
 KEPT = 400_000
@@ -193,13 +193,8 @@ class PrefixCounts:
         return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
-_PREFIXES: dict[str, tuple[Prefixes, Recent]] = {}
-
-
 def _prefixes(path: str) -> tuple[Prefixes, Recent]:
-    if path not in _PREFIXES:
-        _PREFIXES[path] = Prefixes(vocabulary(path)), Recent(KEPT)
-    return _PREFIXES[path]
+    return worker_state(("prefixes", path), lambda: (Prefixes(Vocabulary(path)), Recent(KEPT)))
 
 
 def count_tokens(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -212,7 +207,7 @@ def count_tokens(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             column, tokens = batch.column(1), []
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 gc.disable()  # the many short strings made here hold no cycles
                 own = [prefixes.vocab.segments(x or "") for x in column.slice(a, b - a).to_pylist()]
                 known = kept.fetch(itertools.chain.from_iterable(own), prefixes.totals)
