@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ready, slices, utf8, worker_state
 from .pieces import SPACE, Recent, Vocabulary
 
-KEPT = 150_000
+KEPT = 80_000
 
 
 class Codec:
@@ -37,27 +38,27 @@ class Codec:
         self.border = next(c for c in "\n\x01\x02\x03￿" if c not in vocab.symbol)
         self.head = vocab.lib.encode(self.border)
 
-    def _made(self, segments: list[str]) -> list[tuple[str, list[int]]]:
-        """The spelling of each segment's ids and the ids, checked against the library."""
+    def _made(self, segments: list[str]) -> list[tuple[str, bytes]]:
+        """The spelling of each segment's ids and the ids in 32 bits each, checked against the library."""
         ids = self.vocab.encode(segments)
         n = len(self.head)
         theirs = self.vocab.lib.encode([self.border + x.replace(SPACE, " ") for x in segments], num_threads=1)
         for own, other, x in zip(ids, theirs, segments):
             if own != other[n:]:
                 raise ValueError(f"segment {x!r}: {own} here, {other[n:]} by the library")
-        return [(" ".join(map(str, x)), x) for x in ids]
+        return [(" ".join(map(str, x)), array("i", x).tobytes()) for x in ids]
 
     def encoded(self, texts: list[str], eos: bool = True) -> tuple[list[list[int]], list[str]]:
         """Ids of each text, and the ids spelt in decimal, joined by one space."""
         segments = [self.vocab.segments(x) for x in texts]
         known = self.recent.fetch(itertools.chain.from_iterable(segments), self._made)
-        end = [self.vocab.eos] if eos else []
+        end = array("i", [self.vocab.eos] if eos else []).tobytes()
         tail = [str(self.vocab.eos)] if eos else []
         ids, spelt = [], []
         for own in segments:
             found = [known[x] for x in own]
             spelt.append(" ".join([x[0] for x in found] + tail))
-            ids.append(list(itertools.chain.from_iterable([x[1] for x in found])) + end)
+            ids.append(np.frombuffer(b"".join([x[1] for x in found]) + end, np.int32).tolist())
         return ids, spelt
 
 

@@ -382,7 +382,7 @@ def without_repeats(documents: DataFrame, text_col: str = "text", length: int =
     Of a character that a cut splits, the other bytes go too. A null text
     stays null.
     """
-    found = cut(repeats(documents, text_col, length, q, chunk, keep_text=True).select("sha", "kept"))
+    found = repeats(documents, text_col, length, q, chunk, keep_text=True).select("sha", "kept")
     others = [F.col(f"`{c}`") for c in documents.columns if c != text_col]
     there = F.col(f"`{text_col}`").isNotNull().alias(text_col)
     text = F.when(F.col(f"row.`{text_col}`"), F.col("kept"))

@@ -33,7 +33,7 @@ from .common import ready, slices, utf8, worker_state
 from .pieces import Recent, Vocabulary
 
 LIMIT = 4096
-KEPT = 400_000
+KEPT = 200_000
 _SHIFT = 21
 _DEAD = -1
 
