@@ -24,11 +24,12 @@ def keep_first(df: DataFrame, keys: list[str], order: str = ROW_ID) -> DataFrame
     Column order and types are preserved.
     """
     cols = df.columns
-    packed = F.struct(qcol(order).alias("__o"), F.struct(*[qcol(c).alias(c) for c in cols]).alias("r"))
-    firsts = df.groupBy(*[qcol(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
-        F.min(packed).alias("__first"))
+    at = {k: f"__k{i}" for i, k in enumerate(keys)}
+    rest = [c for c in cols if c not in at]  # the keys go through the shuffle once, as keys
+    packed = F.struct(qcol(order).alias("__o"), F.struct(*[qcol(c).alias(c) for c in rest]).alias("r"))
+    firsts = df.groupBy(*[qcol(k).alias(at[k]) for k in keys]).agg(F.min(packed).alias("__first"))
     row = F.col("__first")["r"]
-    return firsts.select(*[row[c].alias(c) for c in cols])
+    return firsts.select(*[(F.col(at[c]) if c in at else row[c]).alias(c) for c in cols])
 
 
 def dedupe_by_email(df: DataFrame, order: str = ROW_ID) -> tuple[DataFrame, list[str]]:

@@ -3,14 +3,14 @@
 Two provider forms:
 
 * a **provider table** (DataFrame): people keyed by the request fields, or
-  organisations keyed by domain. Enrichment is then a left join. The
-  provider side is broadcast only after a row-count check; above the bound
-  it is a shuffle join, and AQE splits a skewed key (one domain holding a
-  large share of the contacts) across tasks.
+  organisations keyed by domain. Enrichment is then a left join. Broadcast
+  or shuffle is left to the planner's size estimate and AQE, which also
+  splits a skewed key (one domain holding a large share of the contacts)
+  across tasks.
 * a **provider callable** (``fn(endpoint, payload, timeout) -> dict``), called
   with batches of at most 10 requests from ``mapInPandas``; the request JSON
   is built by Spark, Python only batches, calls and zips ``matches[i]`` to
-  the i-th request. Retries with exponential backoff on 429 / 5xx /
+  the i-th request. Companies are asked for once a distinct domain. Retries with exponential backoff on 429 / 5xx /
   timeout; any other error marks the whole batch.
 
 Merging is by key (``_row_id`` / domain), not by position. Precedence with
@@ -86,18 +86,6 @@ def call_with_retry(fn, endpoint: str, payload: dict, policy: RetryPolicy) -> di
     raise ProviderError(S.MSG_RETRIES_EXHAUSTED.format(attempts=policy.max_attempts))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast hint only when the frame has at most ``max_rows`` rows
-    (checked with a bounded count). With ``max_rows=None`` no hint is given:
-    the planner broadcasts only below ``spark.sql.autoBroadcastJoinThreshold``
-    by its size estimate, and AQE converts to a broadcast join at run time
-    when the measured shuffle output is below the adaptive threshold; both
-    are size checks that cost no extra job."""
-    if max_rows and df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def _text(df: DataFrame, name: str) -> Column:
     if name not in df.columns:
         return F.lit(None).cast("string")
@@ -138,22 +126,31 @@ def _first_per_key(df: DataFrame, key: str, obj: str, unique: bool = False) -> D
 
 # ---------------------------------------------------------------- callable providers
 
+def provider_batch(size: int) -> int:
+    """``size`` itself, if a provider call may hold that many requests."""
+    if not 1 <= int(size) <= S.MAX_PROVIDER_BATCH:
+        raise ValueError(f"batch size must be between 1 and {S.MAX_PROVIDER_BATCH}")
+    return int(size)
+
+
 def _batched_calls(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_size: int,
-                   policy: RetryPolicy, parallelism: int | None, unwrap: bool = False) -> DataFrame:
-    """``(_row_id, req)`` -> ``(_row_id, match, err)`` by batched calls.
+                   policy: RetryPolicy, parallelism: int | None, key: str = ROW_ID,
+                   unwrap: bool = False) -> DataFrame:
+    """``(key, req)`` -> ``(key, match, err)`` by batched calls in key order.
     ``req`` is JSON text; with ``unwrap`` it is a one-element array whose
     element is the request item."""
-    batch_size = max(1, min(int(batch_size), S.MAX_PROVIDER_BATCH))
+    batch_size = provider_batch(batch_size)
     ship_package(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
     if parallelism:
         rows = rows.repartition(parallelism)
-    rows = rows.sortWithinPartitions(ROW_ID)
+    rows = rows.sortWithinPartitions(key)
 
     def run(it):
         import pandas as pd
 
         for pdf in it:
-            ids = pdf[ROW_ID].tolist()
+            ids = pdf[key].tolist()
             reqs = pdf["req"].tolist()
             matches, errors = [None] * len(ids), [None] * len(ids)
             for start in range(0, len(ids), batch_size):
@@ -170,9 +167,9 @@ def _batched_calls(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_s
                 except Exception as e:  # whole batch marked
                     for i in chunk:
                         errors[i] = str(e)
-            yield pd.DataFrame({ROW_ID: ids, "match": matches, "err": errors})
+            yield pd.DataFrame({key: ids, "match": matches, "err": errors})
 
-    return rows.mapInPandas(run, f"{ROW_ID} long, match string, err string")
+    return rows.mapInPandas(run, f"{key} {kind}, match string, err string")
 
 
 # ---------------------------------------------------------------- stages
@@ -205,8 +202,7 @@ def _unmatched_key(prefix: str) -> Column:
 
 
 def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                    parallelism: int | None, broadcast_rows: int | None,
-                    unique: bool = False) -> tuple[DataFrame, str]:
+                    parallelism: int | None, unique: bool = False) -> tuple[DataFrame, str]:
     """Person matches for records with an identifier; (frame, join column)."""
     sent = has_people_identifier(df)
     if isinstance(provider, DataFrame):
@@ -214,7 +210,7 @@ def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolic
             *[F.col(c).cast("string").alias(c) for c in
               ("first_name", "last_name", "organization_domain", "organization_name", "email")]
         )).alias("__key"), F.col("person"))
-        prov = sized_broadcast(_first_per_key(prov, "__key", "person", unique), broadcast_rows)
+        prov = _first_per_key(prov, "__key", "person", unique)
         return prov.select("__key", F.col("person").alias("__person"),
                            F.lit(None).cast("string").alias("__perr")), "__key"
     rows = df.where(sent).select(qcol(ROW_ID).alias(ROW_ID), F.to_json(people_request_col(df)).alias("req"))
@@ -224,27 +220,24 @@ def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolic
 
 
 def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                 parallelism: int | None, broadcast_rows: int | None,
-                 unique: bool = False) -> tuple[DataFrame, str]:
-    """Organisation matches per record with a domain; (frame, join column)."""
+                 parallelism: int | None, unique: bool = False) -> DataFrame:
+    """Organisation matches by ``__domain``."""
     if isinstance(provider, DataFrame):
         prov = provider.select(F.lower(F.col("domain")).alias("__domain"), F.col("organization"))
-        prov = sized_broadcast(_first_per_key(prov, "__domain", "organization", unique), broadcast_rows)
+        prov = _first_per_key(prov, "__domain", "organization", unique)
         return prov.select("__domain", F.col("organization").alias("__org"),
-                           F.lit(None).cast("string").alias("__oerr")), "__domain"
-    sent = df.select(qcol(ROW_ID).alias(ROW_ID), org_domain_col(df).alias("d")).where(F.col("d").isNotNull())
-    calls = _batched_calls(sent.select(ROW_ID, F.to_json(F.array(F.col("d"))).alias("req")), provider,
-                           ORG_ENDPOINT, "domains", batch_size, policy, parallelism, unwrap=True)
-    return calls.select(ROW_ID, F.from_json("match", ORG_SCHEMA).alias("__org"),
-                        F.col("err").alias("__oerr")), ROW_ID
+                           F.lit(None).cast("string").alias("__oerr"))
+    asked = df.select(org_domain_col(df).alias("__domain")).where("__domain IS NOT NULL").distinct()
+    calls = _batched_calls(asked.select("__domain", F.to_json(F.array("__domain")).alias("req")), provider,
+                           ORG_ENDPOINT, "domains", batch_size, policy, parallelism, key="__domain", unwrap=True)
+    return calls.select("__domain", F.from_json("match", ORG_SCHEMA).alias("__org"), F.col("err").alias("__oerr"))
 
 
 def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
                    enrich_people: bool = True, enrich_companies: bool = True,
                    prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
                    batch_size: int = S.MAX_PROVIDER_BATCH, policy: RetryPolicy | None = None,
-                   parallelism: int | None = None, broadcast_rows: int | None = None,
-                   provider_unique: bool = False) -> Enriched:
+                   parallelism: int | None = None, provider_unique: bool = False) -> Enriched:
     """Enrich contact rows (with ``_row_id``) by people and/or companies.
 
     ``provider_unique=True`` declares provider tables unique on their key,
@@ -268,8 +261,7 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
     emb_cols: list[tuple[str, Column]] = []
     org_cols: list[tuple[str, Column]] = []
     if do_people:
-        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, broadcast_rows,
-                                  provider_unique)
+        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, provider_unique)
         if key == "__key":
             k = F.when(has_people_identifier(df), request_key(people_request_col(df)))
             out = out.withColumn("__key", F.coalesce(k, _unmatched_key("\u0000"))).join(pm, "__key", "left")
@@ -278,13 +270,9 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
         person_cols = map_person(F.col("__person"), PERSON_SCHEMA, prefixes)
         emb_cols = map_company(F.col("__person")["organization"], ORG_SCHEMA, prefixes)
     if do_orgs:
-        om, key = _org_matches(df, company_provider, batch_size, policy, parallelism, broadcast_rows,
-                               provider_unique)
-        if key == "__domain":
-            dom = F.coalesce(org_domain_col(df), _unmatched_key("\u0000"))
-            out = out.withColumn("__domain", dom).join(om, "__domain", "left")
-        else:
-            out = out.join(om, ROW_ID, "left")
+        om = _org_matches(df, company_provider, batch_size, policy, parallelism, provider_unique)
+        dom = F.coalesce(org_domain_col(df), _unmatched_key("\u0000"))
+        out = out.withColumn("__domain", dom).join(om, "__domain", "left")
         org_cols = map_company(F.col("__org"), ORG_SCHEMA, prefixes)
 
     orig = set(df.columns)
@@ -375,7 +363,7 @@ def request_batches(df: DataFrame, kind: str = "people", size: int = S.MAX_PROVI
     ``size`` small items, so ``collect_list`` per batch is bounded."""
     from .keys import with_batches
 
-    size = max(1, min(int(size), S.MAX_PROVIDER_BATCH))
+    size = provider_batch(size)
     if kind == "people":
         rows = df.where(has_people_identifier(df)).select(qcol(ROW_ID).alias(ROW_ID),
                                                          people_request_col(df).alias("item"))

@@ -307,12 +307,12 @@ def q_quality(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_more  # noqa: F401  (registers the remaining queries)
+    from . import catalog_flows, catalog_more  # noqa: F401  (register the remaining queries)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_flows, catalog_more  # noqa: F401
 
     return dict(ORACLE)

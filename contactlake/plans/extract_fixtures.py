@@ -34,11 +34,12 @@ WHERE s.s_suppkey % 4 <> 3
 """
 
 
-def primary_extractor(html: str, url: str) -> str:
+def primary_extractor(html: str, url: str, mail: bool = False) -> str:
     """Pairs of navigation link texts become people of the page's host.
     Reply shape varies with the page: a fenced list, an object (which holds
     no items, so that the page goes to the fallback), or a list with other
-    values in it; a path number that is a multiple of 7 gives no reply."""
+    values in it; a path number that is a multiple of 7 gives no reply. With
+    ``mail`` every fourth person, from the first on, has an e-mail."""
     host = (_HOST.match(url) or [None, ""])[1]
     num = re.search(r"/(\d+)", url)
     if num and int(num.group(1)) % 7 == 0:
@@ -46,6 +47,9 @@ def primary_extractor(html: str, url: str) -> str:
     links = _LINK.findall(html)
     items = [{"firstName": links[i], "lastName": links[i + 1], "organization": host}
              for i in range(0, len(links) - 1, 2)]
+    if mail:
+        for i, item in enumerate(items[::4]):
+            item["email"] = f"person{4 * i}@{host}"
     shape = len(url) % 3
     if shape == 0:
         return "```json\n" + json.dumps(items) + "\n```"
