@@ -159,6 +159,25 @@ def test_request_batches(spark):
     assert people[0]["details"][0] == {"first_name": "F0", "organization_domain": "www.d0.com", "email": "u0@x.com"}
     orgs = {r["batch_id"]: json.loads(r["payload"]) for r in request_batches(df, "companies").collect()}
     assert orgs[0]["domains"][:2] == ["d0.com", "d2.com"] and sum(len(v["domains"]) for v in orgs.values()) == 12
+    with pytest.raises(ValueError):
+        request_batches(df, "people", size=11)
+
+
+def test_companies_are_asked_once_a_domain(spark):
+    from contactlake.operators.enrich import enrich_records
+
+    def provider(endpoint, payload, timeout):
+        if len(payload["domains"]) != len(set(payload["domains"])) or len(payload["domains"]) > 2:
+            raise ValueError("asked more than once")
+        return {"matches": [{"name": f"Org {d}"} for d in payload["domains"]]}
+
+    df = spark.createDataFrame(
+        [(i, f"u{i}@x.com", "", ["www.a.com", "http://b.org/x", ""][i % 3]) for i in range(60)],
+        f"_row_id long, `{S.EMAIL}` string, `{S.COMPANY}` string, `{S.WEBSITE}` string").coalesce(1)
+    got = enrich_records(df, None, provider, enrich_people=False).frame.collect()
+    assert {(r["_row_id"] % 3, r[S.COMPANY], r["_enrichment_error"]) for r in got} == {
+        (0, "Org a.com", ""), (1, "Org b.org", ""), (2, "", "")}
+    assert len(got) == 60
 
 
 def test_input_order_across_splits(spark, tmpdir_path):
