@@ -12,7 +12,10 @@ The cut-off rank is found without gathering a source in one place: sizes are
 summed by source and by one of ``BUCKETS`` ranges of u (map-side partial
 sums), a running sum over these ranges finds the range in which the target is
 met, the range is divided once more in the same way, and only the documents
-of the last range are ordered one by one.
+of the last range are ordered one by one. Rows meet their source's numbers by
+source and one of ``SALTS`` hashes of the row, with the table of sources
+repeated that often, so that a source with a third of all rows is spread over
+as many tasks.
 
 Defined cases: a null or empty text has size 0 and is taken whole (it brings
 no words); a null source is a source of its own, ordered last; repeated rows
@@ -32,6 +35,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BUCKETS = 1 << 10
+SALTS = 32
 SEED = "mix-1"
 _UNIT = float(1 << 52)
 
@@ -72,6 +76,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
                     F.least("ceiling", F.coalesce(F.col("level") * F.col("weight"), F.col("ceiling"))).alias("target")))
 
 
+def _with_source(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows, with the columns of their source's row in ``plan``."""
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    return rows.join(plan.withColumn("p_salt", F.explode(salts)),
+                     F.col("source").eqNullSafe(F.col("p_source")) & (F.col("salt") == F.col("p_salt")), how)
+
+
 def _cut_offs(rows: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     """One row a source: whole copies, and how far the order of rank is taken.
 
@@ -87,8 +98,7 @@ def _cut_offs(rows: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     for _ in range(2):  # two digits of u: a range left over holds one row in buckets ** 2
         step /= buckets
         digit = F.floor((F.col("u") - F.col("low")) / F.lit(step))
-        inside = (rows.join(plan.withColumn("low", low) if "low" not in plan.columns else plan,
-                            F.col("source").eqNullSafe(F.col("p_source")))
+        inside = (_with_source(rows, plan.withColumn("low", low) if "low" not in plan.columns else plan)
                   .where((F.col("u") >= F.col("low")) & (digit < buckets)))
         sums = inside.groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("size"))
         run = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +114,7 @@ def _cut_offs(rows: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
                             .otherwise(F.col("low") + F.col("at.digit") * F.lit(step)))
                 .drop("s_source", "at"))
         plan = cut(plan)
-    edge = (rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    edge = (_with_source(rows, plan)
             .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.lit(step))))
     run = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     last = (edge.withColumn("sum", F.col("below") + F.coalesce(F.sum("size").over(run), F.lit(0)))
@@ -119,17 +129,18 @@ def _planned(documents: DataFrame, id_col: str, text_col: str, source_col: str,
     u = random_unit(F.col(id_col), seed)
     rank = F.struct(u.alias("u"), F.col(id_col).alias("id"), size.alias("size"),
                     F.xxhash64(F.col(text_col)).alias("digest"))
-    rows = cut(documents.select(F.col(source_col).alias("source"), size.alias("size"), u.alias("u"),
+    salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int").alias("salt")
+    rows = cut(documents.select(F.col(source_col).alias("source"), salt, size.alias("size"), u.alias("u"),
                                 rank.alias("rank"), F.col(id_col).alias("id")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     plan = _cut_offs(rows, cut(targets), buckets)
     if keep:
         rows = documents.select(F.struct(*documents.columns).alias("row"), F.col(source_col).alias("source"),
-                                size.alias("size"), u.alias("u"), rank.alias("rank"))
+                                salt, size.alias("size"), u.alias("u"), rank.alias("rank"))
     # odds of u over odds of p rise with u inside a source, so that u's order is the order of rank
     extra = F.when((F.col("p") > 0) & ((F.col("u") < F.col("low")) | F.coalesce(
         F.col("rank") <= F.col("last"), F.lit(False))), F.lit(1)).otherwise(F.lit(0))
-    return (rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    return (_with_source(rows, plan, "left")
             .withColumn("copies", (F.coalesce(F.col("whole"), F.lit(0)) + extra).cast("int")))
 
 
