@@ -149,6 +149,23 @@ def test_mixing_takes_about_the_target(spark):
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 30
 
 
+def test_mixing_of_a_hot_null_source_without_broadcasts(spark):
+    rows = [(i % 400, None if i % 3 else "a", "w " * (i % 9)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old, found = spark.conf.get(key), []
+    for most in (old, "-1"):
+        spark.conf.set(key, most)
+        try:
+            planned = mixing.mix(docs).collect()
+            n = mixing.mixed_documents(docs).count()
+        finally:
+            spark.conf.set(key, old)
+        assert len(planned) == 600 and n == sum(r["copies"] for r in planned)
+        found.append(sorted((r["doc_id"], r["source"] or "", r["size"], r["copies"]) for r in planned))
+    assert found[0] == found[1]
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = {i: [float(x) for x in rng.normal(size=8).astype("float32")] for i in range(400)}
