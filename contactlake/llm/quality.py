@@ -9,10 +9,16 @@ covariance determinant, and a row whose squared Mahalanobis distance exceeds
 the cut-off is rejected.
 
 The estimate follows the usual concentration steps, run over all groups at
-once as aggregations: from the median and the scaled median deviation of each
-component, the ``HALF`` of the rows nearest to the present centre give the
-next mean and covariance, ``STEPS`` times; one more step takes all rows within
-a quantile (reweighting). The distance that bounds the nearest rows is found
+once as aggregations, from several starts a group side by side: the median of
+each component with its quartile range, and the median and both quartiles with
+the narrower side of that range, which copies on one side can't widen. The
+``HALF`` of the rows nearest to the present centre give the next mean and
+covariance, ``STEPS`` times; of a group's fits the one with the least
+determinant stays, and one more step takes all rows within a quantile
+(reweighting). In the determinants a direction thinner than ``FLOOR`` counts as
+``FLOOR``, so that a group of copies doesn't win by having no scatter of its
+own, and another start than the first must have less than ``LESS`` times the
+first one's, as fits to the same rows differ a little. The distance that bounds the nearest rows is found
 from counts by a fine logarithmic grid of distances, so that no group is ever
 gathered or sorted in one task. A row keeps only six numbers.
 
@@ -42,7 +48,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint_dir, cut, ready, texts
 
 STEPS = 4
-HALF = 0.75
+HALF = 0.5
+LESS = 0.5
 LEAST = 60
 #: Least standard deviations: log words, characters a word, then shares (symbols, lines, windows).
 FLOOR = (0.25, 0.25, 0.02, 0.05, 0.05)
@@ -50,9 +57,9 @@ FLOOR = (0.25, 0.25, 0.02, 0.05, 0.05)
 #: counts are heavier than normal, so that a chi-square quantile would reject clean texts.
 CUT_OFF = 100.0
 #: Chi-square with 5 degrees of freedom: its 0.975 quantile, and what makes the scatter of the nearest
-#: three quarters, or of the rows within that quantile, that of all (share over the chi-square probability
+#: half, or of the rows within that quantile, that of all (share over the chi-square probability
 #: with 7 degrees of the same quantile).
-_Q975, _FACTOR_HALF, _FACTOR_975 = 12.8325, 1.412, 1.055
+_Q975, _FACTOR_HALF, _FACTOR_975 = 12.8325, 1.912, 1.055
 _GRID = 16
 P = len(FLOOR)
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
@@ -116,11 +123,11 @@ def _distance(x: str, centre: str, inverse: str) -> Column:
 
 
 def _fitted(groups: DataFrame, factor: float) -> DataFrame:
-    """centre and inverse scatter of each group from its sums: one row a group."""
+    """centre, inverse scatter and its log determinant in units of FLOOR, of each fit from its sums: one row a fit."""
 
     def run(frames):
         for frame in frames:
-            inverse = []
+            inverse, size = [], []
             for n, sums, squares in zip(frame["n"], frame["sums"], frame["squares"]):
                 mean = np.array(sums, float) / n
                 c = np.zeros((P, P))
@@ -128,57 +135,73 @@ def _fitted(groups: DataFrame, factor: float) -> DataFrame:
                 c = (c + np.triu(c, 1).T - np.outer(mean, mean)) * factor
                 c += np.diag(np.maximum(np.array(FLOOR) ** 2 - np.diag(c), 0) + np.array(FLOOR) ** 2 * 1e-6)
                 inverse.append(np.linalg.inv(c).ravel())
+                size.append(np.log(np.maximum(np.linalg.eigvalsh(c / np.outer(FLOOR, FLOOR)), 1)).sum())
             frame["centre"] = [np.array(x, float) / n for x, n in zip(frame["sums"], frame["n"])]
-            frame["inverse"] = inverse
-            yield frame[["key", "centre", "inverse"]]
+            frame["inverse"], frame["size"] = inverse, size
+            yield frame[["key", "start", "centre", "inverse", "size"]]
 
-    return groups.mapInPandas(run, "key string, centre array<double>, inverse array<double>")
+    return groups.mapInPandas(run, "key string, start int, centre array<double>, inverse array<double>, size double")
 
 
 def _sums(rows: DataFrame, factor: float) -> DataFrame:
-    """Estimates from (key, x): sums and products are added up map-side, then one row a group is inverted."""
+    """Estimates from (key, start, x): sums and products are added up map-side, then one row a fit is inverted."""
     x = [F.col("x")[i] for i in range(P)]
-    groups = rows.groupBy("key").agg(
+    groups = rows.groupBy("key", "start").agg(
         F.count("*").alias("n"), F.array(*[F.sum(a) for a in x]).alias("sums"),
         F.array(*[F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P)]).alias("squares"))
     return cut(_fitted(groups, factor))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each component, from counts by a grid of eighths of FLOOR."""
+    """The starts of each group, by medians and quartiles of each component, from counts by a grid of eighths of FLOOR."""
     step = F.element_at(F.array(*[F.lit(f / 8) for f in FLOOR]), F.col("i") + 1)
     cells = (rows.select("key", F.posexplode("x").alias("i", "v"))
              .groupBy("key", "i", F.floor(F.col("v") / step).alias("cell")).agg(F.count("*").alias("n")))
     run = Window.partitionBy("key", "i")
     share = F.sum("n").over(run.orderBy("cell")) / F.sum("n").over(run)
     at = [F.min(F.when(F.col("share") >= q, F.col("cell"))) for q in (0.25, 0.5, 0.75)]
+    least = F.element_at(F.array(*[F.lit(f) for f in FLOOR]), F.col("i") + 1)
+    wide = F.greatest((F.col("q2") - F.col("q0")) * F.col("step") / 1.349, least)
+    narrow = F.greatest(2 * F.least(F.col("q2") - F.col("q1"), F.col("q1") - F.col("q0")) * F.col("step") / 1.349, least)
+    starts = [("q1", wide), ("q1", narrow), ("q0", narrow), ("q2", narrow)]
     found = (cells.withColumn("share", share).groupBy("key", "i")
              .agg(*[a.alias(f"q{k}") for k, a in enumerate(at)])
              .withColumn("step", step)
-             .withColumn("middle", (F.col("q1") + 0.5) * F.col("step"))
-             .withColumn("spread", F.greatest((F.col("q2") - F.col("q0")) * F.col("step") / 1.349,
-                                              F.element_at(F.array(*[F.lit(f) for f in FLOOR]), F.col("i") + 1))))
-    whole = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "middle", "spread"))).alias("s"))
+             .select("key", "i", F.posexplode(F.array(*[
+                 F.struct(((F.col(q) + 0.5) * F.col("step")).alias("middle"), spread.alias("spread"))
+                 for q, spread in starts])).alias("start", "c"))
+             .select("key", "start", "i", "c.*"))
+    whole = found.groupBy("key", "start").agg(F.array_sort(F.collect_list(F.struct("i", "middle", "spread"))).alias("s"))
     inverse = F.flatten(F.array(*[F.array(*[
         1 / F.col("s")[i]["spread"] ** 2 if i == j else F.lit(0.0) for j in range(P)]) for i in range(P)]))
-    return cut(whole.select("key", F.col("s.middle").alias("centre"), inverse.alias("inverse")))
+    return cut(whole.select("key", "start", F.col("s.middle").alias("centre"), inverse.alias("inverse")))
+
+
+def _least(fits: DataFrame) -> DataFrame:
+    """Of each group's fits the one with the least determinant, or the first if none is less than LESS times its."""
+    size = F.col("size") - F.when(F.col("start") > 0, F.lit(math.log(LESS))).otherwise(F.lit(0.0))
+    return cut(fits.groupBy("key").agg(F.min_by(F.struct("start", "centre", "inverse"), F.struct(size, "start")).alias("f"))
+               .select("key", "f.*"))
 
 
 def _with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    fit = fit.withColumnRenamed("key", "f_key")
+    """Each row once a fit of its group, with start and d2."""
+    fit = fit.select(F.col("key").alias("f_key"), "start", "centre", "inverse")
     return (rows.join(fit, F.col("key") == F.col("f_key"), "left")
             .withColumn("d2", _distance("x", "centre", "inverse")).drop("f_key", "centre", "inverse"))
 
 
 def _nearest(rows: DataFrame, fit: DataFrame, share: float) -> DataFrame:
-    """The rows of each group within the grid distance that holds ``share`` of the group."""
+    """The rows of each group, once a fit, within the grid distance of the fit that holds ``share`` of the group."""
     near = _with_distance(rows, fit).withColumn(
         "cell", F.greatest(F.lit(-200), F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * _GRID)))
-    cells = near.groupBy("key", "cell").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("key")
+    cells = near.groupBy("key", "start", "cell").agg(F.count("*").alias("n"))
+    run = Window.partitionBy("key", "start")
     most = (cells.withColumn("share", F.sum("n").over(run.orderBy("cell")) / F.sum("n").over(run))
-            .where(F.col("share") >= share).groupBy(F.col("key").alias("m_key")).agg(F.min("cell").alias("most")))
-    return near.join(most, F.col("key") == F.col("m_key")).where(F.col("cell") <= F.col("most")).select("key", "x")
+            .where(F.col("share") >= share).groupBy(F.col("key").alias("m_key"), F.col("start").alias("m_start"))
+            .agg(F.min("cell").alias("most")))
+    return (near.join(most, (F.col("key") == F.col("m_key")) & (F.col("start") == F.col("m_start")))
+            .where(F.col("cell") <= F.col("most")).select("key", "start", "x"))
 
 
 def judge(stats: DataFrame, steps: int = STEPS, half: float = HALF, least: int = LEAST,
@@ -206,11 +229,11 @@ def judge(stats: DataFrame, steps: int = STEPS, half: float = HALF, least: int =
     fit = _start(base)
     for _ in range(steps):
         fit = _sums(_nearest(base, fit, half), _FACTOR_HALF)
-    fit = _sums(_with_distance(base, fit).where(F.col("d2") <= _Q975), _FACTOR_975)
+    fit = _sums(_with_distance(base, _least(fit)).where(F.col("d2") <= _Q975), _FACTOR_975)
     return (_with_distance(rows, fit)
             .withColumn("distance", F.when(good, F.col("d2")))
             .withColumn("kept", good & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut_off))
-            .drop("d2", "x", "key", "fits"))
+            .drop("d2", "x", "key", "fits", "start"))
 
 
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

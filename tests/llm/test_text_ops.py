@@ -286,3 +286,20 @@ def test_quality_of_odd_rows(spark):
     assert got == [("1", 0, True, False), ("2", 0, True, False), ("3", 60, False, True), ("3", 60, False, True),
                    ("4", 180, True, False), ("None", 60, False, True)]
     assert quality.quality(rows.limit(0)).collect() == []
+
+
+def test_copies_of_a_third_of_a_group_are_outliers(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    junk = [" ".join(f"w{k}$$$" for k in range(60)), " ".join(f"word{k}#" for k in range(60)),
+            "\n".join(["five words are a line"] * 2 + [f"l{k} a{k} b{k}" + " |" * 12 for k in range(20)])]
+    for g, (share, bad) in enumerate([(0.3, 0), (0.35, 0), (0.4, 0), (0.4, 1), (0.38, 2), (0.45, 0)]):
+        n_bad = int(200 * share)
+        for i in range(200):
+            text = junk[bad] if i < n_bad else " ".join(
+                f"w{rng.integers(400)}" for _ in range(int(np.exp(rng.normal(5.5, 0.5))) + 50))
+            rows.append((1000 * g + i, text, "en", f"s{g}", i >= n_bad))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert not [i for i, _, _, _, good in rows if not good and got[i]]
+    assert sum(not got[i] for i, _, _, _, good in rows if good) <= 5
