@@ -53,9 +53,8 @@ LESS = 0.5
 LEAST = 60
 #: Least standard deviations: log words, characters a word, then shares (symbols, lines, windows).
 FLOOR = (0.25, 0.25, 0.02, 0.05, 0.05)
-#: Squared distance beyond which a row is rejected: ten floors or deviations in one direction. The tails of word
-#: counts are heavier than normal, so that a chi-square quantile would reject clean texts.
-CUT_OFF = 100.0
+#: Squared distance beyond which a row is rejected: the 0.999 quantile of chi-square with 5 degrees of freedom.
+CUT_OFF = 20.515
 #: Chi-square with 5 degrees of freedom: its 0.975 quantile, and what makes the scatter of the nearest
 #: half, or of the rows within that quantile, that of all (share over the chi-square probability
 #: with 7 degrees of the same quantile).

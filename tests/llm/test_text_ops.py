@@ -303,3 +303,20 @@ def test_copies_of_a_third_of_a_group_are_outliers(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
     assert not [i for i, _, _, _, good in rows if not good and got[i]]
     assert sum(not got[i] for i, _, _, _, good in rows if good) <= 5
+
+
+def test_outliers_of_a_few_deviations_are_rejected(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{k}" for k in rng.integers(100_000, size=n)]
+    rows = [" ".join(some(int(np.exp(rng.normal(5.5, 0.4))) + 50)) for _ in range(400)]
+    passage = some(10)
+    rows += [" ".join(some(200) + ["|"] * 40) for _ in range(8)]  # a sixth are symbols
+    rows += [" ".join(some(120) + passage * 8) for _ in range(8)]  # two fifths are repeated
+    rows += ["\n".join([" ".join(some(20)) for _ in range(12)] + ["and more"] * 2 + [f"see {k}" for k in range(12)] * 2)
+             for _ in range(8)]  # thirteen repeated lines
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not [i for i in range(400, 424) if got[i]["kept"]]
+    assert sum(not got[i]["kept"] for i in range(400)) <= 4
