@@ -213,3 +213,58 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert stages == ["language", "near_dedup", "suffix_dedup", "mixing", "encode"]
     first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
     assert first.columns == docs.columns
+
+
+def edited(rng, own, share, spread):
+    """``own`` with a share of its words replaced, at random or evenly."""
+    own, n = list(own), int(len(own) * share)
+    for i in rng.sample(range(len(own)), n) if spread == "random" else [k * len(own) // n for k in range(n)]:
+        own[i] = f"e{rng.randrange(10 ** 9)}"
+    return own
+
+
+def test_pairs_near_the_limit_agree_in_a_sketch():
+    rng = random.Random(12)
+    for share, spread, least in ((0.1, "random", 200), (0.15, "random", 200), (0.2, "random", 198), (0.15, "even", 198),
+                                 (0.2, "even", 190)):
+        found = 0
+        for _ in range(200):
+            a = words(rng, 200)
+            data = [" ".join(x).encode() for x in (a, edited(rng, a, share, spread))]
+            h, offsets = near_dup.word_hashes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+            assert near_dup.similar(h[:offsets[1]], h[offsets[1]:])
+            x, y = near_dup.all_sketches(h, offsets)
+            found += bool((x == y).any())
+        assert found >= least, (share, spread, found)
+
+
+def all_pairs_classes(rows):
+    """{id: smallest id of its class} by aligning every pair of texts, whatever words they share."""
+    number, parent = {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    hashed = [(i, np.array([number.setdefault(w, len(number)) for w in t.split()], np.uint32)) for i, t in rows]
+    for x, (i, a) in enumerate(hashed):
+        for j, b in hashed[:x]:
+            if near_dup.similar(a, b):
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    return {i: find(i) for i, _ in rows}
+
+
+def test_pairs_near_the_limit_match_alignment_of_all_pairs(spark):
+    rng = random.Random(13)
+    rows = []
+    for share in (0.1, 0.15, 0.2):
+        for spread in ("random", "random", "even"):
+            for _ in range(8):
+                own = words(rng, 150)
+                rows += [" ".join(own), " ".join(edited(rng, own, share, spread))]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["class_id"] for r in
+           near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_classes(rows)
