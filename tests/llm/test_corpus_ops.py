@@ -268,3 +268,23 @@ def test_pairs_near_the_limit_match_alignment_of_all_pairs(spark):
     got = {r["doc_id"]: r["class_id"] for r in
            near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == all_pairs_classes(rows)
+
+
+def test_links_past_the_smallest_id_are_found(spark):
+    rng = random.Random(14)
+    # b is like a and like c, but a isn't like c
+    rows = []
+    for _ in range(3):
+        a = words(rng, 200)
+        b = [f"b{k}" for k in range(30)] + a[30:]
+        c = b[:170] + [f"c{k}" for k in range(30)]
+        rows += [" ".join(x) for x in (a, b, c)]
+    # texts of one template, whose smallest id is like none of them, in pairs alike in their own part
+    template = words(rng, 140)
+    for _ in range(40):
+        own = words(rng, 60)
+        rows += [" ".join(template + x) for x in (own, edited(rng, own, 0.15, "random"))]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["class_id"] for r in
+           near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_classes(rows)
