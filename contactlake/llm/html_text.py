@@ -6,7 +6,8 @@ scan finds the contiguous part with the highest sum, which is the content
 region. The weights are log odds learned from labelled pages: pages that mark
 their article themselves, of which a bounded sample (about ``SAMPLE`` pages,
 those with the smallest hashes of their id) is counted. Words of one text run
-weigh the same, so the scan goes over runs and tags.
+weigh the same, so the scan goes over runs and tags. What stands in the parts
+that are left out below scores nothing.
 
 Out of the region, what stands in elements that never belong to an article is
 left out: menus, page headers and footers, sidebars, notices, adverts, forms,
@@ -163,12 +164,13 @@ def region(rows: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     """First and one past the last row of the part with the highest sum; (0, 0) if no part scores above zero."""
     best, span, total, first = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, outside, _) in enumerate(rows):
+        if outside:  # is left out of the region anyway, so it neither parts nor joins
+            continue
         if kind is None:
             name = value.lstrip("/")
             total += weights.get("<" + value, _INSIDE_DEFAULT if name in INLINE or name in _DEFAULT else _TAG_DEFAULT)
         else:
-            w = weights.get("-" + kind, -_MOST) if outside else weights.get(kind, _DEFAULT.get(kind, _WORD_DEFAULT))
-            total += w * len(value.split())
+            total += weights.get(kind, _DEFAULT.get(kind, _WORD_DEFAULT)) * len(value.split())
         if total <= 0:
             total, first = 0.0, i + 1
         elif total > best:

@@ -155,6 +155,15 @@ def test_main_text_of_marked_and_plain_pages():
     assert html_text.main_text(None, weights) == ""
 
 
+def test_long_parts_left_out_do_not_cut_the_article():
+    long = "<p>" + "other words " * 200 + "</p>"
+    page = ("<html><body><nav><a href=/x>Menu</a></nav><article><h1>Head</h1><p>A short lead.</p><aside>" + long + "</aside><p>"
+            + "The middle. " * 20 + "</p><div class=newsletter>" + long + "</div><p>A short ending.</p></article><footer>x</footer>")
+    want = "Head A short lead. " + "The middle. " * 20 + "A short ending."
+    assert html_text.main_text(page, {}) == want
+    assert html_text.main_text(page, html_text.weights_of(html_text.observe(page))) == want
+
+
 def test_scan_finds_the_best_region():
     random.seed(3)
     for _ in range(200):
