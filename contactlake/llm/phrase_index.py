@@ -2,8 +2,9 @@
 
 The index holds one posting (word, document, position) for each word of the
 corpus that an item asks for, written as Parquet without a shuffle: each file
-is the index of one shard of documents, its lists in the order of words and
-positions. Items are searched in it by rising list length:
+is the index of one shard of documents, list after list in the order of a hash
+of the word. The list of the empty word holds the documents themselves, with
+their numbers of words. Items are searched in it by rising list length:
 
 1. Windows. A window is ``window`` consecutive words of an item (all of a
    shorter item). Postings a word are counted; the words of a window are put
@@ -43,22 +44,21 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-#: Characters of a word after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before that.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII letters and digits, and all beyond ASCII: two tests a character, where five ranges would take five.
+WORD = r"[\p{Alnum}\P{ASCII}]+"
 WINDOW = 10
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words(text: Column) -> Column:
-    """The words of a text in order; none of a null."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The words of a text in order, as they are written; none of a null."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(ANY_WORD)), F.lit(0)).cast("long")
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased, other letters as they are."""
+    return (F.when(F.octet_length(word) == F.length(word), F.lower(word))
+            .otherwise(F.translate(word, _UPPER, _UPPER.lower())))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -80,7 +80,7 @@ class Items:
 
     def __init__(self, items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
         each = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"),
-                            words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+                            F.transform(words(F.col(text_col)), lowered).alias("words")).where(F.size("words") > 0)
         folded = stored(each.select("words").distinct().select(F.monotonically_increasing_id().alias("item"), "words"), "items")
         self.ids = stored(each.join(folded, "words").select("item", "item_id").distinct(), "item-ids")
         self.words = folded.select("item", F.size("words").alias("m"), F.posexplode("words").alias("q", "word"))
@@ -89,12 +89,25 @@ class Items:
 
 def build_index(documents: DataFrame, vocabulary: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """Postings (word, doc, h, pos) of all words, or of those in ``vocabulary`` (word), written by shard."""
-    postings = documents.select(*_document_key(documents, id_col, text_col),
-                                F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+    """Postings (word, doc, h, pos) of all words, or of those in ``vocabulary`` (word), written by shard.
+
+    Those of the empty word have n_words, and in ``no_id`` whether the
+    document's id is null.
+    """
+    found = words(F.col(text_col))
+    # keys, length and list are settled below the generator, which would work them out for each word; the outer form
+    # keeps the planner from testing the list in a filter before
+    each = documents.select(*_document_key(documents, id_col, text_col), F.col(id_col).isNull().alias("no_id"),
+                            F.size(found).cast("long").alias("n_words"), F.concat(F.array(F.lit("")), found).alias("words"))
+    head = F.col("pos") == 0
+    postings = (each.select("doc", "h", "no_id", "n_words", F.posexplode_outer("words").alias("pos", "word"))
+                .select(lowered(F.col("word")).alias("word"), "doc", "h", (F.col("pos") - 1).alias("pos"),
+                        F.when(head, F.col("n_words")).alias("n_words"), F.when(head, F.col("no_id")).alias("no_id")))
     if vocabulary is not None:
-        postings = postings.join(vocabulary, "word", "left_semi")
-    return stored(postings.select("word", "doc", "h", "pos").sortWithinPartitions("word", "doc", "h", "pos"), "postings")
+        empty = vocabulary.sparkSession.range(1).select(F.lit("").alias("word"))
+        postings = postings.join(vocabulary.unionByName(empty), "word", "left_semi")
+    # a list lies in one place of a file; by a hash of the word the sort needs no comparison of strings
+    return stored(postings.sortWithinPartitions(F.xxhash64("word")), "postings")
 
 
 def _ranked(postings: DataFrame, items: Items) -> DataFrame:
@@ -180,11 +193,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ids = hits.select("doc", "h", "item").distinct().join(items.ids, "item").groupBy("doc", "h").agg(
         F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = n_hit.join(ids, ["doc", "h"]).withColumnRenamed("doc", "f_doc").withColumnRenamed("h", "f_h")
-    rows = documents.select(F.col(id_col).alias("id"), *_document_key(documents, id_col, text_col),
-                            n_words(F.col(text_col)).alias("n_words"))
+    rows = postings.where("word = ''")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (rows.join(found, (F.col("doc") == F.col("f_doc")) & (F.col("h") == F.col("f_h")), "left")
-            .select(F.col("id").alias(id_col), "n_words", n.alias("n_hit"),
+            .select(F.when(~F.col("no_id"), F.col("doc")).alias(id_col), "n_words", n.alias("n_hit"),
                     F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_items"),
                     F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
                     (n > 0).alias("contaminated")))
