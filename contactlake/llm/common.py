@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir, scratch_path, ship_package
 
 BATCH_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +40,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage cut, columns read one by one, size known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -41,8 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import cut, ready, slices, utf8
+from .common import cut, ready, slices, stored, utf8
 
 K = 10
 SHARD = 16 << 20
@@ -129,10 +128,8 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield _shard_rows(number, pa.concat_arrays(ids), held)
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    path = scratch_path(spark, "lexical-index")
-    rows.mapInArrow(run, f"shard long, word string, df long, total long, docs binary, tfs binary, ids array<{kind}>"
-                    ).write.parquet(path)
-    return spark.read.parquet(path)
+    schema = f"shard long, word string, df long, total long, docs binary, tfs binary, ids array<{kind}>"
+    return stored(rows.mapInArrow(run, schema), "lexical-index")
 
 
 def _query_words(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -251,9 +248,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, id_col: str = "item
     asked = _query_words(numbered, "query", "text")
     whole = index.where("word = ''").agg(F.sum("df"), F.sum("total")).first()
     n_docs, n_words = whole[0] or 0, whole[1] or 0
-    path = scratch_path(spark, "query-words")
-    asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).write.parquet(path)
-    asked = spark.read.parquet(path)
+    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")), "query-words")
     df = index.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long")
     lists = asked.join(df, "word").groupBy("block", "word").agg(
@@ -261,9 +256,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, id_col: str = "item
     # the empty word stands for the shard's table of documents
     tables = asked.select("block").distinct().select(
         "block", F.lit("").alias("word"), F.lit(0).cast("long").alias("w"), F.array().cast("array<struct<query:bigint,n:bigint>>").alias("queries"))
-    path = scratch_path(spark, "query-lists")
-    lists.unionByName(tables).write.parquet(path)
-    hits = index.select("shard", "word", "docs", "tfs", "ids").join(spark.read.parquet(path), "word")
+    asked_lists = stored(lists.unionByName(tables), "query-lists")
+    hits = index.select("shard", "word", "docs", "tfs", "ids").join(asked_lists, "word")
     kind = index.schema["ids"].dataType.elementType
 
     def rank(table: pa.Table) -> pa.Table:

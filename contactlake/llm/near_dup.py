@@ -5,23 +5,26 @@ occurrence number in the text. ``KINDS`` says how many words, how many hash
 functions, and how many of the labelled k-mers with the smallest hashes each of
 them takes and keeps in text order: two texts agree with a chance that falls
 with their edit distance, not only with what they share. Long k-mers tell texts
-apart, short ones are left between edits that are close together. Of 2,000
-pairs at the limit, 2,000 agreed in a sketch with a fifth of the words replaced
-at random, 1,992 with each fifth word replaced, which leaves no common run of
-five. Texts that agree in one sketch are candidates;
-a candidate pair is a link if the edit distance of their words is at most a
-fifth of the longer one's words (similarity ``SIMILARITY`` = 0.8 or more).
+apart, short ones are left between edits that are close together. Texts that
+agree in one sketch are candidates; a candidate pair is a link if the edit
+distance of their words is at most a fifth of the longer one's words
+(a similarity of 0.8 or more).
 
 Equal texts are folded first (by SHA-256), as an aggregate: a sketch row is
 made from each text where it is read, and one row a different text goes on.
 In a bucket (hash function and sketch), every text is first compared with the
-smallest id only, and the links are closed to classes (``components``). Then,
-in the buckets that hold texts of more than one class, the pairs of different
-classes are compared: all of them where a bucket has at most ``SMALL`` rows;
-in a larger one every text meets one more, taken by a hash that differs from
-round to round, and the bucket, with the rows that are linked, is split by the
-next sketch. Rounds go on until no larger bucket of several classes is left;
-what all sketches together can't split is compared all with all.
+smallest id, and the links are closed to classes (``components``). Then every
+pair of different classes in a bucket is decided, in one more pass:
+
+* Where at most ``SMALL`` rows lie outside the bucket's largest class, these
+  are compared with all rows of the bucket.
+* Other buckets are split without loss. Similar texts have all but a fifth of
+  the longer one's words in common, so of two rows of words in one order, rare
+  ones first, the first fifth and one more must share a word (an occurrence of
+  it). Rows go to a bucket for each of these words; one that is still too
+  large is split by the next common word in the same way. What ``DEEP`` common
+  rare words don't split (texts of the same words in another order) is
+  compared like a small one.
 
 The distance test has three exact steps: it is at least the longer length less
 the common words, at most what lies between common unique words in order, and
@@ -30,9 +33,11 @@ diagonals that the limit allows.
 
 Defined cases: a null text is an empty text; texts without words only match
 equal texts; texts of fewer words than a k-mer are one k-mer; equal texts are
-always one class; rows with a null id get the class of their text, null if no
-such row has an id; repeated rows are equal texts; an empty table gives an
-empty result; extra columns are ignored.
+always one class; rows with equal ids and different texts have one class; rows
+with a null id get the class of their text, null if no such row has an id;
+repeated rows are equal texts; an empty table gives an empty result; extra
+columns of any name are ignored by ``near_duplicates`` and kept by
+``without_duplicates``.
 """
 
 from __future__ import annotations
@@ -43,16 +48,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, ready, slices, utf8, worker_state
+from .common import cut, mixed, ready, released, slices, stored, utf8, worker_state
 from .components import components
 
 #: Words of a k-mer, hash functions, k-mers each takes.
-KINDS = ((5, 24, 2), (3, 32, 2), (3, 16, 1))
-#: Rows of a bucket that are compared all with all.
+KINDS = ((5, 24, 2), (3, 72, 2))
+#: Rows outside the largest class of a bucket that are compared with all of the bucket.
 SMALL = 32
 #: Edit distance over the longer length: one in FIFTH at most.
 FIFTH = 5
-BROADCAST_ROWS = 1 << 20
+#: Common rare words after which a bucket isn't split any more.
+DEEP = 16
+#: Bits of a word's hash by which occurrences are counted to order words by rarity.
+COUNTS = 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -223,8 +231,8 @@ def _sketch_rows(documents: DataFrame, id_col: str, text_col: str, kinds) -> Dat
     return rows.mapInArrow(run, f"id {kind}, sha binary, n_words long, sketch array<long>")
 
 
-def _word_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and words (32-bit hashes in a row of bytes)."""
+def _word_rows(documents: DataFrame) -> DataFrame:
+    """id and words (32-bit hashes in a row of bytes) of rows (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -237,40 +245,23 @@ def _word_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      pa.array([h[words[i]: words[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
                     names=["id", "words"])
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, words binary")
-
-
-def _checked(pairs: DataFrame, documents: DataFrame, id_col: str, text_col: str, fifth: int) -> DataFrame:
-    """(a, b, same) of the pairs (a, b): whether their texts are similar."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
-    if wanted.count() <= BROADCAST_ROWS:  # a few MB of ids; beyond it the words are shuffled to them
-        wanted = F.broadcast(wanted)
-    chosen = documents.where(F.col(id_col).isNotNull()).join(wanted, F.col(id_col) == F.col("w"), "left_semi")
-    # a repeated id has the text that is least by hash, so that a pair is checked once
-    words = cut(_word_rows(chosen, id_col, text_col))
-    kind = documents.schema[id_col].dataType.simpleString()
-    joined = (pairs.join(words.select(F.col("id").alias("a_"), F.col("words").alias("a_words")), F.col("a") == F.col("a_"))
-              .select("a", "b", "a_words")
-              .join(words.select(F.col("id").alias("b_"), F.col("words").alias("b_words")), F.col("b") == F.col("b_"))
-              .select("a", "b", "a_words", "b_words"))
+    kind = documents.schema["id"].dataType.simpleString()
+    return documents.mapInArrow(run, f"id {kind}, words binary")
 
-    def run(frames):
-        for frame in frames:
-            same = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), fifth)
-                    for x, y in zip(frame["a_words"], frame["b_words"])]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "same": same})
 
-    return joined.mapInPandas(run, f"a {kind}, b {kind}, same boolean")
+def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
+    """The links among the pairs (a, b): those whose word rows are similar."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    joined = (pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
+              .join(words.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b"))
 
+    def run(frames):
+        for frame in frames:
+            same = np.array([similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), fifth)
+                             for x, y in zip(frame["a_words"], frame["b_words"])], bool)
+            yield pd.DataFrame({"a": frame["a"][same], "b": frame["b"][same]})
 
-def _entries(rows: DataFrame, depth: int) -> DataFrame:
-    """id, n_words, class, band and key (hash of the band's sketch and the ``depth`` after it) of (rows, band, value)."""
-    m = F.size("sketch")
-    key = F.xxhash64("band", *[F.element_at("sketch", (F.pmod(F.col("band") + i, m) + 1).cast("int"))
-                               for i in range(depth + 1)])
-    return rows.select("id", "n_words", "class", "band", key.alias("key"))
+    return joined.select("a", "b", "a_words", "b_words").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
 def _near(n: str, other: str, fifth: int):
@@ -278,89 +269,155 @@ def _near(n: str, other: str, fifth: int):
     return fifth * F.abs(F.col(n) - F.col(other)) <= F.greatest(n, other)
 
 
-def links(rows: DataFrame, documents: DataFrame, id_col: str, text_col: str, small: int = SMALL,
+def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, n_words, class, p) of keys of several classes: with ``main``, the key's largest class, and
+    whether the rows of other classes are ``few``."""
+    sizes = cut(entries.groupBy("key", "class").agg(F.count("*").alias("n")))
+    keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"),
+                                        F.count("*").alias("classes")).where("classes > 1")
+               .select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
+    rows = cut(entries.join(keys, "key"))
+    return rows.where("few"), rows.where("NOT few").select("key", "id", "n_words", "class", "p")
+
+
+def _across(rows: DataFrame, fifth: int) -> DataFrame:
+    """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key."""
+    out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
+                                             F.col("class").alias("o_class"))
+    met = rows.join(out, "key").where((F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
+                                      & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
+def _frequencies(words: DataFrame) -> np.ndarray:
+    """How often the words of each of 2 ** COUNTS ranges of hashes occur: a table of fixed size."""
+
+    def run(batches):
+        n = np.zeros(1 << COUNTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                n += np.bincount(np.frombuffer(x.as_buffer(), "<u4") >> np.uint32(32 - COUNTS), minlength=1 << COUNTS)
+        at = np.flatnonzero(n)
+        for k in range(0, len(at), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k: k + (1 << 14)]), pa.array(n[at[k: k + (1 << 14)]])], names=["at", "n"])
+
+    found = words.select("words").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << COUNTS, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def rare_words(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit names of the first ``n`` words of a row, equal ones told apart by occurrence, in one order
+    of all words that has the rare ones first; words that occur once in all rows are left out."""
+    h = np.sort(h)
+    first = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), np.arange(len(h)), 0))
+    occurrence = np.arange(len(h)) - first
+    often = counts[h >> np.uint32(32 - COUNTS)]
+    order = np.lexsort((occurrence, h, often))[:n]
+    places = np.flatnonzero(often[order] > 1)
+    order = order[places]
+    return places, (h[order].astype(np.int64) << 32) | occurrence[order]
+
+
+def _rare(words: DataFrame, fifth: int) -> DataFrame:
+    """id and rare: the first words of each text's row of rare words, with their places."""
+    counts, kind = _frequencies(words), words.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(1)]
+            found = [rare_words(h, counts, len(h) // fifth + 1 + DEEP) for h in found]
+            ends = np.append(0, np.cumsum([len(x[0]) for x in found])).astype(np.int32)
+            none = [np.zeros(0, np.int64)]
+            made = pa.StructArray.from_arrays([pa.array(np.concatenate(none + [x[k] for x in found])) for k in (0, 1)], names=["p", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), made)], names=["id", "rare"])
+
+    return words.select("id", "words").mapInArrow(run, f"id {kind}, rare array<struct<p:bigint,e:bigint>>")
+
+
+def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, small: int = SMALL,
           fifth: int = FIFTH) -> DataFrame:
-    """Links (a, b) between different texts: ``rows`` has id, n_words and sketch of one row a text."""
-    rows = rows.where("n_words > 0")
-    entries = _entries(rows.select("*", F.col("id").alias("class"), F.posexplode("sketch").alias("band", "value")), 0)
-    stars = entries.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n"),
-                                       F.min_by("n_words", "id").alias("star_words")).where("n > 1")
-    met = (entries.join(stars.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key"))
-           .where((F.col("id") != F.col("star")) & _near("n_words", "star_words", fifth)))
-    pairs = cut(met.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct())
-    done = cut(_checked(pairs, documents, id_col, text_col, fifth))
-    found, depth, left = done.where("same").select("a", "b"), 0, None
-    while True:
-        # rows of one class needn't meet; linked or not, all others stay as partners
-        roots = cut(components(found))
-        each = (rows if left is None else
-                left.join(rows, F.col("l_id") == F.col("id")).select("id", "n_words", "sketch", "band"))
-        each = each.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id"))
-        if left is None:
-            each = each.select("id", "n_words", "sketch", "class", F.posexplode("sketch").alias("band", "value"))
-            m = each.select(F.size("sketch").alias("m")).first()
-        entries = _entries(each, depth)
-        sizes = (entries.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("c0"), F.max("class").alias("c1"))
-                 .where("c0 <> c1").select(F.col("key").alias("s_key"), "n"))
-        mixed_ = cut(entries.join(sizes, F.col("key") == F.col("s_key")).drop("s_key"))
-        if mixed_.isEmpty():
-            return found
-        # a bucket that all sketches together leave large isn't split any more
-        whole = F.lit(True) if depth + 1 >= m["m"] else F.col("n") <= small
-        few, many = mixed_.where(whole), mixed_.where(~whole)
-        other = few.select(F.col("id").alias("o_id"), F.col("n_words").alias("o_words"), F.col("class").alias("o_class"),
-                           F.col("key").alias("o_key"))
-        met = few.join(other, (F.col("key") == F.col("o_key")) & (F.col("id") < F.col("o_id"))
-                       & (F.col("class") != F.col("o_class"))).where(_near("n_words", "o_words", fifth))
-        # in a large one, all meet a row that differs from round to round
-        salted = F.xxhash64("id", F.lit(depth))
-        stars = many.groupBy(F.col("key").alias("s_key")).agg(F.min_by(F.struct("id", "n_words", "class"), salted).alias("s"))
-        stars = stars.select("s_key", F.col("s.id").alias("o_id"), F.col("s.n_words").alias("o_words"),
-                             F.col("s.class").alias("o_class"))
-        star = many.join(stars, (F.col("key") == F.col("s_key")) & (F.col("class") != F.col("o_class"))).where(
-            _near("n_words", "o_words", fifth))
-        ends = [F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")]
-        pairs = met.select(*ends).unionByName(star.select(*ends)).distinct()
-        known = done.select(F.col("a").alias("k_a"), F.col("b").alias("k_b"))
-        pairs = cut(pairs.join(known, (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti"))
-        more = cut(_checked(pairs, documents, id_col, text_col, fifth))
-        done = cut(done.unionByName(more))
-        found = done.where("same").select("a", "b")
-        left = cut(many.select(F.col("id").alias("l_id"), "band"))
-        if left.isEmpty():
-            return found
+    """Links (a, b) between different texts: ``texts`` has id, n_words and sketch of one row a text."""
+    spark = texts.sparkSession
+    texts = texts.where("n_words > 0")
+    sizes = texts.select("id", "n_words")
+    entries = (texts.select("id", "n_words", F.posexplode("sketch").alias("band", "value"))
+               .select(F.xxhash64("band", "value").alias("key"), "id", "n_words"))
+    stars = cut(entries.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = stored(entries.join(stars, "key"), "near-buckets")
+    released(spark)
+    wanted = stored(shared.select("id").distinct(), "near-ids")
+    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    words = stored(_word_rows(chosen), "near-words")
+    met = (shared.where("id <> star").select("star", "id", "n_words").distinct()
+           .join(sizes.select(F.col("id").alias("star"), F.col("n_words").alias("star_words")), "star")
+           .where(_near("n_words", "star_words", fifth)))
+    done = cut(met.select(F.col("star").alias("a"), F.col("id").alias("b")))
+    found = cut(_checked(done, words, fifth))
+    released(spark)
+    # one class table; of the buckets that hold several classes, the rows go on
+    roots = cut(components(found).withColumnRenamed("node", "id"))
+    each = shared.select("key", "id", "n_words").join(roots, "id", "left").select(
+        "key", "id", "n_words", F.coalesce("root", "id").alias("class"), F.lit(-1).cast("long").alias("p"))
+    pairs, many = _mixed(each, small)
+    pairs, depth, rare = _across(pairs, fifth), 0, None
+    released(spark)
+    while not many.isEmpty():
+        if rare is None:
+            some = words.join(many.select("id").distinct(), "id", "left_semi")
+            rare = stored(_rare(some, fifth), "near-rare")
+        reach = F.floor(F.col("n_words") / fifth) + 1 + depth
+        next_ = F.explode(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
+        split = (many.join(rare, "id").select("key", "id", "n_words", "class", next_.alias("x"))
+                 .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
         depth += 1
+        few, many = _mixed(split, small if depth < DEEP else 1 << 62)
+        pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
+        released(spark)
+    pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
+    return found.unionByName(cut(_checked(pairs, words, fifth)))
+
+
+def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int, fifth: int) -> DataFrame:
+    """t_sha, t_id (the smallest id of the text) and class_id of each different text."""
+    ready(documents.sparkSession)
+    each = _sketch_rows(documents, id_col, text_col, kinds)
+    texts = stored(each.groupBy("sha").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
+                                           F.first("sketch").alias("sketch")), "near-texts")
+    released(documents.sparkSession)
+    found = links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth)
+    roots = cut(components(found))
+    return (texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
+            .join(roots, F.col("t_id") == F.col("node"), "left")
+            .select("t_sha", "t_id", F.coalesce("root", "t_id").alias("class_id")))
+
+
+def _sha(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS,
                     small: int = SMALL, fifth: int = FIFTH) -> DataFrame:
     """id and class_id (the smallest id of the class) of every row."""
-    ready(documents.sparkSession)
-    each = _sketch_rows(documents, id_col, text_col, kinds)
-    texts = cut(each.groupBy("sha").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
-                                        F.first("sketch").alias("sketch")))
-    roots = components(links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth))
-    classes = (texts.select("sha", F.col("id").alias("t_id")).join(roots, F.col("t_id") == F.col("node"), "left")
-               .select(F.col("sha").alias("t_sha"), F.coalesce("root", "t_id").alias("class_id")))
-    ids = documents.select(F.col(id_col), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
-    return ids.join(classes, F.col("sha") == F.col("t_sha"), "left").select(id_col, "class_id")
+    documents = documents.select(id_col, text_col)
+    classes = _classes(documents, id_col, text_col, kinds, small, fifth)
+    rows = documents.select(F.struct(id_col).alias("row"), _sha(text_col).alias("row_sha"))
+    return (rows.join(classes, F.col("row_sha") == F.col("t_sha"), "left")
+            .select(F.col(f"row.`{id_col}`").alias(id_col), "class_id"))
 
 
-def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS,
+                       small: int = SMALL, fifth: int = FIFTH) -> DataFrame:
     """The rows, all columns kept, of one document of each class: the one with the smallest id.
 
     Of rows with the same id one stays. Texts that only occur without an id
     stay once each.
     """
-    found = near_duplicates(documents, id_col, text_col, **how)
-    heads = found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("h")).distinct()
-    named = (documents.where(F.col(id_col).isNotNull()).join(heads, F.col(id_col) == F.col("h"), "left_semi")
-             .dropDuplicates([id_col]))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    known = documents.where(F.col(id_col).isNotNull()).select(F.xxhash64(text).alias("known"), text.alias("known_text"))
-    unnamed = (documents.where(F.col(id_col).isNull())
-               .join(known, (F.xxhash64(text) == F.col("known")) & (text == F.col("known_text")), "left_anti")
-               .dropDuplicates([text_col]))
-    if documents.where(F.col(id_col).isNull()).isEmpty():
-        return named
-    return named.unionByName(unnamed)
+    classes = _classes(documents.select(id_col, text_col), id_col, text_col, kinds, small, fifth)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+                            F.col(f"`{id_col}`").alias("row_id"), _sha(text_col).alias("row_sha"))
+    kept = rows.join(classes, F.col("row_sha") == F.col("t_sha")).where(
+        (F.col("row_id") == F.col("class_id")) | (F.col("row_id").isNull() & F.col("t_id").isNull()))
+    one = kept.withColumn("row_sha", F.when(F.col("row_id").isNull(), F.col("row_sha"))).dropDuplicates(["row_id", "row_sha"])
+    return one.select("row.*")

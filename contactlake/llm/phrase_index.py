@@ -42,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from .common import stored
 
 #: ASCII letters and digits, and all beyond ASCII: two tests a character, where five ranges would take five.
 WORD = r"[\p{Alnum}\P{ASCII}]+"
@@ -61,13 +61,6 @@ def lowered(word: Column) -> Column:
             .otherwise(F.translate(word, _UPPER, _UPPER.lower())))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _document_key(documents: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Two columns that tell documents apart: the id, and a hash of the text and of whether there is an id."""
     kind = documents.schema[id_col].dataType

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -288,3 +289,63 @@ def test_links_past_the_smallest_id_are_found(spark):
     got = {r["doc_id"]: r["class_id"] for r in
            near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == all_pairs_classes(rows)
+
+
+def test_boilerplate_texts_end_in_one_pass_with_all_links(spark):
+    rng = random.Random(15)
+    template = words(rng, 140)
+    rows = []
+    for _ in range(300):  # pairs alike in their own part, in buckets of all texts of the template
+        own = words(rng, 60)
+        rows += [" ".join(template + x) for x in (own, edited(rng, own, 0.6, "random"))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_rows_of_one_class_and_a_few_others_in_a_bucket(spark):
+    rng = random.Random(16)
+    base = words(rng, 150)
+    rows = [" ".join(edited(rng, base, 0.02, "random")) for _ in range(200)]
+    # each of these is like one of the others only, and like no text of the class
+    far = edited(rng, base, 0.35, "even")
+    rows += [" ".join(edited(rng, far, 0.05, "random")) for _ in range(50)]
+    rows += [" ".join(reversed(base)), " ".join(sorted(base))]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["class_id"] for r in
+           near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
+    assert got == all_pairs_classes(rows)
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    rows = [(i, t) for i, _, t in corpus(30)] + [(None, "no id"), (3, "other text of the same id " * 9), (2, corpus(30)[2][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["w", "h", "known", "id", "sha", "key", "star", "class", "class_id", "t_id", "t_sha", "row", "row_id", "row_sha",
+             "words", "a", "b", "node", "root", "n", "p", "rare"]
+    wide = docs.select("doc_id", *[F.lit(c).alias(c) for c in names], "text")
+    want = near_dup.near_duplicates(docs).collect()
+    assert sorted(map(str, near_dup.near_duplicates(wide).collect())) == sorted(map(str, want))
+    kept = near_dup.without_duplicates(wide)
+    assert kept.columns == wide.columns
+    kept = kept.collect()
+    assert all(r[c] == c for r in kept for c in names)
+    heads = {r["class_id"] for r in want if r["doc_id"] is not None}
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(heads)
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id"]
+
+
+def test_rare_words_of_similar_rows_always_meet():
+    rng = random.Random(17)
+    for _ in range(300):
+        a = [rng.randrange(40) for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randrange(2)] = [rng.randrange(40)] * rng.randrange(2)
+        a, b = (np.array(x, np.uint32) << np.uint32(20) for x in (a, b))
+        if len(b) and near_dup.similar(a, b):
+            counts = np.bincount(np.concatenate([a, b]) >> np.uint32(32 - near_dup.COUNTS), minlength=1 << near_dup.COUNTS)
+            common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+            for depth in range(3):
+                x, y = (set(near_dup.rare_words(h, counts, len(h) // 5 + 1 + depth)[1].tolist()) for h in (a, b))
+                assert len(x & y) >= min(1 + depth, common)
