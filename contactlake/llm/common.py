@@ -47,6 +47,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled whatever its size: nothing of it passes through the driver."""
+    return df.hint("merge")
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and broadcasts of steps whose results are written."""
     gc.collect()

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, ready, released, slices, stored, utf8, worker_state
+from .common import by_shuffle, cut, mixed, ready, released, slices, stored, utf8, worker_state
 from .components import components
 
 #: Words of a k-mer, hash functions, k-mers each takes.
@@ -252,8 +252,8 @@ def _word_rows(documents: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
     """The links among the pairs (a, b): those whose word rows are similar."""
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = (pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a")
-              .join(words.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b"))
+    joined = (pairs.join(by_shuffle(words.select(F.col("id").alias("a"), F.col("words").alias("a_words"))), "a")
+              .join(by_shuffle(words.select(F.col("id").alias("b"), F.col("words").alias("b_words"))), "b"))
 
     def run(frames):
         for frame in frames:
@@ -276,7 +276,7 @@ def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"),
                                         F.count("*").alias("classes")).where("classes > 1")
                .select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
-    rows = cut(entries.join(keys, "key"))
+    rows = cut(entries.join(by_shuffle(keys), "key"))
     return rows.where("few"), rows.where("NOT few").select("key", "id", "n_words", "class", "p")
 
 
@@ -284,7 +284,7 @@ def _across(rows: DataFrame, fifth: int) -> DataFrame:
     """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key."""
     out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
                                              F.col("class").alias("o_class"))
-    met = rows.join(out, "key").where((F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
+    met = rows.join(by_shuffle(out), "key").where((F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
                                       & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
     return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
@@ -345,37 +345,37 @@ def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, sm
     entries = (texts.select("id", "n_words", F.posexplode("sketch").alias("band", "value"))
                .select(F.xxhash64("band", "value").alias("key"), "id", "n_words"))
     stars = cut(entries.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    shared = stored(entries.join(stars, "key"), "near-buckets")
+    shared = stored(entries.join(by_shuffle(stars), "key"), "near-buckets")
     released(spark)
     wanted = stored(shared.select("id").distinct(), "near-ids")
-    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(by_shuffle(wanted), "id", "left_semi")
     words = stored(_word_rows(chosen), "near-words")
     met = (shared.where("id <> star").select("star", "id", "n_words").distinct()
-           .join(sizes.select(F.col("id").alias("star"), F.col("n_words").alias("star_words")), "star")
+           .join(by_shuffle(sizes.select(F.col("id").alias("star"), F.col("n_words").alias("star_words"))), "star")
            .where(_near("n_words", "star_words", fifth)))
     done = cut(met.select(F.col("star").alias("a"), F.col("id").alias("b")))
     found = cut(_checked(done, words, fifth))
     released(spark)
     # one class table; of the buckets that hold several classes, the rows go on
     roots = cut(components(found).withColumnRenamed("node", "id"))
-    each = shared.select("key", "id", "n_words").join(roots, "id", "left").select(
+    each = shared.select("key", "id", "n_words").join(by_shuffle(roots), "id", "left").select(
         "key", "id", "n_words", F.coalesce("root", "id").alias("class"), F.lit(-1).cast("long").alias("p"))
     pairs, many = _mixed(each, small)
     pairs, depth, rare = _across(pairs, fifth), 0, None
     released(spark)
     while not many.isEmpty():
         if rare is None:
-            some = words.join(many.select("id").distinct(), "id", "left_semi")
+            some = words.join(by_shuffle(many.select("id").distinct()), "id", "left_semi")
             rare = stored(_rare(some, fifth), "near-rare")
         reach = F.floor(F.col("n_words") / fifth) + 1 + depth
         next_ = F.explode(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
-        split = (many.join(rare, "id").select("key", "id", "n_words", "class", next_.alias("x"))
+        split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", next_.alias("x"))
                  .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
         depth += 1
         few, many = _mixed(split, small if depth < DEEP else 1 << 62)
         pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
         released(spark)
-    pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
+    pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
     return found.unionByName(cut(_checked(pairs, words, fifth)))
 
 
@@ -389,7 +389,7 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int
     found = links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth)
     roots = cut(components(found))
     return (texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
-            .join(roots, F.col("t_id") == F.col("node"), "left")
+            .join(by_shuffle(roots), F.col("t_id") == F.col("node"), "left")
             .select("t_sha", "t_id", F.coalesce("root", "t_id").alias("class_id")))
 
 
@@ -403,7 +403,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     documents = documents.select(id_col, text_col)
     classes = _classes(documents, id_col, text_col, kinds, small, fifth)
     rows = documents.select(F.struct(id_col).alias("row"), _sha(text_col).alias("row_sha"))
-    return (rows.join(classes, F.col("row_sha") == F.col("t_sha"), "left")
+    return (rows.join(by_shuffle(classes), F.col("row_sha") == F.col("t_sha"), "left")
             .select(F.col(f"row.`{id_col}`").alias(id_col), "class_id"))
 
 
@@ -417,7 +417,7 @@ def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: s
     classes = _classes(documents.select(id_col, text_col), id_col, text_col, kinds, small, fifth)
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
                             F.col(f"`{id_col}`").alias("row_id"), _sha(text_col).alias("row_sha"))
-    kept = rows.join(classes, F.col("row_sha") == F.col("t_sha")).where(
+    kept = rows.join(by_shuffle(classes), F.col("row_sha") == F.col("t_sha")).where(
         (F.col("row_id") == F.col("class_id")) | (F.col("row_id").isNull() & F.col("t_id").isNull()))
     one = kept.withColumn("row_sha", F.when(F.col("row_id").isNull(), F.col("row_sha"))).dropDuplicates(["row_id", "row_sha"])
     return one.select("row.*")
