@@ -21,10 +21,10 @@ pair of different classes in a bucket is decided, in one more pass:
 * Other buckets are split without loss. Similar texts have all but a fifth of
   the longer one's words in common, so of two rows of words in one order, rare
   ones first, the first fifth and one more must share a word (an occurrence of
-  it). Rows go to a bucket for each of these words; one that is still too
-  large is split by the next common word in the same way. What ``DEEP`` common
-  rare words don't split (texts of the same words in another order) is
-  compared like a small one.
+  it). Rows go to a bucket for each of these words. Up to ``LARGE`` rows outside
+  its largest class are compared there; a larger one is split by the next
+  common word in the same way. What ``DEEP`` common rare words don't split
+  (texts of the same words in another order) is compared like a small one.
 
 The distance test has three exact steps: it is at least the longer length less
 the common words, at most what lies between common unique words in order, and
@@ -54,11 +54,13 @@ from .components import components
 #: Words of a k-mer, hash functions, k-mers each takes.
 KINDS = ((5, 24, 2), (3, 72, 2))
 #: Rows outside the largest class of a bucket that are compared with all of the bucket.
-SMALL = 32
+SMALL = 64
+#: The same in a bucket that has been split by a rare word: splitting it again multiplies its rows.
+LARGE = 512
 #: Edit distance over the longer length: one in FIFTH at most.
 FIFTH = 5
 #: Common rare words after which a bucket isn't split any more.
-DEEP = 16
+DEEP = 4
 #: Bits of a word's hash by which occurrences are counted to order words by rarity.
 COUNTS = 18
 _BLANK = np.zeros(256, bool)
@@ -272,12 +274,15 @@ def _near(n: str, other: str, fifth: int):
 def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Rows (key, id, n_words, class, p) of keys of several classes: with ``main``, the key's largest class, and
     whether the rows of other classes are ``few``."""
-    sizes = cut(entries.groupBy("key", "class").agg(F.count("*").alias("n")))
-    keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"),
-                                        F.count("*").alias("classes")).where("classes > 1")
+    # most keys hold one class: what they need is one row a key
+    several = cut(entries.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
+                  .where("c0 <> c1").select("key"))
+    mixed_ = cut(entries.join(by_shuffle(several), "key"))
+    sizes = mixed_.groupBy("key", "class").agg(F.count("*").alias("n"))
+    keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"))
                .select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
-    rows = cut(entries.join(by_shuffle(keys), "key"))
-    return rows.where("few"), rows.where("NOT few").select("key", "id", "n_words", "class", "p")
+    rows = mixed_.join(by_shuffle(keys), "key")
+    return rows.where("few"), cut(rows.where("NOT few").select("key", "id", "n_words", "class", "p"))
 
 
 def _across(rows: DataFrame, fifth: int) -> DataFrame:
@@ -337,7 +342,7 @@ def _rare(words: DataFrame, fifth: int) -> DataFrame:
 
 
 def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, small: int = SMALL,
-          fifth: int = FIFTH) -> DataFrame:
+          fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
     """Links (a, b) between different texts: ``texts`` has id, n_words and sketch of one row a text."""
     spark = texts.sparkSession
     texts = texts.where("n_words > 0")
@@ -372,21 +377,21 @@ def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, sm
         split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", next_.alias("x"))
                  .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
         depth += 1
-        few, many = _mixed(split, small if depth < DEEP else 1 << 62)
+        few, many = _mixed(split, large if depth < DEEP else 1 << 62)
         pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
     return found.unionByName(cut(_checked(pairs, words, fifth)))
 
 
-def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int, fifth: int) -> DataFrame:
+def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int, fifth: int, large: int) -> DataFrame:
     """t_sha, t_id (the smallest id of the text) and class_id of each different text."""
     ready(documents.sparkSession)
     each = _sketch_rows(documents, id_col, text_col, kinds)
     texts = stored(each.groupBy("sha").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
                                            F.first("sketch").alias("sketch")), "near-texts")
     released(documents.sparkSession)
-    found = links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth)
+    found = links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth, large)
     roots = cut(components(found))
     return (texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
             .join(by_shuffle(roots), F.col("t_id") == F.col("node"), "left")
@@ -398,23 +403,23 @@ def _sha(text_col: str):
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS,
-                    small: int = SMALL, fifth: int = FIFTH) -> DataFrame:
+                    small: int = SMALL, fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
     """id and class_id (the smallest id of the class) of every row."""
     documents = documents.select(id_col, text_col)
-    classes = _classes(documents, id_col, text_col, kinds, small, fifth)
+    classes = _classes(documents, id_col, text_col, kinds, small, fifth, large)
     rows = documents.select(F.struct(id_col).alias("row"), _sha(text_col).alias("row_sha"))
     return (rows.join(by_shuffle(classes), F.col("row_sha") == F.col("t_sha"), "left")
             .select(F.col(f"row.`{id_col}`").alias(id_col), "class_id"))
 
 
 def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS,
-                       small: int = SMALL, fifth: int = FIFTH) -> DataFrame:
+                       small: int = SMALL, fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
     """The rows, all columns kept, of one document of each class: the one with the smallest id.
 
     Of rows with the same id one stays. Texts that only occur without an id
     stay once each.
     """
-    classes = _classes(documents.select(id_col, text_col), id_col, text_col, kinds, small, fifth)
+    classes = _classes(documents.select(id_col, text_col), id_col, text_col, kinds, small, fifth, large)
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
                             F.col(f"`{id_col}`").alias("row_id"), _sha(text_col).alias("row_sha"))
     kept = rows.join(by_shuffle(classes), F.col("row_sha") == F.col("t_sha")).where(

@@ -313,7 +313,7 @@ def test_rows_of_one_class_and_a_few_others_in_a_bucket(spark):
     rows += [" ".join(reversed(base)), " ".join(sorted(base))]
     rows = list(enumerate(rows))
     got = {r["doc_id"]: r["class_id"] for r in
-           near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4).collect()}
+           near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=4, large=6).collect()}
     assert got == all_pairs_classes(rows)
 
 
