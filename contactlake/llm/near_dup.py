@@ -21,10 +21,12 @@ pair of different classes in a bucket is decided, in one more pass:
 * Other buckets are split without loss. Similar texts have all but a fifth of
   the longer one's words in common, so of two rows of words in one order, rare
   ones first, the first fifth and one more must share a word (an occurrence of
-  it). Rows go to a bucket for each of these words. Up to ``LARGE`` rows outside
-  its largest class are compared there; a larger one is split by the next
-  common word in the same way. What ``DEEP`` common rare words don't split
-  (texts of the same words in another order) is compared like a small one.
+  it). Rows of all such buckets together go to a list for each of these words;
+  as the same texts share many buckets, that is less than each bucket's own
+  lists. Up to ``LARGE`` rows outside a list's largest class are compared
+  there; a larger list is split by the buckets that its rows come from, then
+  by the next common word in the same way. What is still larger after ``DEEP``
+  steps (texts of the same words in another order) is compared like a small one.
 
 The distance test has three exact steps: it is at least the longer length less
 the common words, at most what lies between common unique words in order, and
@@ -59,7 +61,7 @@ SMALL = 64
 LARGE = 512
 #: Edit distance over the longer length: one in FIFTH at most.
 FIFTH = 5
-#: Common rare words after which a bucket isn't split any more.
+#: Steps after which a list isn't split any more.
 DEEP = 4
 #: Bits of a word's hash by which occurrences are counted to order words by rarity.
 COUNTS = 18
@@ -368,16 +370,22 @@ def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, sm
     pairs, many = _mixed(each, small)
     pairs, depth, rare = _across(pairs, fifth), 0, None
     released(spark)
+    buckets = many.select("id", F.col("key").alias("bucket"))
+    if not many.isEmpty():
+        some = words.join(by_shuffle(many.select("id").distinct()), "id", "left_semi")
+        rare = stored(_rare(some, fifth), "near-rare")
+        many = many.select("id", "n_words", "class", F.lit(0).cast("long").alias("key"), "p").distinct()
     while not many.isEmpty():
-        if rare is None:
-            some = words.join(by_shuffle(many.select("id").distinct()), "id", "left_semi")
-            rare = stored(_rare(some, fifth), "near-rare")
-        reach = F.floor(F.col("n_words") / fifth) + 1 + depth
-        next_ = F.explode(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
-        split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", next_.alias("x"))
-                 .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
+        if depth == 1:
+            split = many.join(by_shuffle(buckets), "id").withColumn("key", F.xxhash64("key", "bucket")).drop("bucket")
+        else:
+            reach = F.floor(F.col("n_words") / fifth) + 1 + F.lit(max(0, depth - 1))
+            next_ = F.explode_outer(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
+            split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", next_.alias("x"))
+                     .where("x IS NOT NULL")
+                     .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
         depth += 1
-        few, many = _mixed(split, large if depth < DEEP else 1 << 62)
+        few, many = _mixed(cut(split), large if depth < DEEP else 1 << 62)
         pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
