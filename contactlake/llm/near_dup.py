@@ -56,7 +56,7 @@ from .components import components
 #: Words of a k-mer, hash functions, k-mers each takes.
 KINDS = ((5, 24, 2), (3, 72, 2))
 #: Rows outside the largest class of a bucket that are compared with all of the bucket.
-SMALL = 64
+SMALL = 32
 #: The same in a bucket that has been split by a rare word: splitting it again multiplies its rows.
 LARGE = 512
 #: Edit distance over the longer length: one in FIFTH at most.
