@@ -213,7 +213,7 @@ def similar(a: np.ndarray, b: np.ndarray, fifth: int = FIFTH) -> bool:
 
 
 def _sketch_rows(documents: DataFrame, id_col: str, text_col: str, kinds) -> DataFrame:
-    """id, sha, n_words, sketch of every row; no text."""
+    """id, sha, n_words, sketch and words (32-bit hashes in a row of bytes) of every row; no text."""
     m = sum(kind[1] for kind in kinds)
 
     def run(batches):
@@ -224,38 +224,26 @@ def _sketch_rows(documents: DataFrame, id_col: str, text_col: str, kinds) -> Dat
                 h, words = word_hashes(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 found = all_sketches(h, words, kinds)
                 flat = pa.array(found.astype(np.int64).ravel())
+                h = (h >> np.uint64(32)).astype("<u4")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * m), flat)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                     pa.array(np.diff(words).astype(np.int64)), lists], names=["id", "sha", "n_words", "sketch"])
+                     pa.array(np.diff(words).astype(np.int64)), lists,
+                     pa.array([h[words[i]: words[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
+                    names=["id", "sha", "n_words", "sketch", "words"])
 
     kind = documents.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, sha binary, n_words long, sketch array<long>")
-
-
-def _word_rows(documents: DataFrame) -> DataFrame:
-    """id and words (32-bit hashes in a row of bytes) of rows (id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1 << 19):
-                h, words = word_hashes(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-                h = (h >> np.uint64(32)).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([h[words[i]: words[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
-                    names=["id", "words"])
-
-    kind = documents.schema["id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"id {kind}, words binary")
+    return rows.mapInArrow(run, f"id {kind}, sha binary, n_words long, sketch array<long>, words binary")
 
 
 def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
     """The links among the pairs (a, b): those whose word rows are similar."""
     kind = pairs.schema["a"].dataType.simpleString()
+    # words that no pair asks for move once only
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    words = stored(words.join(by_shuffle(ends), "id", "left_semi"), "near-words")
     joined = (pairs.join(by_shuffle(words.select(F.col("id").alias("a"), F.col("words").alias("a_words"))), "a")
               .join(by_shuffle(words.select(F.col("id").alias("b"), F.col("words").alias("b_words"))), "b"))
 
@@ -343,9 +331,8 @@ def _rare(words: DataFrame, fifth: int) -> DataFrame:
     return words.select("id", "words").mapInArrow(run, f"id {kind}, rare array<struct<p:bigint,e:bigint>>")
 
 
-def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, small: int = SMALL,
-          fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between different texts: ``texts`` has id, n_words and sketch of one row a text."""
+def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between different texts: ``texts`` has id, n_words, sketch and words of one row a text."""
     spark = texts.sparkSession
     texts = texts.where("n_words > 0")
     sizes = texts.select("id", "n_words")
@@ -354,9 +341,7 @@ def links(texts: DataFrame, documents: DataFrame, id_col: str, text_col: str, sm
     stars = cut(entries.groupBy("key").agg(F.min("id").alias("star"), F.count("*").alias("n")).where("n > 1").drop("n"))
     shared = stored(entries.join(by_shuffle(stars), "key"), "near-buckets")
     released(spark)
-    wanted = stored(shared.select("id").distinct(), "near-ids")
-    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(by_shuffle(wanted), "id", "left_semi")
-    words = stored(_word_rows(chosen), "near-words")
+    words = texts.select("id", "words")
     met = (shared.where("id <> star").select("star", "id", "n_words").distinct()
            .join(by_shuffle(sizes.select(F.col("id").alias("star"), F.col("n_words").alias("star_words"))), "star")
            .where(_near("n_words", "star_words", fifth)))
@@ -397,9 +382,9 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int
     ready(documents.sparkSession)
     each = _sketch_rows(documents, id_col, text_col, kinds)
     texts = stored(each.groupBy("sha").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"),
-                                           F.first("sketch").alias("sketch")), "near-texts")
+                                           F.first("sketch").alias("sketch"), F.first("words").alias("words")), "near-texts")
     released(documents.sparkSession)
-    found = links(texts.where("id IS NOT NULL").drop("sha"), documents, id_col, text_col, small, fifth, large)
+    found = links(texts.where("id IS NOT NULL").drop("sha"), small, fifth, large)
     roots = cut(components(found))
     return (texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
             .join(by_shuffle(roots), F.col("t_id") == F.col("node"), "left")
