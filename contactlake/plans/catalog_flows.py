@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators.columns import qcol
 from ..operators.enrich import request_batches
-from ..operators.search import first_n
+from ..operators.page_index import PageIndex
+from ..operators.search import build_filters, first_n
+from ..operators.trigram_index import TrigramIndex
 from ..session import scratch_path
+from ..sources.files import read_contacts
 from ..sources.store import TruthStore
-from ..sources.workbook import read_workbooks
+from ..sources.workbook import NA_TOKENS, read_workbooks
 from . import oracle as O
 from .catalog import UPSERT_NOW, register
 from .catalog_more import (_RT_COLS, EXPORT_FILTERS, LOOKUP_EMAIL, _calls_sql, _na, _state_sql, contacts,
                            stored_truth)
 from .derived import incoming_updates, raw_contacts, read_table
 from .extract_fixtures import EXTRACT_ORACLE, fallback_extractor, primary_extractor
-from .flows import export_store, ingest_and_enrich, ingest_pages, save, search_store, store_statistics
+from .flows import (export_store, ingest_and_enrich, ingest_pages, save, search_store, store_statistics,
+                    write_parts)
 from .provider_fixtures import company_callable
 
 OTHER_PREFIXES = S.ProviderPrefixes(person="Lead Person ", company="Lead Company ")
@@ -85,11 +89,76 @@ def q_search_flow(spark, sf_dir):
           + ", ".join(f"{_na(O.q(c))} AS {O.q(c)}" for c in _RT_COLS)
           + f" FROM ({_state_sql()}) s WHERE {O.q(S.EMAIL)} ILIKE '%{EXPORT_FILTERS['email']}%'")
 def q_export_flow(spark, sf_dir):
+    """Written as ordered CSV parts and read again; what a sheet would show as missing is null, as in the workbook."""
+    out = scratch_path(spark, "export")
+    export_store(_stored_and_updated(spark, sf_dir), out, fmt="csv", **EXPORT_FILTERS)
+    rows = read_contacts(spark, out, "csv")
+    return rows.select(qcol(S.SN), *[F.when(~qcol(c).isin(*NA_TOKENS), qcol(c)).alias(c) for c in _RT_COLS])
+
+
+@register("export_workbook_flow",
+          f"SELECT CAST({O.q(S.SN)} AS VARCHAR) AS {O.q(S.SN)}, "
+          + ", ".join(f"{_na(O.q(c))} AS {O.q(c)}" for c in _RT_COLS)
+          + f" FROM ({_state_sql()}) s WHERE {O.q(S.EMAIL)} ILIKE '%{EXPORT_FILTERS['email']}%'")
+def q_export_workbook_flow(spark, sf_dir):
     out = scratch_path(spark, "export")
     export_store(_stored_and_updated(spark, sf_dir), out, **EXPORT_FILTERS)
     return read_workbooks(spark, out).frame.select(*[qcol(c) for c in [S.SN, *_RT_COLS]])
 
 
+DEEP_WIDTH, DEEP_SHARE = 100, 0.8
+_DEEP_FILTER = {"company": "building"}
+
+
+def _deep_sql() -> str:
+    state = _state_sql()
+    where = f"{O.q(S.COMPANY)} ILIKE '%{_DEEP_FILTER['company']}%'"
+    page = (lambda tag, cond: f"SELECT '{tag}' AS page, {O.q(S.SN)}, {O.q(S.EMAIL)}, {O.q(S.COMPANY)} FROM (SELECT *, "
+            f"row_number() OVER (ORDER BY {O.q(S.SN)}) AS rn, count(*) OVER () AS n FROM ({state}) s WHERE {cond}) x "
+            f"WHERE rn > CAST(floor({DEEP_SHARE} * n) AS BIGINT) AND rn <= CAST(floor({DEEP_SHARE} * n) AS BIGINT) + {PAGE_SIZE}")
+    return page("all", "true") + " UNION ALL " + page("filtered", where)
+
+
+@register("deep_page", _deep_sql())
+def q_deep_page(spark, sf_dir):
+    """The page that begins after four fifths of the table, and the same of a filter's matches."""
+    index = PageIndex(spark, scratch_path(spark, "pages"), DEEP_WIDTH).build(_stored_and_updated(spark, sf_dir).read())
+    filters = build_filters(**_DEEP_FILTER)
+    counts = index.counts(filters)
+    columns = [qcol(c) for c in (S.SN, S.EMAIL, S.COMPANY)]
+    deep = index.page(PAGE_SIZE, int(DEEP_SHARE * index.total())).select(F.lit("all").alias("page"), *columns)
+    return deep.unionByName(index.page(PAGE_SIZE, int(DEEP_SHARE * index.total(counts)), filters, counts).select(
+        F.lit("filtered").alias("page"), *columns))
+
+
+SUBSTRINGS = {"email": "user12", "company": "ildin"}
+
+
+@register("substring_search", f"SELECT {O.q(S.SN)}, {O.q(S.EMAIL)}, {O.q(S.COMPANY)} FROM ({_state_sql()}) s WHERE "
+          f"{O.q(S.EMAIL)} ILIKE '%{SUBSTRINGS['email']}%' AND {O.q(S.COMPANY)} ILIKE '%{SUBSTRINGS['company']}%'")
+def q_substring_search(spark, sf_dir):
+    table = _stored_and_updated(spark, sf_dir).read()
+    index = TrigramIndex(spark, scratch_path(spark, "trigrams")).build(table, [S.EMAIL, S.COMPANY])
+    return index.search(table, build_filters(**SUBSTRINGS)).select(*[qcol(c) for c in (S.SN, S.EMAIL, S.COMPANY)])
+
+
+_CSV_NOTE = "o_orderstatus || '{0}said \"' || CAST(o_custkey AS VARCHAR) || '\",{0}' || o_orderpriority"
+
+
+@register("csv_input", " UNION ALL ".join(
+    f"SELECT '{tag}' AS file, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+    f"{_CSV_NOTE.format(gap)} AS note FROM orders" for tag, gap in (("plain", " "), ("lines", "\n"))))
+def q_csv_input(spark, sf_dir):
+    """``orders`` as CSV, once plain and once with line breaks inside quotes, read by splits of a file."""
+    orders, found = read_table(spark, sf_dir, "orders"), []
+    for tag, gap in (("plain", " "), ("lines", "\n")):
+        out = scratch_path(spark, "csv")
+        note = F.concat("o_orderstatus", F.lit(f'{gap}said "'), F.col("o_custkey").cast("string"), F.lit(f'",{gap}'), "o_orderpriority")
+        write_parts(orders.select("o_orderkey", "o_custkey", note.alias("note")), out, "csv")
+        found.append(read_contacts(spark, out, "csv").select(F.lit(tag).alias("file"), "o_orderkey", "o_custkey", "note"))
+    return found[0].unionByName(found[1])
+
+
 @register("statistics_flow",
           f"SELECT count(*) AS total_records, count(*) FILTER (WHERE {O.q(S.UPDATED)} >= '2024-01-27T00:00:00Z') "
           f"AS recent_updates, (SELECT count(*) FROM (DESCRIBE {_state_sql()})) AS total_columns "

@@ -37,6 +37,8 @@ from ..sources.files import read_contacts
 from ..sources.store import TruthStore
 from ..sources.workbook import export_file_name, export_workbooks, read_workbooks
 
+EXPORT_ROWS = 500_000
+
 
 @dataclass
 class RunResult:
@@ -218,10 +220,25 @@ def search_store(store: TruthStore, limit: int = S.DEFAULT_PAGE_SIZE, offset: in
     return search(t, f, limit, offset), search_total(t, f)
 
 
-def export_store(store: TruthStore, out_dir: str, cap: int | None = None, **params) -> tuple[list[str], str]:
-    """Export the filtered table as workbook parts; returns (paths, name)."""
+def export_store(store: TruthStore, out_dir: str, cap: int | None = None, fmt: str = "xlsx",
+                 rows_per_file: int = EXPORT_ROWS, **params) -> tuple[list[str], str]:
+    """Export the filtered table in ``S.N.`` order; returns (paths, name).
+
+    ``csv`` and ``parquet`` are written by Spark as ordered parts of at most
+    ``rows_per_file`` rows, whose names rise with ``S.N.``; ``xlsx`` as
+    workbook parts.
+    """
     frame = export_frame(store.read(), build_filters(**params), cap)
-    return export_workbooks(frame, out_dir), export_file_name()
+    if fmt == "xlsx":
+        return export_workbooks(frame, out_dir), export_file_name()
+    write_parts(frame, out_dir, fmt, rows_per_file)
+    return [out_dir], export_file_name().rsplit(".", 1)[0]
+
+
+def write_parts(frame: DataFrame, out_dir: str, fmt: str, rows_per_file: int = EXPORT_ROWS) -> None:
+    """A sorted frame as ordered files: the sort's ranges become parts, long ranges several files."""
+    options = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": ""} if fmt == "csv" else {}
+    frame.write.options(**options).option("maxRecordsPerFile", rows_per_file).mode("overwrite").format(fmt).save(out_dir)
 
 
 def store_statistics(spark: SparkSession, store: TruthStore, as_of: str):

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.keys import with_index
 from ..session import checkpoint_dir
+from .csv_records import read_csv
 from .workbook import read_workbooks
 
 _LOCAL = "__local"
@@ -47,17 +49,17 @@ def with_input_order(df: DataFrame) -> DataFrame:
 def read_contacts(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
     """Read contact rows as text columns plus ``_row_id``.
 
-    ``fmt``: ``csv`` (header row, every column text), ``json`` (JSON
-    lines), ``parquet`` or ``xlsx``; guessed from the extension when None.
+    ``fmt``: ``csv`` (header row, every column text; read by all splits, see
+    ``csv_records``), ``json`` (JSON lines), ``parquet`` or ``xlsx``; guessed from the extension when None.
     Header mapping and normalisation are separate steps.
     """
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt in ("xlsx", "excel"):
         return read_workbooks(spark, path, **options).frame.drop("_file")
     if fmt == "csv":
-        opts = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"'}
-        opts.update({k: str(v) for k, v in options.items()})
-        df = spark.read.options(**opts).csv(path)
+        df, order = read_csv(spark, path, {k: str(v) for k, v in options.items()})
+        if order is not None:
+            return with_index(df, order, "_row_id").drop("__place")
     elif fmt == "json":
         df = spark.read.options(**options).json(path)
     elif fmt == "parquet":
