@@ -23,17 +23,17 @@ ORG_SCHEMA = T.StructType([
         ("id", T.StringType()), ("name", T.StringType()), ("website_url", T.StringType()),
         ("primary_domain", T.StringType()), ("industry", T.StringType()),
         ("industries", T.ArrayType(T.StringType())), ("keywords", T.ArrayType(T.StringType())),
-        ("estimated_num_employees", T.LongType()), ("founded_year", T.LongType()),
+        ("estimated_num_employees", T.StringType()), ("founded_year", T.StringType()),
         ("publicly_traded_symbol", T.StringType()), ("publicly_traded_exchange", T.StringType()),
         ("linkedin_url", T.StringType()), ("phone", T.StringType()),
         ("account", T.StructType([T.StructField("phone", T.StringType())])),
         ("raw_address", T.StringType()), ("city", T.StringType()), ("state", T.StringType()),
         ("country", T.StringType()), ("logo_url", T.StringType()),
         ("short_description", T.StringType()), ("seo_description", T.StringType()),
-        ("departmental_head_count", T.MapType(T.StringType(), T.LongType())),
+        ("departmental_head_count", T.MapType(T.StringType(), T.StringType())),
         ("estimated_annual_revenue", T.StringType()), ("annual_revenue", T.StringType()),
         ("size", T.StringType()), ("organization_size", T.StringType()),
-        ("alexa_ranking", T.LongType()), ("twitter_url", T.StringType()),
+        ("alexa_ranking", T.StringType()), ("twitter_url", T.StringType()),
         ("facebook_url", T.StringType()), ("revenue_range", T.StringType()),
         ("employee_count_range", T.StringType()), ("total_funding", T.StringType()),
         ("latest_funding_round_date", T.StringType()), ("technologies", T.ArrayType(T.StringType())),
@@ -58,8 +58,9 @@ PERSON_SCHEMA = T.StructType([
     ]
 ])
 
-# Text fields that carry numbers: "0" is falsy like the number 0.
-NUMERIC_TEXT = {"estimated_annual_revenue", "annual_revenue", "total_funding"}
+# Text fields that carry numbers, as numbers or as text: "0" is falsy like the number 0.
+NUMERIC_TEXT = {"estimated_annual_revenue", "annual_revenue", "total_funding", "estimated_num_employees", "founded_year",
+                "alexa_ranking"}
 YES, NO = "Yes", "No"
 # --------------------------------------------------------------------------
 
@@ -127,6 +128,11 @@ class _Obj:
         return as_text(F.get(arr, 0), el_type)
 
 
+def _some(col: Column, dtype: T.StructType) -> Column:
+    """Whether an object has a field that is set."""
+    return col.isNotNull() & F.coalesce(*[F.when(col[f.name].isNotNull(), F.lit(True)) for f in dtype.fields], F.lit(False))
+
+
 def map_person(col: Column, dtype: T.StructType = PERSON_SCHEMA,
                prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> list[tuple[str, Column]]:
     """Person match -> ``[(column, value-or-NULL)]``: 8 base and 13 provider columns."""
@@ -188,7 +194,8 @@ def map_company(col: Column, dtype: T.StructType = ORG_SCHEMA,
     """Organisation match -> ``[(column, value-or-NULL)]``: 10 base and 17
     provider columns, with the fallback chains (industry <- industries[0],
     phone <- account.phone, address <- city/state/country, revenue and
-    size alternatives). ``Listed Company`` is always set for a match."""
+    size alternatives). ``Listed Company`` is set for every match that holds
+    something; an empty object is no match."""
     o = _Obj(col, dtype)
     C = prefixes.company
     acct_t = o.t("account")
@@ -204,7 +211,7 @@ def map_company(col: Column, dtype: T.StructType = ORG_SCHEMA,
     dept = F.lit(None).cast("string")
     if isinstance(dept_t, T.MapType):
         entries = F.filter(F.map_entries(o.get("departmental_head_count")),
-                           lambda e: e["value"].isNotNull() & (e["value"] != F.lit(0)))
+                           lambda e: truthy(e["value"], dept_t.valueType, True))
         joined = F.array_join(F.transform(entries, lambda e: F.concat(
             e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
         dept = F.when(o.ok("departmental_head_count") & (F.size(entries) > 0), joined)
@@ -217,7 +224,7 @@ def map_company(col: Column, dtype: T.StructType = ORG_SCHEMA,
         (S.EMPLOYEES, o.set_if("estimated_num_employees")),
         (S.COMPANY_PHONE, F.when(o.ok("phone"), o.text("phone")).otherwise(acct_phone)),
         (S.ADDRESS, address),
-        (S.LISTED, F.when(col.isNotNull(), F.when(o.ok("publicly_traded_symbol"), YES).otherwise(NO))),
+        (S.LISTED, F.when(_some(col, dtype), F.when(o.ok("publicly_traded_symbol"), YES).otherwise(NO))),
         (S.REVENUE, F.when(o.ok("estimated_annual_revenue"), o.text("estimated_annual_revenue"))
          .when(o.ok("annual_revenue"), o.text("annual_revenue"))),
         (S.SIZE, F.when(o.ok("size"), o.text("size")).when(o.ok("organization_size"),

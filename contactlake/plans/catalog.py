@@ -13,7 +13,7 @@ from ..functions import text as TX
 from ..functions.json import json_path
 from ..functions.url import extract_domain
 from ..operators.columns import map_columns, qcol
-from ..operators.dedupe import dedupe_by_email, dedupe_by_name_company, keep_first
+from ..operators.dedupe import dedupe_by_email, dedupe_by_name_company, keep_first, keep_first_wide
 from ..operators.keys import with_batches, with_serial
 from ..operators.normalize import normalize
 from ..operators.search import search, search_total
@@ -213,7 +213,7 @@ def q_dedupe_name(spark, sf_dir):
           "QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def q_dedupe_docs(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return keep_first(docs, ["text"], order="doc_id").select("doc_id", "lang", "source")
+    return keep_first_wide(docs, ["text"], order="doc_id").select("doc_id", "lang", "source")
 
 
 @register("first_turn", "SELECT conv_id, turn, role, text FROM conversations "

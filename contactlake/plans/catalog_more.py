@@ -262,6 +262,10 @@ def _emb_d(a: str) -> dict[str, str]:
     return {k: f"(CASE WHEN {m} THEN {v} END)" for k, v in d.items()}
 
 
+def _number(x: str) -> str:
+    return f"CASE WHEN {x} <> '' AND coalesce(TRY_CAST({x} AS DOUBLE) <> 0, true) THEN {x} END"
+
+
 def _org_d(a: str) -> dict[str, str]:
     m = f"{a}.domain IS NOT NULL"
     d = {c: "NULL" for c in _ORG_COLS}
@@ -269,7 +273,7 @@ def _org_d(a: str) -> dict[str, str]:
         S.COMPANY: _nz(f"{a}.name"),
         S.INDUSTRY: f"coalesce({_nz(a + '.industry')}, trim({a}.industry0))",
         S.WEBSITE: f"'https://' || {a}.domain",
-        S.EMPLOYEES: f"CASE WHEN {a}.employees <> 0 THEN CAST({a}.employees AS VARCHAR) END",
+        S.EMPLOYEES: _number(f"{a}.employees"),
         S.COMPANY_PHONE: f"coalesce({_nz(a + '.phone')}, {_nz(a + '.account_phone')})",
         S.ADDRESS: (f"CASE WHEN {a}.raw_address <> '' THEN {a}.raw_address "
                     f"WHEN {a}.city <> '' OR {a}.ostate <> '' OR {a}.ocountry <> '' "
@@ -279,7 +283,7 @@ def _org_d(a: str) -> dict[str, str]:
                     f"THEN {a}.revenue WHEN {a}.annual_revenue <> '' AND "
                     f"coalesce(TRY_CAST({a}.annual_revenue AS DOUBLE) <> 0, true) THEN {a}.annual_revenue END"),
         C + "Primary Domain": _nz(f"{a}.domain"),
-        C + "Founded Year": f"CASE WHEN {a}.founded <> 0 THEN CAST({a}.founded AS VARCHAR) END",
+        C + "Founded Year": _number(f"{a}.founded"),
         C + "Keywords": _flat(f"{a}.kw0, {a}.kw1"),
         C + "Public Ticker": _nz(f"{a}.symbol"),
         C + "Department Headcount": (
@@ -580,9 +584,9 @@ def _calls_sql(kind: str) -> str:
                     S.DEFAULT_PREFIXES.person + "Departments": "'ops'"}
     else:
         dom = O.d_domain(f"trim({web})")
-        matched = f"(trim({web}) <> '' AND {dom} IS NOT NULL AND NOT ends_with({dom}, '.net'))"
+        matched = f"(trim({web}) <> '' AND {dom} IS NOT NULL AND NOT ends_with({dom}, '.net') AND length({dom}) <> 20)"
         set_vals = {S.COMPANY: f"upper(split_part({dom}, '.', 1))",
-                    S.EMPLOYEES: f"CAST(length({dom}) AS VARCHAR)",
+                    S.EMPLOYEES: f"CAST(length({dom}) AS VARCHAR) || CASE WHEN length({dom}) % 3 = 0 THEN ',000' ELSE '' END",
                     S.LISTED: f"CASE WHEN length({dom}) % 2 = 1 THEN 'Yes' ELSE 'No' END",
                     S.DEFAULT_PREFIXES.company + "Public Ticker": f"CASE WHEN length({dom}) % 2 = 1 THEN 'X' END"}
     sel = ["c._row_id"]

@@ -41,8 +41,10 @@ JOIN {region} r ON n.n_regionkey = r.r_regionkey
 """
 
 _ORG_FIELDS = """
-  count(*) AS employees,
-  CASE WHEN min(c.c_custkey) % 4 = 0 THEN 0 ELSE 1990 + min(c.c_custkey) % 30 END AS founded,
+  CASE WHEN min(c.c_custkey) % 3 = 0 THEN CAST(count(*) AS STRING) || ',000'
+       WHEN min(c.c_custkey) % 7 = 1 THEN '0' ELSE CAST(count(*) AS STRING) END AS employees,
+  CASE WHEN min(c.c_custkey) % 4 = 0 THEN '0' ELSE CAST(1990 + min(c.c_custkey) % 30 AS STRING)
+       || (CASE WHEN min(c.c_custkey) % 5 = 1 THEN '.0' ELSE '' END) END AS founded,
   CASE WHEN max(c.c_acctbal) > 9900 THEN upper(substr(min(c.c_mktsegment), 1, 3)) ELSE '' END AS symbol,
   CASE WHEN min(c.c_custkey) % 2 = 0 THEN '' ELSE '+44 20 ' || CAST(min(c.c_custkey) AS STRING) END AS phone,
   '+1 800 ' || CAST(min(c.c_custkey) AS STRING) AS account_phone,
@@ -86,7 +88,8 @@ def _nz(c: str) -> F.Column:
 def people_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = spark_sql(spark, sf_dir, PEOPLE_SQL, ["customer", "nation", "region"])
     org = F.when(F.col("org_name") != F.lit(""), _typed_struct(ORG_SCHEMA, {
-        "name": F.col("org_name"), "industry": F.col("org_industry")}))
+        "name": F.col("org_name"), "industry": F.col("org_industry")})).when(
+            F.col("seniority") == "senior", _typed_struct(ORG_SCHEMA, {}))  # an empty object is no match
     person = _typed_struct(PERSON_SCHEMA, {
         "first_name": F.col("first_name"), "last_name": F.col("last_name"), "title": F.col("title"),
         "email": F.col("new_email"), "linkedin_url": F.col("linkedin_url"),
@@ -116,7 +119,7 @@ def company_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
         "raw_address": F.col("raw_address"), "city": F.col("city"), "state": F.col("ostate"),
         "country": F.col("ocountry"),
         "departmental_head_count": F.map_from_arrays(F.array(F.lit("sales"), F.lit("finance")),
-                                                     F.array("dept_sales", "dept_finance")),
+                                                     F.array("dept_sales", "dept_finance").cast("array<string>")),
         "keywords": F.array("kw0", "kw1"), "estimated_annual_revenue": F.col("revenue"),
         "annual_revenue": F.col("annual_revenue"),
     })
@@ -140,8 +143,10 @@ def people_callable(endpoint: str, payload: dict, timeout: float) -> dict:
 
 def company_callable(endpoint: str, payload: dict, timeout: float) -> dict:
     """Stand-in company provider: one organisation per requested domain;
-    ``.net`` domains have no match."""
-    return {"matches": [None if d.endswith(".net") else
-                        {"name": d.split(".")[0].upper(), "estimated_num_employees": len(d),
+    ``.net`` domains have no match, those of 20 characters an empty one.
+    Employees come as a number or as text."""
+    return {"matches": [None if d.endswith(".net") else {} if len(d) == 20 else
+                        {"name": d.split(".")[0].upper(),
+                         "estimated_num_employees": len(d) if len(d) % 3 else f"{len(d)},000",
                          "publicly_traded_symbol": "X" if len(d) % 2 else None}
                         for d in payload["domains"]]}

@@ -153,3 +153,34 @@ def test_rejected_emails_and_enrichment_counts(spark):
     e = frame(spark, ["_row_id", "_enrichment_error"], [(1, ""), (2, None), (3, "API error 400: x")])
     c = enrichment_counts(e).first()
     assert (c["enriched"], c["with_error"]) == (2, 1)
+
+
+def test_provider_numbers_as_text_and_empty_objects(spark):
+    from contactlake.functions.provider import ORG_SCHEMA, map_company
+
+    replies = ['{"estimated_num_employees": "1,000", "founded_year": 1999.0, "alexa_ranking": "12"}',
+               '{"estimated_num_employees": 250, "founded_year": 0, "departmental_head_count": {"a": 0, "b": 3, "c": "4"}}',
+               "{}", None, '{"name": "X"}']
+    rows = spark.createDataFrame(list(enumerate(replies)), "i long, reply string").select(
+        "i", F.from_json("reply", ORG_SCHEMA).alias("o"))
+    got = {r["i"]: r for r in rows.select("i", *[v.alias(k) for k, v in map_company(F.col("o"))]).collect()}
+    prefix = S.DEFAULT_PREFIXES.company
+    assert (got[0][S.EMPLOYEES], got[0][prefix + "Founded Year"], got[0][prefix + "Alexa Ranking"]) == ("1,000", "1999.0", "12")
+    assert (got[1][S.EMPLOYEES], got[1][prefix + "Founded Year"]) == ("250", None)
+    assert got[1][prefix + "Department Headcount"] == "b: 3, c: 4"
+    assert [got[i][S.LISTED] for i in range(5)] == ["No", "No", None, None, "No"]
+
+
+def test_keep_first_wide_equals_keep_first(spark):
+    from contactlake.operators.dedupe import keep_first, keep_first_wide
+
+    rows = [(i, ["a", "a,1:b", None, "", "long " * 500][i % 5], [None, "b", "1:b"][i % 3], f"r{i}") for i in range(300)]
+    rows += [(1000 + i, "hot", "hot", "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "_row_id long, k string, l string, v string").repartition(6)
+    for keys in (["k"], ["k", "l"], ["l"]):
+        got = keep_first_wide(df, keys)
+        assert got.columns == df.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, keep_first(df, keys).collect()))
+    assert keep_first_wide(df.limit(0), ["k"]).collect() == []
+    plan = keep_first_wide(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
