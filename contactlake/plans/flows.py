@@ -46,7 +46,6 @@ class RunResult:
     outcomes: DataFrame | None = None
     errors: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
-    version: int | None = None
     cause: Exception | None = None
     saved: DataFrame | None = None
     skipped: DataFrame | None = None
@@ -87,16 +86,16 @@ def enrichment_errors(df: DataFrame) -> DataFrame:
 
 def save(store: TruthStore, df: DataFrame, now: str | None = None, **upsert_kw):
     """Drop internal columns, stringify, skip rows without e-mail (counted),
-    upsert and publish. Returns (upsert result, version, skipped count)."""
+    upsert and write the touched buckets. Returns (upsert result, skipped count)."""
     ready = prepare_for_save(df)
     has_email = S.EMAIL in ready.columns
     skipped = ready.where(~has_value(qcol(S.EMAIL))).count() if has_email else ready.count()
     batch = ready.where(has_value(qcol(S.EMAIL))) if has_email else ready.limit(0)
     touched = store.touched_buckets(batch) if S.EMAIL in batch.columns else []
     res = upsert(store.read(buckets=touched), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
-    version = store.commit(res.state, max_sn=res.max_sn, buckets=touched) if touched \
-        else store.current_version()
-    return res, version, skipped
+    if touched:
+        store.commit(res.state, buckets=touched)
+    return res, skipped
 
 
 def _counts(res) -> dict:
@@ -144,10 +143,10 @@ def ingest_and_enrich(spark: SparkSession, source: str | DataFrame, store: Truth
             from ..operators.enrich import FLAGS
 
             rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
-        res, version, skipped = save(store, rows, now=now, prefixes=prefixes)
+        res, skipped = save(store, rows, now=now, prefixes=prefixes)
         summary.update(_counts(res))
         summary["skipped_no_email"] = skipped
-        return RunResult(summary, res.outcomes, enrichment_errors(rows), warnings + res.warnings, version)
+        return RunResult(summary, res.outcomes, enrichment_errors(rows), warnings + res.warnings)
     except Exception as e:  # the run reports instead of raising
         summary["errors"] = [{"email": "N/A", "message": S.MSG_PROCESSING_FAILED.format(error=e)}]
         summary["processing_failed"] = True
@@ -163,9 +162,9 @@ def ingest_base(spark: SparkSession, source: str | DataFrame, store: TruthStore,
     mapped, w = map_columns(raw)
     checkpoint_dir(spark)
     rows = dedupe_by_email(normalize(mapped))[0].checkpoint(eager=True)  # the input is evaluated once
-    res, version, skipped = save(store, rows, now=now)
+    res, skipped = save(store, rows, now=now)
     summary = {"total": rows.count(), "skipped_no_email": skipped, **_counts(res)}
-    return RunResult(summary, res.outcomes, None, warnings + w + res.warnings, version)
+    return RunResult(summary, res.outcomes, None, warnings + w + res.warnings)
 
 
 def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, primary, fallback=None,
@@ -196,11 +195,11 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
         from ..operators.enrich import FLAGS
 
         rows = prune_empty_new_columns(full.drop(*FLAGS), rows.columns)
-    res, version, skipped = save(store, rows, now=now, prefixes=prefixes)
+    res, skipped = save(store, rows, now=now, prefixes=prefixes)
     summary.update(_counts(res))
     summary["skipped_no_email"] = skipped
     saved, without = saved_and_skipped(rows)
-    return RunResult(summary, res.outcomes, enrichment_errors(rows), res.warnings, version,
+    return RunResult(summary, res.outcomes, enrichment_errors(rows), res.warnings,
                      saved=saved, skipped=without)
 
 

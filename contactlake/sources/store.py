@@ -1,25 +1,20 @@
-"""The truth table as versioned, e-mail-bucketed Parquet snapshots.
-
-Parquet has no in-place ``MERGE``. Rows live in ``B`` buckets by
-``pmod(xxhash64(email), B)``; a version directory ``<root>/v=<n>/`` holds
-only the buckets that version rewrote (``_bucket=<b>/``). The commit log
-``<root>/_log/`` gets one small row per version: the version, the highest
-serial number, and the manifest (for every bucket, the version that holds
-its current rows). So:
-
-* an upsert reads and rewrites only the buckets its e-mails fall into;
-  every other bucket is carried over by the manifest, not copied;
-* a point lookup reads one bucket;
-* a version becomes visible only when its log row exists, so a failed or
-  retried job never exposes a partial snapshot, and the folders being read
-  are never overwritten (re-running an unpublished version rewrites only
-  its own folder).
+"""The truth table as Parquet in e-mail buckets, kept by Spark's own writer.
+
+Rows live in folders ``_buckets=<B>/_bucket=<b>/`` with b =
+``pmod(xxhash64(email), B)``. An upsert reads the buckets that its e-mails
+fall into (a partition filter) and writes these back with dynamic partition
+overwrite: the other folders aren't touched. Spark writes the new files beside
+the table and exchanges folders when the job commits, so a lost executor or a
+failed job changes nothing. There is no log beside the data. Folders are
+exchanged one after another: a driver that dies in between leaves some of a
+batch's buckets new and some old, and applying the batch again makes it whole,
+since an upsert skips what is there already. One writer at a time.
+
+``B`` is part of the path, so a table keeps the number that it was made with.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +22,7 @@ from .. import schema as S
 from ..operators.columns import qcol
 
 BUCKET = "_bucket"
+BUCKETS = "_buckets"
 DEFAULT_BUCKETS = 64
 #: Parquet's own Bloom filter on the e-mail: a lookup of one that isn't there reads no row group. Values are unique,
 #: so a dictionary would only take room.
@@ -43,81 +39,30 @@ def bucket_of(email: Column, buckets: int) -> Column:
 
 
 class TruthStore:
-    """Snapshot store. Choose ``buckets`` so that one bucket is a sensible
-    rewrite unit (a few GB): about table size / 5 GB."""
+    """Choose ``buckets`` so that one bucket is a sensible rewrite unit (a few GB): about table size / 5 GB."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS) -> None:
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
-        row = self._row()
-        if row is not None:  # the table keeps the bucket count it was created with
-            self.buckets = len(row["manifest"])
-
-    def _hadoop(self, path: str):
-        """(FileSystem, Path) of a path, by its own scheme."""
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    # ------------------------------------------------------------- log
-    @property
-    def _log(self) -> str:
-        return f"{self.root}/_log"
-
-    def _log_frame(self) -> DataFrame | None:
-        """The log, or None where there is none; a log that can't be read is an error."""
-        fs, p = self._hadoop(self._log)
-        return self.spark.read.option("mergeSchema", "true").parquet(self._log) if fs.exists(p) else None
-
-    def versions(self) -> list[int]:
-        log = self._log_frame()
-        return [] if log is None else sorted(int(r[0]) for r in log.select("version").collect())
-
-    def _row(self, version: int | None = None):
-        """The log row of ``version`` (default: the latest); only that row
-        (with its manifest) is fetched."""
-        log = self._log_frame()
-        if log is None:
-            return None
-        v = version if version is not None else log.agg(F.max("version")).first()[0]
-        return None if v is None else log.where(F.col("version") == F.lit(v)).first()
-
-    def current_version(self) -> int | None:
-        row = self._row()
-        return int(row["version"]) if row else None
+        self.spark, self.root = spark, root.rstrip("/")
+        self.buckets = self._made_with() or buckets
+
+    def _made_with(self) -> int | None:
+        """The bucket count in the table's path; None where there is no table yet."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{BUCKETS}=*/{BUCKET}=*")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return int(found[0].getPath().getParent().getName().split("=")[1]) if found else None
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The table, optionally only some buckets; the empty base table before the first commit."""
+        if self._made_with() is None:
+            return empty_truth(self.spark)
+        rows = self.spark.read.option("mergeSchema", "true").parquet(self.root)
+        if buckets is not None:
+            rows = rows.where(F.col(BUCKET).isin(buckets))
+        return rows.drop(BUCKETS, BUCKET)
 
     def max_sn(self) -> int | None:
-        """Highest serial number of the current version, from the log."""
-        row = self._row()
-        return row["max_sn"] if row else None
-
-    def manifest(self, version: int | None = None) -> list[int]:
-        row = self._row(version)
-        return [-1] * self.buckets if row is None else list(row["manifest"])
-
-    def version_of(self, tag: str) -> int | None:
-        """The version published with ``tag``, if any."""
-        log = self._log_frame()
-        if log is None or "tag" not in log.columns:
-            return None
-        return log.where(F.col("tag") == F.lit(tag)).agg(F.max("version")).first()[0]
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
-
-    # ------------------------------------------------------------- read
-    def bucket_paths(self, buckets: list[int] | None = None, version: int | None = None) -> list[str]:
-        man = self.manifest(version)
-        wanted = range(len(man)) if buckets is None else buckets
-        return [f"{self.path(man[b])}/{BUCKET}={b}" for b in wanted if man[b] >= 0]
-
-    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """Current (or given) snapshot, optionally only some buckets; the
-        empty base table before the first commit."""
-        paths = self.bucket_paths(buckets, version)
-        if not paths:
-            return empty_truth(self.spark)
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        """Highest serial number: one column is read."""
+        return self.read().agg(F.max(qcol(S.SN))).first()[0]
 
     def touched_buckets(self, batch: DataFrame) -> list[int]:
         """Buckets of the e-mails in ``batch`` (at most ``buckets`` values)."""
@@ -125,68 +70,22 @@ class TruthStore:
         return sorted(int(r["b"]) for r in rows if r["b"] is not None)
 
     def lookup(self, email: str) -> DataFrame:
-        """Point lookup: reads the one bucket the e-mail hashes to."""
+        """Point lookup: the folder of the e-mail's bucket, in it the row groups that its Bloom filter leaves."""
         b = self.spark.range(1).select(bucket_of(F.lit(email), self.buckets)).first()[0]
         return self.read(buckets=[int(b)]).where(qcol(S.EMAIL) == F.lit(email)).limit(1)
 
-    # ------------------------------------------------------------- write
-    def commit(self, state: DataFrame, version: int | None = None, max_sn: int | None = None,
-               buckets: list[int] | None = None, tag: str | None = None) -> int:
-        """Publish ``state`` as a new version.
-
-        ``tag`` names what the version came from (a micro-batch); it is
-        published in the same log row, see :meth:`version_of`.
+    def commit(self, state: DataFrame, buckets: list[int] | None = None) -> None:
+        """Replace the listed buckets by the rows of ``state``, which fall into them only.
 
-        ``buckets=None``: ``state`` is the whole table. Otherwise ``state``
-        holds exactly the rows of the listed buckets (as produced by an
-        upsert over :meth:`read` of those buckets) and the other buckets are
-        carried over. Rows are clustered by e-mail inside each bucket file so
-        lookups skip row groups by their min/max statistics. Replaying an
-        already published version is a no-op.
+        ``buckets=None``: ``state`` is the whole table and replaces what is
+        there, which it must not be read from. Rows are ordered by e-mail
+        inside a bucket's files.
         """
-        known = self.versions()
-        v = (max(known) if known else 0) + 1 if version is None else version
-        if v in known:
-            return v
         spread_over = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        n_touched = self.buckets if buckets is None else max(1, len(buckets))
-        salt = F.pmod(F.xxhash64(qcol(S.EMAIL), F.lit("salt")), F.lit(max(1, spread_over // n_touched)))
-        out = state.withColumn(BUCKET, bucket_of(qcol(S.EMAIL), self.buckets))
-        # each bucket spread over several tasks (rows are unique per e-mail,
-        # so buckets are even; the salt keeps one bucket off one task)
-        out.repartition(spread_over, BUCKET, salt).sortWithinPartitions(BUCKET, qcol(S.EMAIL)) \
-            .write.options(**EMAIL_FILTER).mode("overwrite").partitionBy(BUCKET).parquet(self.path(v))
-        fs, p = self._hadoop(self.path(v))
-        names = [x.getPath().getName() for x in fs.listStatus(p)]  # one folder per bucket
-        written = {int(m.group(1)) for m in (re.fullmatch(rf"{BUCKET}=(\d+)", x) for x in names) if m}
-        man = self.manifest() if buckets is not None else [-1] * self.buckets
-        for b in (range(self.buckets) if buckets is None else buckets):
-            man[b] = v if b in written else -1
-        if max_sn is None:
-            prev = self.max_sn() if buckets is not None else None
-            top = state.agg(F.max(qcol(S.SN))).first()[0]
-            max_sn = max(x for x in (prev, top) if x is not None) if (prev or top) else None
-        self.spark.createDataFrame([(v, max_sn, man, tag)],
-                                   "version long, max_sn long, manifest array<long>, tag string") \
-            .coalesce(1).write.mode("append").parquet(self._log)
-        return v
-
-    # ------------------------------------------------------------- housekeeping
-    def vacuum(self, keep_last: int = 2) -> list[int]:
-        """Delete version folders that none of the last ``keep_last``
-        versions' manifests refer to; returns the deleted versions. Older
-        versions can no longer be read afterwards. Uses the Hadoop
-        FileSystem of the store's path, so it works on any store URI."""
-        if keep_last < 1:
-            raise ValueError("keep_last must be >= 1")
-        versions = self.versions()
-        kept = versions[-keep_last:]
-        needed = set(kept)
-        for v in kept:
-            needed |= {int(x) for x in self.manifest(v) if x >= 0}
-        doomed = [v for v in versions if v not in needed]
-        for v in doomed:
-            fs, p = self._hadoop(self.path(v))
-            if fs.exists(p):
-                fs.delete(p, True)
-        return doomed
+        salts = max(1, spread_over // (self.buckets if buckets is None else max(1, len(buckets))))
+        salt = F.pmod(F.xxhash64(qcol(S.EMAIL), F.lit("salt")), F.lit(salts))
+        out = state.withColumn(BUCKETS, F.lit(self.buckets)).withColumn(BUCKET, bucket_of(qcol(S.EMAIL), self.buckets))
+        # e-mails are unique, so buckets are even; the salt keeps one bucket off one task
+        (out.repartition(spread_over, BUCKET, salt).sortWithinPartitions(BUCKET, qcol(S.EMAIL))
+         .write.options(**EMAIL_FILTER).option("partitionOverwriteMode", "static" if buckets is None else "dynamic")
+         .mode("overwrite").partitionBy(BUCKETS, BUCKET).parquet(self.root))

@@ -1,11 +1,9 @@
 """Incremental upsert as a Structured Streaming job.
 
 New contact files arrive in a folder; every micro-batch is upserted into
-the snapshot store with ``foreachBatch``. The version's log row names the
-micro-batch that it came from, so one that is re-run after a failure (same
-``batchId``) is recognised and not applied twice; replaying the same records in
-a later batch is harmless as well, because the upsert then reports ``skip`` for
-all of them.
+the stored table with ``foreachBatch``. Replaying a batch changes nothing: the
+upsert skips records that bring nothing new. The outcomes of a batch are kept
+as its first run that ended wrote them.
 """
 
 from __future__ import annotations
@@ -24,34 +22,36 @@ from ..sources.store import TruthStore
 
 
 def batch_tag(stream: str, batch_id: int) -> str:
-    """Name of a micro-batch in the store's log. A stream is identified by its
+    """Name of a micro-batch's outcomes. A stream is identified by its
     checkpoint location, since batch ids restart with a new checkpoint."""
     return f"{hashlib.sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
 
 
 def apply_batch(store: TruthStore, batch: DataFrame, batch_id: int, now: str | None = None,
-                order_cols: list[str] | None = None, stream: str = "", **upsert_kw) -> int | None:
-    """Upsert one micro-batch; returns the published version (None when the
-    batch was already applied or empty).
+                order_cols: list[str] | None = None, stream: str = "", **upsert_kw) -> bool:
+    """Upsert one micro-batch; whether it brought anything that wasn't there.
 
-    Outcomes are written first, to a folder named after the batch that a
-    retry overwrites; the version is then published together with the
-    batch's tag in one log row. So a crash before the log row leaves nothing
-    behind that counts, and one after it is recognised by the tag.
+    Outcomes are written first, to a folder named after the batch, then the
+    touched buckets. After a crash between the two the batch is applied with
+    the same outcomes; after one that came later everything is skipped, and
+    the outcomes of the first run stay.
     """
     tag = batch_tag(stream, batch_id)
-    if store.version_of(tag) is not None or batch.isEmpty():
-        return None
+    if batch.isEmpty():
+        return False
     if "_row_id" not in batch.columns:
         if not order_cols:
             raise ValueError("a stream without _row_id needs order_cols: which record comes first decides")
         batch = with_index(batch, order_cols, name="_row_id")
     touched = store.touched_buckets(batch) if S.EMAIL in batch.columns else []
     res = upsert(store.read(buckets=touched), batch, now=now, max_sn=store.max_sn(), **upsert_kw)
-    res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
-        .parquet(f"{store.root}/_outcomes/batch={tag}")
-    return store.commit(res.state, max_sn=res.max_sn, buckets=touched, tag=tag) if touched \
-        else store.current_version()
+    outcomes, path = res.outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{store.root}/_outcomes/batch={tag}"
+    new = not outcomes.where(F.col("action").isin("insert", "update")).isEmpty()
+    # a run that changes nothing may be the replay of one that did: it doesn't replace what that one wrote
+    outcomes.write.mode("overwrite" if new else "ignore").parquet(path)
+    if new:
+        store.commit(res.state, buckets=touched)
+    return new
 
 
 def upsert_stream(stream: DataFrame, store: TruthStore, checkpoint: str, now: str | None = None,

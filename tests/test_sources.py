@@ -90,45 +90,69 @@ def test_csv_input_order(spark, tmpdir_path):
     assert got == [str(i) for i in range(50)] + [str(100 + i) for i in range(50)]
 
 
-def test_truth_store_versions(spark, tmpdir_path):
+def test_truth_store_replaces_the_whole_table(spark, tmpdir_path):
     store = TruthStore(spark, f"{tmpdir_path}/truth")
-    assert store.read().count() == 0 and store.current_version() is None
+    assert store.read().count() == 0 and store.max_sn() is None
     t = empty_truth(spark)
     row = spark.createDataFrame([tuple([1] + [None] * 13 + ["a@x.com"] + [None] * 6 + ["t", "No"])], t.schema)
-    v1 = store.commit(t.unionByName(row))
-    assert v1 == 1 and store.lookup("a@x.com").count() == 1
-    assert store.commit(t, version=1) == 1  # replay of a published version is a no-op
-    assert store.read().count() == 1
-    v2 = store.commit(t)
-    assert v2 == 2 and store.read().count() == 0 and store.read(1).count() == 1
+    for _ in range(2):  # a replay changes nothing
+        store.commit(t.unionByName(row))
+        assert store.lookup("a@x.com").count() == 1 and store.read().count() == 1
+        assert store.read().columns == t.columns
+    store.commit(t)
+    assert store.read().count() == 0 and store.lookup("a@x.com").count() == 0
+
+
+def bucket_files(store):
+    import glob
+
+    return {int(f.split("/_bucket=")[1].split("/")[0]): f for f in glob.glob(f"{store.root}/_buckets=*/_bucket=*/*.parquet")}
 
 
 def test_bucketed_incremental_commit(spark, tmpdir_path):
     from contactlake.operators.upsert import upsert
-    from contactlake.sources.store import BUCKET, bucket_of
 
     store = TruthStore(spark, f"{tmpdir_path}/bk", buckets=8)
     schema = f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string"
     first = spark.createDataFrame([(i, f"u{i}@x.com", f"F{i}") for i in range(40)], schema)
-    res = upsert(store.read(), first, now="t1")
-    v1 = store.commit(res.state, max_sn=res.max_sn)
-    assert store.max_sn() == 40 and sorted(store.manifest()) == [v1] * 8
+    store.commit(upsert(store.read(), first, now="t1").state)
+    assert store.max_sn() == 40
+    old = bucket_files(store)
+    assert sorted(old) == list(range(8))
     second = spark.createDataFrame([(100, "u3@x.com", "X"), (101, "new@x.com", "N")], schema)
     touched = store.touched_buckets(second)
     assert 1 <= len(touched) <= 2
     res2 = upsert(store.read(buckets=touched), second, now="t2", max_sn=store.max_sn())
-    v2 = store.commit(res2.state, max_sn=res2.max_sn, buckets=touched)
-    man = store.manifest()
-    assert {b for b, v in enumerate(man) if v == v2} == set(touched)
-    assert all(v == v1 for b, v in enumerate(man) if b not in touched)
-    written = {int(f.split(f"{BUCKET}=")[1].split("/")[0]) for f in spark.read.parquet(store.path(v2)).inputFiles()}
-    assert written == set(touched)
+    store.commit(res2.state, buckets=touched)
+    new = bucket_files(store)
+    assert {b for b in new if new[b] != old[b]} == set(touched) and sorted(new) == list(range(8))
     rows = {r[S.EMAIL]: r for r in store.read().collect()}
     assert len(rows) == 41 and rows["new@x.com"][S.SN] == 41 and rows["u3@x.com"][S.FIRST] == "F3"
     assert store.max_sn() == 41
-    assert store.lookup("new@x.com").first()[S.FIRST] == "N"
-    b = spark.range(1).select(bucket_of(F.lit("u5@x.com"), 8)).first()[0]
-    assert store.lookup("u5@x.com").first()[S.SN] == 6 and 0 <= b < 8
+    listed = store.read(buckets=touched)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in listed and "_bucket" in listed
+
+
+def test_a_batch_applied_in_part_is_made_whole_by_a_replay(spark, tmpdir_path):
+    from contactlake.operators.upsert import upsert
+
+    store = TruthStore(spark, f"{tmpdir_path}/part", buckets=8)
+    schema = f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string"
+    store.commit(upsert(store.read(), spark.createDataFrame([(i, f"u{i}@x.com", "") for i in range(40)], schema), now="t1").state)
+    batch = spark.createDataFrame([(i, f"u{i}@x.com", f"F{i}") for i in range(45)], schema)
+    touched = store.touched_buckets(batch)
+    res = upsert(store.read(buckets=touched), batch, now="t2", max_sn=store.max_sn())
+    state = res.state.checkpoint()
+    half = touched[: len(touched) // 2]
+    from contactlake.sources.store import bucket_of
+    from contactlake.operators.columns import qcol
+
+    store.commit(state.where(bucket_of(qcol(S.EMAIL), 8).isin(half)), buckets=half)  # as if the driver died half-way
+    again = upsert(store.read(buckets=touched), batch, now="t2", max_sn=store.max_sn())
+    store.commit(again.state, buckets=touched)
+    rows = {r[S.EMAIL]: r for r in store.read().collect()}
+    assert {e: r[S.FIRST] for e, r in rows.items()} == {f"u{i}@x.com": f"F{i}" for i in range(45)}
+    assert len({r[S.SN] for r in rows.values()}) == 45
 
 
 def test_provider_response_zip(spark, tmpdir_path):
@@ -202,23 +226,18 @@ def test_input_order_across_splits(spark, tmpdir_path):
     assert ids == list(range(8000))
 
 
-def test_vacuum_keeps_referenced_versions(spark, tmpdir_path):
+def test_a_commit_leaves_no_old_files(spark, tmpdir_path):
     from contactlake.operators.upsert import upsert
 
-    store = TruthStore(spark, f"{tmpdir_path}/vac", buckets=4)
+    store = TruthStore(spark, f"{tmpdir_path}/old", buckets=4)
     schema = f"_row_id long, `{S.EMAIL}` string, `{S.FIRST}` string"
-    res = upsert(store.read(), spark.createDataFrame([(i, f"u{i}@x.com", "A") for i in range(20)], schema), now="t")
-    store.commit(res.state, max_sn=res.max_sn)                                   # v1: all buckets
-    for k in range(3):                                                           # v2..v4: one bucket each
+    store.commit(upsert(store.read(), spark.createDataFrame([(i, f"u{i}@x.com", "A") for i in range(20)], schema), now="t").state)
+    for k in range(3):
         b = spark.createDataFrame([(100 + k, "u1@x.com", "B")], schema)
         touched = store.touched_buckets(b)
-        r = upsert(store.read(buckets=touched), b, now=f"t{k}", max_sn=store.max_sn())
-        store.commit(r.state, max_sn=r.max_sn, buckets=touched)
-    before = store.read().count()
-    deleted = store.vacuum(keep_last=1)
-    assert deleted == [2, 3]            # v1 still holds the untouched buckets, v4 is current
-    assert store.read().count() == before == 20
-    assert not os.path.exists(f"{tmpdir_path}/vac/v=2") and os.path.exists(f"{tmpdir_path}/vac/v=1")
+        store.commit(upsert(store.read(buckets=touched), b, now=f"t{k}", max_sn=store.max_sn()).state, buckets=touched)
+    assert store.read().count() == 20
+    assert not [x for x in os.listdir(store.root) if x.startswith(".spark-staging")]
 
 
 def test_input_order_survives_another_split_plan(spark, tmpdir_path):
@@ -236,7 +255,7 @@ def test_input_order_survives_another_split_plan(spark, tmpdir_path):
     assert {r["a"] for r in rows} == {str(i) for i in range(4000)}
 
 
-def test_store_keeps_its_bucket_count_and_reports_a_broken_log(spark, tmpdir_path):
+def test_store_keeps_its_bucket_count_and_reports_a_broken_file(spark, tmpdir_path):
     import glob
 
     import pytest
@@ -254,9 +273,8 @@ def test_store_keeps_its_bucket_count_and_reports_a_broken_log(spark, tmpdir_pat
     touched = again.touched_buckets(batch)
     res = upsert(again.read(buckets=touched), batch, now="n", max_sn=again.max_sn())
     assert {r["action"] for r in res.outcomes.collect()} == {"skip"}
-    for f in glob.glob(f"{tmpdir_path}/t/_log/*.parquet"):
+    for f in glob.glob(f"{tmpdir_path}/t/_buckets=16/_bucket=*/*.parquet"):
         with open(f, "wb") as out:
             out.write(b"broken")
     with pytest.raises(Exception):
-        TruthStore(spark, f"{tmpdir_path}/t").versions()
-    assert glob.glob(f"{tmpdir_path}/t/v=1/_bucket=*")
+        TruthStore(spark, f"{tmpdir_path}/t").read().count()
