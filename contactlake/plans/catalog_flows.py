@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators.columns import qcol
+from ..functions.provider import map_company
 from ..operators.enrich import request_batches
+from ..operators.keys import with_batches
 from ..operators.page_index import PageIndex
-from ..operators.search import build_filters, first_n
+from ..operators.search import build_filters, first_n, page, search_after
 from ..operators.trigram_index import TrigramIndex
+from ..operators.upsert import touched_emails, upsert
 from ..session import scratch_path
 from ..sources.files import read_contacts
+from ..sources.provider import read_pages, read_responses, zip_responses
 from ..sources.store import TruthStore
 from ..sources.workbook import NA_TOKENS, read_workbooks
 from . import oracle as O
 from .catalog import UPSERT_NOW, register
-from .catalog_more import (_RT_COLS, EXPORT_FILTERS, LOOKUP_EMAIL, _calls_sql, _na, _state_sql, contacts,
+from .catalog_more import (_RT_COLS, MAP_COMPANY_SQL, EXPORT_FILTERS, LOOKUP_EMAIL, _calls_sql, _na, _state_sql, _stored_sql, contacts,
                            stored_truth)
 from .derived import incoming_updates, raw_contacts, read_table
 from .extract_fixtures import EXTRACT_ORACLE, fallback_extractor, primary_extractor
 from .flows import (export_store, ingest_and_enrich, ingest_pages, save, search_store, store_statistics,
                     write_parts)
-from .provider_fixtures import company_callable
+from .provider_fixtures import company_callable, company_provider
 
 OTHER_PREFIXES = S.ProviderPrefixes(person="Lead Person ", company="Lead Company ")
 PAGE_SIZE, PAGE_OFFSET, PAGE_COMPANY = 50, 25, "building"
@@ -187,3 +191,69 @@ _WEB = f"trim(c.{O.q(S.WEBSITE)})"
           f"string_agg('\"' || domain || '\"', ',' ORDER BY rn) || ']}}' AS payload FROM n GROUP BY rn // 10")
 def q_company_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request_batches(contacts(spark, sf_dir), "companies")
+
+
+# ------------------------------------------------------- counters, rejected batches, stored replies and pages
+
+@register("scrape_summary", f"SELECT count(*) AS total_processed, count(*) FILTER (WHERE NOT saved) AS skipped_no_email "
+          f"FROM ({_scrape_sql()}) s")
+def q_scrape_summary(spark, sf_dir):
+    """Counters of a run with rows that have no e-mail."""
+    store = TruthStore(spark, scratch_path(spark, "scrape"))
+    run = ingest_pages(spark, read_table(spark, sf_dir, "pages"), store, partial(primary_extractor, mail=True),
+                       fallback_extractor, now=UPSERT_NOW, keep_rows_without_email=True)
+    names = ("total_processed", "skipped_no_email")
+    return spark.createDataFrame([tuple(run.summary[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+UNKNOWN_COLUMN = "Shoe Size"
+
+
+@register("upsert_reject",
+          f"WITH i AS ({O.incoming_sql()}), s AS ({_stored_sql()}) SELECT _row_id, email AS {O.q(S.EMAIL)}, CASE WHEN email IS NULL "
+          f"OR email = '' OR _row_id % 3 = 0 OR email NOT IN (SELECT email FROM s) THEN 'failed' ELSE 'skip' END AS action FROM i")
+def q_upsert_reject(spark, sf_dir):
+    """A batch with a column that the table doesn't know: nothing is written, records that bring something fail."""
+    batch = incoming_updates(spark, sf_dir).select("_row_id", qcol(S.EMAIL), F.when(F.col("_row_id") % 3 == 0, "42").otherwise(
+        "").alias(UNKNOWN_COLUMN))
+    res = upsert(stored_truth(spark, sf_dir), batch, now=UPSERT_NOW)
+    failed, skipped = (touched_emails(res, a).withColumn("action", F.lit(a)) for a in ("failed", "skip"))
+    return failed.unionByName(skipped)
+
+
+@register("stored_responses", MAP_COMPANY_SQL)
+def q_stored_responses(spark, sf_dir):
+    """Provider replies stored as JSON lines, ten matches each, read and put to their requests by batch and place."""
+    asked = with_batches(company_provider(spark, sf_dir), ["domain"], 10).withColumn("reply", F.to_json("organization"))
+    replies = asked.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "reply"))).alias("replies"))
+    line = F.concat(F.lit('{"batch_id":'), F.col("batch_id").cast("string"), F.lit(',"matches":['),
+                    F.array_join(F.transform("replies", lambda x: x["reply"]), ","), F.lit("]}"))
+    path = scratch_path(spark, "replies")
+    replies.select(line.alias("value")).write.text(path)
+    zipped = zip_responses(asked.select("domain", "batch_id", "pos"), read_responses(spark, path, "companies"))
+    return zipped.select("domain", *[v.alias(k) for k, v in map_company(F.col("match"))])
+
+
+@register("stored_pages", "SELECT page_id, url, length(html) AS n_chars, html LIKE '%</article>%' AS article FROM pages")
+def q_stored_pages(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    read_table(spark, sf_dir, "pages").write.json(path)
+    return read_pages(spark, path, "json").select("page_id", "url", F.length("html").cast("long").alias("n_chars"),
+                                                  F.col("html").contains("</article>").alias("article"))
+
+
+KEYSET_PAGE, KEYSET_SIZE = 3, 25
+
+
+@register("page_after", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{tag}' AS page, {O.q(S.SN)}, {O.q(S.EMAIL)} FROM ({_state_sql()}) s ORDER BY {O.q(S.SN)} "
+    f"LIMIT {KEYSET_SIZE} OFFSET {offset}) x"
+    for tag, offset in (("by number", (KEYSET_PAGE - 1) * KEYSET_SIZE), ("after it", KEYSET_PAGE * KEYSET_SIZE))))
+def q_page_after(spark, sf_dir):
+    """A page by its number, and the one that follows its last ``S.N.``."""
+    table = _stored_and_updated(spark, sf_dir).read()
+    third = page(table, KEYSET_PAGE, KEYSET_SIZE)
+    last = third.agg(F.max(qcol(S.SN))).first()[0]
+    both = [third.select(F.lit("by number").alias("page"), qcol(S.SN), qcol(S.EMAIL)),
+            search_after(table, None, last, KEYSET_SIZE).select(F.lit("after it").alias("page"), qcol(S.SN), qcol(S.EMAIL))]
+    return both[0].unionByName(both[1])

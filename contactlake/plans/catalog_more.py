@@ -386,8 +386,11 @@ def q_map_person(spark, sf_dir):
     return prov.select("email", *[v.alias(k) for k, v in map_person(F.col("person"))])
 
 
-@register("map_company", "SELECT domain, " + ", ".join(
-    f"{v} AS {O.q(k)}" for k, v in _org_d("o").items()) + f" FROM ({duck_sql(COMPANIES_SQL)}) o")
+MAP_COMPANY_SQL = "SELECT domain, " + ", ".join(
+    f"{v} AS {O.q(k)}" for k, v in _org_d("o").items()) + f" FROM ({duck_sql(COMPANIES_SQL)}) o"
+
+
+@register("map_company", MAP_COMPANY_SQL)
 def q_map_company(spark, sf_dir):
     prov = company_provider(spark, sf_dir)
     return prov.select("domain", *[v.alias(k) for k, v in map_company(F.col("organization"))])
