@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_shuffle, cut, mixed, ready, released, slices, stored, utf8, worker_state
+from .common import by_shuffle, cut, dropped, mixed, ready, released, slices, stored, utf8, worker_state
 from .components import components
 
 #: Words of a k-mer, hash functions, k-mers each takes.
@@ -253,7 +253,9 @@ def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
                              for x, y in zip(frame["a_words"], frame["b_words"])], bool)
             yield pd.DataFrame({"a": frame["a"][same], "b": frame["b"][same]})
 
-    return joined.select("a", "b", "a_words", "b_words").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    found = cut(joined.select("a", "b", "a_words", "b_words").mapInPandas(run, f"a {kind}, b {kind}").distinct())
+    dropped(words)
+    return found
 
 
 def _near(n: str, other: str, fifth: int):
@@ -272,15 +274,22 @@ def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"))
                .select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
     rows = mixed_.join(by_shuffle(keys), "key")
-    return rows.where("few"), cut(rows.where("NOT few").select("key", "id", "n_words", "class", "p"))
+    return rows.where("few"), cut(rows.where("NOT few").drop("main", "few"))
 
 
 def _across(rows: DataFrame, fifth: int) -> DataFrame:
-    """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key."""
+    """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key.
+
+    Where rows have the buckets that they come from, a pair has one in common.
+    """
+    within = ["buckets"] if "buckets" in rows.columns else []
     out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
-                                             F.col("class").alias("o_class"))
-    met = rows.join(by_shuffle(out), "key").where((F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
-                                      & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
+                                             F.col("class").alias("o_class"), *[F.col(c).alias(f"o_{c}") for c in within])
+    met = rows.join(by_shuffle(out), "key").where(
+        (F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
+        & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
+    if within:
+        met = met.where(F.arrays_overlap("buckets", "o_buckets"))
     return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
@@ -346,7 +355,7 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
            .join(by_shuffle(sizes.select(F.col("id").alias("star"), F.col("n_words").alias("star_words"))), "star")
            .where(_near("n_words", "star_words", fifth)))
     done = cut(met.select(F.col("star").alias("a"), F.col("id").alias("b")))
-    found = cut(_checked(done, words, fifth))
+    found = _checked(done, words, fifth)
     released(spark)
     # one class table; of the buckets that hold several classes, the rows go on
     roots = cut(components(found).withColumnRenamed("node", "id"))
@@ -355,26 +364,28 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
     pairs, many = _mixed(each, small)
     pairs, depth, rare = _across(pairs, fifth), 0, None
     released(spark)
-    buckets = many.select("id", F.col("key").alias("bucket"))
     if not many.isEmpty():
         some = words.join(by_shuffle(many.select("id").distinct()), "id", "left_semi")
         rare = stored(_rare(some, fifth), "near-rare")
-        many = many.select("id", "n_words", "class", F.lit(0).cast("long").alias("key"), "p").distinct()
+        many = many.groupBy("id", "n_words", "class", "p").agg(F.collect_set("key").alias("buckets")).withColumn(
+            "key", F.lit(0).cast("long"))
     while not many.isEmpty():
         if depth == 1:
-            split = many.join(by_shuffle(buckets), "id").withColumn("key", F.xxhash64("key", "bucket")).drop("bucket")
+            split = (many.withColumn("bucket", F.explode("buckets"))
+                     .withColumn("key", F.xxhash64("key", "bucket")).withColumn("buckets", F.array("bucket")).drop("bucket"))
         else:
             reach = F.floor(F.col("n_words") / fifth) + 1 + F.lit(max(0, depth - 1))
             next_ = F.explode_outer(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
-            split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", next_.alias("x"))
-                     .where("x IS NOT NULL")
-                     .select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class", F.col("x.p").alias("p")))
+            split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", "buckets", next_.alias("x"))
+                     .where("x IS NOT NULL").select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class",
+                                                    "buckets", F.col("x.p").alias("p")))
         depth += 1
         few, many = _mixed(cut(split), large if depth < DEEP else 1 << 62)
         pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
-    return found.unionByName(cut(_checked(pairs, words, fifth)))
+    dropped(shared, *([] if rare is None else [rare]))
+    return found.unionByName(_checked(pairs, words, fifth))
 
 
 def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int, fifth: int, large: int) -> DataFrame:
@@ -386,9 +397,12 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, kinds, small: int
     released(documents.sparkSession)
     found = links(texts.where("id IS NOT NULL").drop("sha"), small, fifth, large)
     roots = cut(components(found))
-    return (texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
-            .join(by_shuffle(roots), F.col("t_id") == F.col("node"), "left")
-            .select("t_sha", "t_id", F.coalesce("root", "t_id").alias("class_id")))
+    classes = cut(texts.select(F.col("sha").alias("t_sha"), F.col("id").alias("t_id"))
+                  .join(by_shuffle(roots), F.col("t_id") == F.col("node"), "left")
+                  .select("t_sha", "t_id", F.coalesce("root", "t_id").alias("class_id")))
+    dropped(texts)
+    released(documents.sparkSession)
+    return classes
 
 
 def _sha(text_col: str):
