@@ -21,9 +21,11 @@ pair of different classes in a bucket is decided, in one more pass:
 * Other buckets are split without loss. Similar texts have all but a fifth of
   the longer one's words in common, so of two rows of words in one order, rare
   ones first, the first fifth and one more must share a word (an occurrence of
-  it). Rows of all such buckets together go to a list for each of these words;
-  as the same texts share many buckets, that is less than each bucket's own
-  lists. Up to ``LARGE`` rows outside a list's largest class are compared
+  it), and one more for each word that is taken further. Rows of all such
+  buckets together go to a list for each of these words and ``DEEP`` more; as
+  the same texts share many buckets, that is less than each bucket's own
+  lists. Pairs that share a bucket and ``DEEP`` + 1 of the words are compared
+  (all that share one, where a list is too large). Up to ``LARGE`` rows outside a list's largest class are compared
   there; a larger list is split by the buckets that its rows come from, then
   by the next common word in the same way. What is still larger after ``DEEP``
   steps (texts of the same words in another order) is compared like a small one.
@@ -61,8 +63,8 @@ SMALL = 32
 LARGE = 512
 #: Edit distance over the longer length: one in FIFTH at most.
 FIFTH = 5
-#: Steps after which a list isn't split any more.
-DEEP = 4
+#: Words beyond the first fifth and one that lists are made of, and steps after which a list isn't split any more.
+DEEP = 12
 #: Bits of a word's hash by which occurrences are counted to order words by rarity.
 COUNTS = 18
 _BLANK = np.zeros(256, bool)
@@ -241,9 +243,6 @@ def _sketch_rows(documents: DataFrame, id_col: str, text_col: str, kinds) -> Dat
 def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
     """The links among the pairs (a, b): those whose word rows are similar."""
     kind = pairs.schema["a"].dataType.simpleString()
-    # words that no pair asks for move once only
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    words = stored(words.join(by_shuffle(ends), "id", "left_semi"), "near-words")
     joined = (pairs.join(by_shuffle(words.select(F.col("id").alias("a"), F.col("words").alias("a_words"))), "a")
               .join(by_shuffle(words.select(F.col("id").alias("b"), F.col("words").alias("b_words"))), "b"))
 
@@ -253,9 +252,7 @@ def _checked(pairs: DataFrame, words: DataFrame, fifth: int) -> DataFrame:
                              for x, y in zip(frame["a_words"], frame["b_words"])], bool)
             yield pd.DataFrame({"a": frame["a"][same], "b": frame["b"][same]})
 
-    found = cut(joined.select("a", "b", "a_words", "b_words").mapInPandas(run, f"a {kind}, b {kind}").distinct())
-    dropped(words)
-    return found
+    return cut(joined.select("a", "b", "a_words", "b_words").mapInPandas(run, f"a {kind}, b {kind}").distinct())
 
 
 def _near(n: str, other: str, fifth: int):
@@ -277,10 +274,12 @@ def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return rows.where("few"), cut(rows.where("NOT few").drop("main", "few"))
 
 
-def _across(rows: DataFrame, fifth: int) -> DataFrame:
+def _across(rows: DataFrame, fifth: int, shared: int = 1) -> DataFrame:
     """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key.
 
     Where rows have the buckets that they come from, a pair has one in common.
+    A pair is in ``shared`` keys, or in as many as similar texts of its length
+    have words in common, if that is less.
     """
     within = ["buckets"] if "buckets" in rows.columns else []
     out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
@@ -290,7 +289,10 @@ def _across(rows: DataFrame, fifth: int) -> DataFrame:
         & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
     if within:
         met = met.where(F.arrays_overlap("buckets", "o_buckets"))
-    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+    longer = F.col("longer")
+    return (met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.greatest("n_words", "o_words").alias("longer"))
+            .groupBy("a", "b").agg(F.count("*").alias("n"), F.max("longer").alias("longer"))
+            .where(F.col("n") >= F.least(F.lit(shared), longer - F.floor(longer / fifth))).select("a", "b"))
 
 
 def _frequencies(words: DataFrame) -> np.ndarray:
@@ -374,14 +376,17 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
             split = (many.withColumn("bucket", F.explode("buckets"))
                      .withColumn("key", F.xxhash64("key", "bucket")).withColumn("buckets", F.array("bucket")).drop("bucket"))
         else:
-            reach = F.floor(F.col("n_words") / fifth) + 1 + F.lit(max(0, depth - 1))
+            # the lists go DEEP words further at first, see below
+            reach = F.floor(F.col("n_words") / fifth) + 1 + F.lit(depth - 1 if depth else DEEP)
             next_ = F.explode_outer(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
             split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", "buckets", next_.alias("x"))
                      .where("x IS NOT NULL").select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class",
                                                     "buckets", F.col("x.p").alias("p")))
         depth += 1
         few, many = _mixed(cut(split), large if depth < DEEP else 1 << 62)
-        pairs = cut(pairs.unionByName(_across(few, fifth)).distinct())
+        # similar texts share one word more for each that the lists go further: where no list is left out, that many count
+        least = 1 + DEEP if depth == 1 and many.isEmpty() else 1
+        pairs = cut(pairs.unionByName(_across(few, fifth, least)).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
     dropped(shared, *([] if rare is None else [rare]))
