@@ -6,22 +6,28 @@ the rest is the inclusion probability p of one more copy. Documents of a
 source are ranked by (u / (1 - u)) / (p / (1 - p)), where u is a fixed random
 number of the document's id, and taken in that order until the size they bring
 is as near as possible to what is left of the target: a fixed-size sample with
-unequal probabilities (each source has its own p).
+unequal probabilities. As p is that of the source, all documents of one source
+have the same odds: between sources chances differ, within a source the order
+of the odds ratio falls together with the order of u, which is what is sorted.
 
 The cut-off rank is found without gathering a source in one place: sizes are
 summed by source and by one of ``BUCKETS`` ranges of u (map-side partial
 sums), a running sum over these ranges finds the range in which the target is
 met, the range is divided once more in the same way, and only the documents
-of the last range are ordered one by one. Rows meet their source's numbers by
+of the last range are ordered, rows that are alike as one entry with their
+number. If the target is met among rows that are alike, so many of them are
+taken as bring it nearest; they are counted, not gathered, and given out again
+in blocks of ``BLOCK`` rows. Rows meet their source's numbers by
 source and one of ``SALTS`` hashes of the row, with the table of sources
 repeated that often, so that a source with a third of all rows is spread over
 as many tasks.
 
 Defined cases: a null or empty text has size 0 and is taken whole (it brings
 no words); a null source is a source of its own, ordered last; repeated rows
-with the same id fall in order of size and text digest, and those that agree
-in all of these are taken or left together; an empty table gives an empty result. Extra columns are ignored
-by ``mix`` and kept by ``mixed_documents``.
+with the same id fall in order of size, text digest and (where columns are
+kept) digest of the other columns; of those that agree in all of these as many
+are taken as the target needs, no matter which; an empty table gives an empty
+result. Extra columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ SHARE = 1.5
 MOST = 2.0
 BUCKETS = 1 << 10
 SALTS = 32
+BLOCK = 1000
 SEED = "mix-1"
 _UNIT = float(1 << 52)
 
@@ -87,7 +94,8 @@ def _cut_offs(rows: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     """One row a source: whole copies, and how far the order of rank is taken.
 
     ``low`` is the share of u below which all rows are taken; ``last`` is the
-    last row taken at or above it (null: none there).
+    last rank taken at or above it (null: none there), ``n_last`` the number of
+    rows that have it and ``n_taken`` how many of them are taken.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets.select(
@@ -115,11 +123,16 @@ def _cut_offs(rows: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
                 .drop("s_source", "at"))
         plan = cut(plan)
     edge = (_with_source(rows, plan)
-            .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.lit(step))))
+            .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.lit(step)))
+            .groupBy("source", "rank", "below", "rest").agg(F.count("*").alias("n_last")))
+    size = F.col("rank.size")
     run = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    last = (edge.withColumn("sum", F.col("below") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-            .where(F.col("sum") + F.col("size") / 2 <= F.col("rest"))
-            .groupBy("source").agg(F.max("rank").alias("last")).withColumnRenamed("source", "l_source"))
+    left = F.col("rest") - F.col("below") - F.coalesce(F.sum(size * F.col("n_last")).over(run), F.lit(0))
+    # the k-th of them is taken if half of it still fits: (k - 1/2) * size <= left
+    most = F.when(size > 0, F.floor(F.col("left") / size + 0.5)).otherwise(F.when(F.col("left") >= 0, F.col("n_last")))
+    last = (edge.withColumn("left", left).withColumn("n_taken", F.least(most, F.col("n_last"))).where("n_taken > 0")
+            .groupBy("source").agg(F.max(F.struct("rank", "n_last", "n_taken")).alias("at"))
+            .select(F.col("source").alias("l_source"), F.col("at.rank").alias("last"), "at.n_last", "at.n_taken"))
     return plan.join(last, F.col("p_source").eqNullSafe(F.col("l_source")), "left").drop("l_source")
 
 
@@ -127,21 +140,36 @@ def _planned(documents: DataFrame, id_col: str, text_col: str, source_col: str,
              weights, share, most, seed, buckets) -> DataFrame:
     size = n_words(F.col(text_col))
     u = random_unit(F.col(id_col), seed)
+    others = [c for c in documents.columns if c not in (id_col, text_col, source_col)] if keep else []
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
     rank = F.struct(u.alias("u"), F.col(id_col).alias("id"), size.alias("size"),
-                    F.xxhash64(F.col(text_col)).alias("digest"))
+                    F.xxhash64(F.col(text_col)).alias("digest"), rest.alias("rest"))
     salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int").alias("salt")
     rows = cut(documents.select(F.col(source_col).alias("source"), salt, size.alias("size"), u.alias("u"),
                                 rank.alias("rank"), F.col(id_col).alias("id")))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    plan = _cut_offs(rows, cut(targets), buckets)
+    plan = cut(_cut_offs(rows, cut(targets), buckets))
     if keep:
         rows = documents.select(F.struct(*documents.columns).alias("row"), F.col(source_col).alias("source"),
                                 salt, size.alias("size"), u.alias("u"), rank.alias("rank"))
     # odds of u over odds of p rise with u inside a source, so that u's order is the order of rank
+    part = ((F.col("p") > 0) & (F.col("rank") == F.col("last")) & (F.col("n_taken") < F.col("n_last")))
     extra = F.when((F.col("p") > 0) & ((F.col("u") < F.col("low")) | F.coalesce(
         F.col("rank") <= F.col("last"), F.lit(False))), F.lit(1)).otherwise(F.lit(0))
-    return (_with_source(rows, plan, "left")
-            .withColumn("copies", (F.coalesce(F.col("whole"), F.lit(0)) + extra).cast("int")))
+    whole = F.coalesce(F.col("whole"), F.lit(0))
+    planned = _with_source(rows, plan, "left").withColumn("part", F.coalesce(part, F.lit(False)))
+    out = [c for c in planned.columns if c not in ("part", "salt", "p_salt", "rank", "last")]
+    some = plan.where("p > 0 AND n_taken < n_last")
+    if some.isEmpty():
+        return planned.select(*out, (whole + extra).cast("int").alias("copies"))
+    # rows alike of which some are taken: one row with their number, given out again in blocks
+    first = F.col("block") * F.lit(BLOCK)
+    alike = (planned.where("part").groupBy("source", "rank").agg(*[F.any_value(c).alias(c) for c in out if c != "source"])
+             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_last") - 1) / F.lit(BLOCK)))))
+             .repartition("source", "block")
+             .withColumn("k", F.explode(F.sequence(first, F.least(first + F.lit(BLOCK), F.col("n_last")) - 1))))
+    return (planned.where("NOT part").select(*out, (whole + extra).cast("int").alias("copies"))
+            .unionByName(alike.select(*out, (whole + (F.col("k") < F.col("n_taken")).cast("int")).cast("int").alias("copies"))))
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
