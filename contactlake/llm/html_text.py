@@ -3,7 +3,8 @@
 A page is read as a row of words and tags. A word scores by the block it
 stands in and by whether it is in a link, a tag scores below zero; one linear
 scan finds the contiguous part with the highest sum, which is the content
-region. The weights are log odds learned from labelled pages: pages that mark
+region. A tag's weight also goes by whether its element holds a link, so that
+lists and tables of an article don't score like menus. The weights are log odds learned from labelled pages: pages that mark
 their article themselves, of which a bounded sample (about ``SAMPLE`` pages,
 those with the smallest hashes of their id) is counted. Words of one text run
 weigh the same, so the scan goes over runs and tags. What stands in the parts
@@ -12,7 +13,11 @@ that are left out below scores nothing.
 Out of the region, what stands in elements that never belong to an article is
 left out: menus, page headers and footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by their tag or by the words of
-their class, id or role (fixed lists below). Character references are decoded,
+their class, id or role (fixed lists below): a whole word, its first or its
+last part; inside an article ``article-header`` and the like are its own parts,
+so that the words in ``OWN`` count as whole words there. Text without a link in
+a kind of block that the labelled pages don't show weighs like that of a
+paragraph. Character references are decoded,
 white space inside a block becomes one space, blocks are trimmed and joined in
 page order by one space.
 
@@ -48,7 +53,9 @@ NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcr
                   "contentinfo cookie cookies dialog disclaimer disqus footer header masthead menu modal nav navbar "
                   "navigation newsletter notice notices popup promo related respond share sharing sidebar skip social "
                   "sponsor sponsored subscribe toolbar widget".split())
+OWN = frozenset("header footer masthead banner".split())
 NEVER = frozenset(("html", "body", "main", "article"))
+CONTENT = frozenset("caption col colgroup dd dl dt figcaption figure h4 h5 h6 hr li ol table tbody tfoot th thead tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main nav ol p pre section table ul".split())
 SIBLINGS = frozenset("li dt dd tr td th option".split())
@@ -62,13 +69,13 @@ _DEFAULT = {"body": 0.3, "div": 0.3, "section": 0.3, "td": 0.3, "p": 1.0, "h1":
 _TAG_DEFAULT, _INSIDE_DEFAULT, _WORD_DEFAULT, _MOST = -0.5, -0.05, -1.0, 4.0
 
 
-def _named_outside(name: str, attributes: str) -> bool:
+def _named_outside(name: str, attributes: str, article: bool) -> bool:
     if name in NEVER:
         return False
     for match in _ATTRIBUTE.finditer(attributes):
         for word in (match[1] or match[2] or match[3] or "").lower().split():
             parts = _PART.split(word)
-            if word in NAMES or parts[0] in NAMES or parts[-1] in NAMES:
+            if word in NAMES or any(x in NAMES and not (article and x in OWN) for x in (parts[0], parts[-1])):
                 return True
     return False
 
@@ -76,12 +83,13 @@ def _named_outside(name: str, attributes: str) -> bool:
 def parse(page: str) -> list[tuple]:
     """Rows of the page: (kind, value, outside, in an article).
 
-    kind is None for a tag (value: its name, with a slash if it closes), else
-    the context of a text run (value: the run).
+    kind is None for a tag (value: its name, with a slash if it closes, with
+    ``+a`` if its element holds a link), else the context of a text run (value:
+    the run).
     """
     out, at = [], 0
-    #: open elements: name, outside so far, in an article so far, nearest block, in a link
-    stack = [("", False, False, "body", False)]
+    #: open elements: name, outside so far, in an article so far, nearest block, in a link, their row
+    stack = [("", False, False, "body", False, -1)]
     opened: Counter = Counter()
 
     def close(n: int):
@@ -90,7 +98,7 @@ def parse(page: str) -> list[tuple]:
         del stack[n:]
 
     def text(run: str):
-        _, outside, article, block, link = stack[-1]
+        _, outside, article, block, link, _ = stack[-1]
         if run:
             out.append((block + ("+a" if link else ""), run, outside, article))
 
@@ -108,8 +116,11 @@ def parse(page: str) -> list[tuple]:
                 n = len(stack) - 1
                 while stack[n][0] != name:
                     n -= 1
+                _, tag, outside, _ = out[stack[n][5]]
                 close(n)
-            out.append((None, "/" + name, stack[-1][1], stack[-1][2]))
+            else:
+                tag, outside = name, stack[-1][1]
+            out.append((None, "/" + tag, outside, stack[-1][2]))
             continue
         if name in CLOSES_P and opened["p"]:
             n = len(stack) - 1
@@ -119,9 +130,14 @@ def parse(page: str) -> list[tuple]:
                 close(n)
         elif name in SIBLINGS and stack[-1][0] == name:
             close(len(stack) - 1)
-        _, outside, article, block, link = stack[-1]
+        _, outside, article, block, link, _ = stack[-1]
+        if name == "a":  # what is open and not marked yet is innermost
+            for x in reversed(stack):
+                if x[5] < 0 or out[x[5]][1].endswith("+a"):
+                    break
+                out[x[5]] = (None, x[0] + "+a", *out[x[5]][2:])
         outside = (outside or name in OUTSIDE or name == "header" and not article
-                   or bool(match[3]) and _named_outside(name, match[3]))
+                   or bool(match[3]) and _named_outside(name, match[3], article))
         out.append((None, name, outside, article))
         if name in RAW:
             end = _RAW_END[name].search(page, at)
@@ -129,7 +145,7 @@ def parse(page: str) -> list[tuple]:
         elif name not in VOID and not match[3].endswith("/"):
             opened[name] += 1
             stack.append((name, outside, article or name == "article",
-                          block if name in INLINE else name, link or name == "a"))
+                          block if name in INLINE else name, link or name == "a", len(out) - 1))
     text(page[at:])
     return out
 
@@ -168,9 +184,11 @@ def region(rows: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
             continue
         if kind is None:
             name = value.lstrip("/")
-            total += weights.get("<" + value, _INSIDE_DEFAULT if name in INLINE or name in _DEFAULT else _TAG_DEFAULT)
+            total += weights.get("<" + value, _INSIDE_DEFAULT if name.removesuffix("+a") in INLINE or name in _DEFAULT
+                                 or name in CONTENT else _TAG_DEFAULT)
         else:
-            total += weights.get(kind, _DEFAULT.get(kind, _WORD_DEFAULT)) * len(value.split())
+            plain = _WORD_DEFAULT if kind.endswith("+a") else max(weights.get("p", _DEFAULT["p"]), _DEFAULT["div"])
+            total += weights.get(kind, _DEFAULT.get(kind, plain)) * len(value.split())
         if total <= 0:
             total, first = 0.0, i + 1
         elif total > best:
@@ -189,7 +207,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if kind is None:
             if value == "br":
                 run.append(" ")
-            elif value.lstrip("/") not in INLINE:
+            elif value.lstrip("/").removesuffix("+a") not in INLINE:
                 blocks.append("".join(run))
                 run = []
         elif not outside:

@@ -150,6 +150,26 @@ def test_mixing_takes_about_the_target(spark):
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 30
 
 
+def test_mixing_takes_a_part_of_repeated_rows(spark):
+    rows = [(i, "a", "w " * 100, i) for i in range(80)] + [(1000, "a", "w " * 100, 7)] * 3000
+    rows += [(2000 + i, "b", "w " * 10, None) for i in range(20)] + [(3000, None, None, 1)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, k long").repartition(4)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source, size in (("a", 100), ("b", 10)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= size / 2
+        assert all(r["copies"] <= 2 for r in own)
+    repeated = [r["copies"] for r in got if r["doc_id"] == 1000]
+    assert len(repeated) == 3000 and len(set(repeated)) == 2
+    count = lambda xs: sorted((k, xs.count(k)) for k in set(xs))
+    want = count([r["doc_id"] for r in got for _ in range(r["copies"])])
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == docs.columns
+    assert count([r["doc_id"] for r in kept.collect()]) == want
+    assert {(r["doc_id"], r["k"]) for r in kept.collect()} <= {(r[0], r[3]) for r in rows}
+
+
 def test_mixing_of_a_hot_null_source_without_broadcasts(spark):
     rows = [(i % 400, None if i % 3 else "a", "w " * (i % 9)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")

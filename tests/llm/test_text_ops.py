@@ -114,7 +114,7 @@ def test_code_lengths_match_a_slow_coder(spark):
                 for n in range(4):
                     counts[n][raw[at - n:at]][raw[at]] += 1
         for i, t in enumerate(data):
-            assert got[i, k] == pytest.approx(slow_length(t.decode(), counts), abs=1e-3)
+            assert got[i, k] == pytest.approx(slow_length(t.decode(), counts), abs=0.03)
 
 
 def test_language_is_right_on_held_out_documents(spark):
@@ -164,6 +164,50 @@ def test_long_parts_left_out_do_not_cut_the_article():
     assert html_text.main_text(page, html_text.weights_of(html_text.observe(page))) == want
 
 
+def _generated_page(rng, rich):
+    """A page with an article of known text, among menus, notices and adverts."""
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta omega sigma kappa".split()) for _ in range(n))
+    parts, want = [], []
+
+    def block(shape, *texts):
+        parts.append(shape.format(*texts))
+        want.extend(texts)
+
+    block("<header class='article-header'><h1>{}</h1><p class=lead>{}</p></header>" if rich else "<h1>{}</h1><p>{}</p>",
+          words(6), words(20))
+    block("<p>{}</p>", words(120))
+    for _ in range(rng.randrange(2, 6)):
+        kind = rng.randrange(6) if rich else 5
+        if kind == 0:
+            block("<ul><li>{}</li>\n<li>{}<li>{}</ul>", words(3), words(9), words(2))
+        elif kind == 1:
+            block("<table><thead><tr><th>{}<th>{}</tr></thead><tr><td>{}</td><td>{}</td></tr></table>",
+                  words(1), words(2), words(1), words(4))
+        elif kind == 2:
+            block("<figure><img src=x><figcaption>{}</figcaption></figure>", words(7))
+        elif kind == 3:
+            block("<blockquote><p>{}</p></blockquote><dl><dt>{}<dd>{}</dl>", words(15), words(1), words(5))
+        elif kind == 4:
+            parts.append("<div class='share-box'><a href=/s>Share this</a></div><aside>See also</aside>")
+        else:
+            block("<p>{}</p>", words(rng.randrange(5, 50)))
+    block("<div class='entry-footer'>{}</div>" if rich else "<p>{}</p>", words(12))
+    menu = "".join(f"<li><a href=/m{k}>Menu entry {k}</a></li>" for k in range(rng.randrange(2, 9)))
+    return (f"<html><head><title>t</title></head><body><header><a href=/>Site</a></header><ul>{menu}</ul><div class=ad>Buy now</div>"
+            f"<article>{''.join(parts)}</article><ul>{menu}</ul><div id=comments><p>{words(40)}</p></div>"
+            f"<footer>&copy; all</footer></body></html>", " ".join(want))
+
+
+def test_whole_article_of_generated_pages():
+    rng = random.Random(8)
+    learned = sum((html_text.observe(_generated_page(rng, False)[0]) for _ in range(50)), Counter())
+    weights = html_text.weights_of(learned)  # from pages that have lists in menus only
+    for rich in (False, True):
+        for _ in range(100):
+            page, want = _generated_page(rng, rich)
+            assert html_text.main_text(page, weights) == want
+
+
 def test_scan_finds_the_best_region():
     random.seed(3)
     for _ in range(200):
@@ -229,6 +273,24 @@ def test_scores_match_power_iteration(spark):
         assert [got[h][k] for h in hosts] == pytest.approx(list(x * len(hosts)))
 
 
+def test_scores_flow_along_a_long_chain(spark):
+    n = 30
+    edges = spark.createDataFrame([(f"h{k:02}", f"h{k + 1:02}", 1) for k in range(n - 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h00", 1.0, 0.0), (f"h{n - 1}", 0.0, 1.0)], "host string, good double, bad double")
+    got = {r["host"]: r for r in url_filter.host_scores(edges, seeds, tolerance=1e-4).collect()}
+    share = 0.85 ** np.arange(n) * 0.15 / (1 - 0.85 ** n)  # what the last host holds returns to the seed
+    assert [got[f"h{k:02}"]["trust"] for k in range(n)] == pytest.approx(list(share * n), abs=0.03)
+    assert [got[f"h{n - 1 - k:02}"]["distrust"] for k in range(n)] == pytest.approx(list(share * n), abs=0.03)
+
+
+def test_links_are_those_of_anchors_only(spark):
+    page = ("<link href='http://a.net/x'><!-- <a href=http://b.net/>x</a> --><script>s='<a href=\"http://c.net/\">'</script>"
+            "<a class=x href='//D.net/1'>y</a><A HREF=https://e.net>z</A><area href=\"http://e.net/2\"><a data-href=http://f.net/>")
+    rows = spark.createDataFrame([("http://me.net/", page), (None, page), ("http://me.net/2", None)], "url string, html string")
+    assert {(r["src"], r["dst"], r["n"]) for r in url_filter.host_edges(rows).collect()} == {
+        ("me.net", "d.net", 1), ("me.net", "e.net", 2)}
+
+
 def test_a_host_that_links_to_blocked_hosts_is_blocked(spark):
     rows = [(1, "http://bad.com/de/1", None)]
     rows += [(k, f"http://feeder.net/p{k}", "<a href='http://bad.com/de/1'>x</a>") for k in range(2, 5)]
