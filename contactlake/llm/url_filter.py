@@ -134,7 +134,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     seeds = judged.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce(F.col("by.verdict"), F.lit("")) == "allow").cast("double")).alias("good"),
         F.avg((F.coalesce(F.col("by.verdict"), F.lit("")) == "block").cast("double")).alias("bad"))
-    scores = host_scores(host_edges(pages, url_col, html_col), cut(seeds), damping, rounds)
+    scores = host_scores(cut(host_edges(pages, url_col, html_col)), cut(seeds), damping, rounds)
     bad = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce(F.col("by.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return (judged.join(scores.withColumnRenamed("host", "s_host"), F.col("host") == F.col("s_host"), "left")
