@@ -36,6 +36,7 @@ from ..functions.text import has_value, is_blank, py_strip
 from ..functions.url import extract_domain
 from .columns import qcol
 from ..session import ship_package
+from ..sources.replies import ReplyLedger, request_digest
 from .normalize import has_people_identifier
 
 ROW_ID = "_row_id"
@@ -172,6 +173,17 @@ def _batched_calls(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_s
     return rows.mapInPandas(run, f"{key} {kind}, match string, err string")
 
 
+def _replies(rows: DataFrame, fn, endpoint: str, payload_key: str, batch_size: int, policy: RetryPolicy,
+             parallelism: int | None, ledger: ReplyLedger | None, key: str = ROW_ID, unwrap: bool = False) -> DataFrame:
+    """``_batched_calls``; with a ledger only for the distinct requests that it has no answer to."""
+    if ledger is None:
+        return _batched_calls(rows, fn, endpoint, payload_key, batch_size, policy, parallelism, key, unwrap)
+    rows = rows.withColumn("digest", request_digest(endpoint, F.col("req")))
+    answers = ledger.answer(endpoint, rows, lambda unanswered: _batched_calls(
+        unanswered, fn, endpoint, payload_key, batch_size, policy, parallelism, "digest", unwrap))
+    return rows.join(answers, "digest").select(key, "match", "err")
+
+
 # ---------------------------------------------------------------- stages
 
 FLAGS = ("__sent", "__people_ok", "__org_ok", "__no_domain")
@@ -201,8 +213,8 @@ def _unmatched_key(prefix: str) -> Column:
     return F.concat(F.lit(prefix), qcol(ROW_ID).cast("string"))
 
 
-def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                    parallelism: int | None, unique: bool = False) -> tuple[DataFrame, str]:
+def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy, parallelism: int | None,
+                    unique: bool = False, ledger: ReplyLedger | None = None) -> tuple[DataFrame, str]:
     """Person matches for records with an identifier; (frame, join column)."""
     sent = has_people_identifier(df)
     if isinstance(provider, DataFrame):
@@ -214,13 +226,13 @@ def _people_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolic
         return prov.select("__key", F.col("person").alias("__person"),
                            F.lit(None).cast("string").alias("__perr")), "__key"
     rows = df.where(sent).select(qcol(ROW_ID).alias(ROW_ID), F.to_json(people_request_col(df)).alias("req"))
-    calls = _batched_calls(rows, provider, PEOPLE_ENDPOINT, "details", batch_size, policy, parallelism)
+    calls = _replies(rows, provider, PEOPLE_ENDPOINT, "details", batch_size, policy, parallelism, ledger)
     return calls.select(ROW_ID, F.from_json("match", PERSON_SCHEMA).alias("__person"),
                         F.col("err").alias("__perr")), ROW_ID
 
 
-def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
-                 parallelism: int | None, unique: bool = False) -> DataFrame:
+def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy, parallelism: int | None,
+                 unique: bool = False, ledger: ReplyLedger | None = None) -> DataFrame:
     """Organisation matches by ``__domain``."""
     if isinstance(provider, DataFrame):
         prov = provider.select(F.lower(F.col("domain")).alias("__domain"), F.col("organization"))
@@ -228,8 +240,8 @@ def _org_matches(df: DataFrame, provider, batch_size: int, policy: RetryPolicy,
         return prov.select("__domain", F.col("organization").alias("__org"),
                            F.lit(None).cast("string").alias("__oerr"))
     asked = df.select(org_domain_col(df).alias("__domain")).where("__domain IS NOT NULL").distinct()
-    calls = _batched_calls(asked.select("__domain", F.to_json(F.array("__domain")).alias("req")), provider,
-                           ORG_ENDPOINT, "domains", batch_size, policy, parallelism, key="__domain", unwrap=True)
+    calls = _replies(asked.select("__domain", F.to_json(F.array("__domain")).alias("req")), provider,
+                     ORG_ENDPOINT, "domains", batch_size, policy, parallelism, ledger, key="__domain", unwrap=True)
     return calls.select("__domain", F.from_json("match", ORG_SCHEMA).alias("__org"), F.col("err").alias("__oerr"))
 
 
@@ -237,11 +249,14 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
                    enrich_people: bool = True, enrich_companies: bool = True,
                    prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES,
                    batch_size: int = S.MAX_PROVIDER_BATCH, policy: RetryPolicy | None = None,
-                   parallelism: int | None = None, provider_unique: bool = False) -> Enriched:
+                   parallelism: int | None = None, provider_unique: bool = False,
+                   ledger: ReplyLedger | None = None) -> Enriched:
     """Enrich contact rows (with ``_row_id``) by people and/or companies.
 
     ``provider_unique=True`` declares provider tables unique on their key,
-    which skips the per-key pick (an aggregation) before the join.
+    which skips the per-key pick (an aggregation) before the join. With a
+    ``ledger``, callable providers are asked at once, and only what it has no
+    answer to.
 
     Without any provider the frame is returned unchanged. Records without
     a people identifier get ``Skipped (no identifier for matching)``. New
@@ -261,7 +276,7 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
     emb_cols: list[tuple[str, Column]] = []
     org_cols: list[tuple[str, Column]] = []
     if do_people:
-        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, provider_unique)
+        pm, key = _people_matches(df, people_provider, batch_size, policy, parallelism, provider_unique, ledger)
         if key == "__key":
             k = F.when(has_people_identifier(df), request_key(people_request_col(df)))
             out = out.withColumn("__key", F.coalesce(k, _unmatched_key("\u0000"))).join(pm, "__key", "left")
@@ -270,7 +285,7 @@ def enrich_records(df: DataFrame, people_provider=None, company_provider=None,
         person_cols = map_person(F.col("__person"), PERSON_SCHEMA, prefixes)
         emb_cols = map_company(F.col("__person")["organization"], ORG_SCHEMA, prefixes)
     if do_orgs:
-        om = _org_matches(df, company_provider, batch_size, policy, parallelism, provider_unique)
+        om = _org_matches(df, company_provider, batch_size, policy, parallelism, provider_unique, ledger)
         dom = F.coalesce(org_domain_col(df), _unmatched_key("\u0000"))
         out = out.withColumn("__domain", dom).join(om, "__domain", "left")
         org_cols = map_company(F.col("__org"), ORG_SCHEMA, prefixes)

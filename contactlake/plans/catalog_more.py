@@ -612,3 +612,17 @@ def q_enrich_people_calls(spark, sf_dir):
 @register("enrich_companies_calls", _calls_sql("companies"))
 def q_enrich_companies_calls(spark, sf_dir):
     return enrich_records(contacts(spark, sf_dir), None, company_callable).frame
+
+
+@register("enrich_ledger", f"SELECT x.*, count(*) OVER () AS asked_first, CAST(0 AS BIGINT) AS asked_again FROM ({_calls_sql('people')}) x")
+def q_enrich_ledger(spark, sf_dir):
+    """Enrichment run twice with a ledger: the second run takes all replies from it."""
+    from ..sources.replies import ReplyLedger
+
+    ledger = ReplyLedger(spark, scratch_path(spark, "replies"))
+    rows = contacts(spark, sf_dir)
+    enrich_records(rows, people_callable, None, ledger=ledger)
+    first = ledger.read().count()
+    frame = enrich_records(rows, people_callable, None, ledger=ledger).frame
+    again = ledger.read().count() - first
+    return frame.withColumn("asked_first", F.lit(first).cast("long")).withColumn("asked_again", F.lit(again).cast("long"))

@@ -171,7 +171,7 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
                  people_provider=None, company_provider=None, enrich_people: bool = True,
                  enrich_companies: bool = True, now: str | None = None,
                  keep_rows_without_email: bool | None = None,
-                 prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES) -> RunResult:
+                 prefixes: S.ProviderPrefixes = S.DEFAULT_PREFIXES, **kw) -> RunResult:
     """Scrape flow over stored pages. ``saved`` and ``skipped`` of the result
     are the display rows with and without an e-mail."""
     summary = {"total_processed": 0, "new_inserts": 0, "updates": 0, "failed": 0,
@@ -188,7 +188,8 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, store: TruthStore, prima
     if summary["total_processed"] == 0:
         return RunResult(summary)
     if (enrich_people and people_provider is not None) or (enrich_companies and company_provider is not None):
-        e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies, prefixes=prefixes)
+        e = enrich_records(rows, people_provider, company_provider, enrich_people, enrich_companies,
+                           prefixes=prefixes, **kw)
         full = e.full.checkpoint(eager=True)
         c = full.agg(F.count_if(F.col("__people_ok")).alias("p"), F.count_if(F.col("__org_ok")).alias("o")).first()
         summary.update(people_enriched=c["p"], orgs_enriched=c["o"])

@@ -144,16 +144,16 @@ class WorkbookRead:
         self.warnings = warnings
 
 
-def read_workbooks(spark: SparkSession, path: str, max_file_mb: float = 50.0,
+def read_workbooks(spark: SparkSession, path: str, max_file_mb: float | None = None,
                    max_rows: int = 0) -> WorkbookRead:
     """Read the first sheet of every ``*.xlsx`` under ``path``.
 
-    Raises ``ValueError`` for a file over ``max_file_mb`` (checked on the
-    listed length, before parsing) or a sheet over ``max_rows`` data rows
+    Raises ``ValueError`` for a file over ``max_file_mb`` (if given; checked on
+    the listed length, before parsing) or a sheet over ``max_rows`` data rows
     (0 = unlimited).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    too_big = files.where(F.col("length") > F.lit(int(max_file_mb * 1024 * 1024))).select(
+    too_big = [] if max_file_mb is None else files.where(F.col("length") > F.lit(int(max_file_mb * 1024 * 1024))).select(
         "path", "length").limit(1).collect()
     if too_big:
         mb = too_big[0]["length"] / (1024 * 1024)

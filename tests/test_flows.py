@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from contactlake import schema as S
-from contactlake.operators.enrich import ProviderError, RetryPolicy, call_with_retry
+from contactlake.operators.enrich import ProviderError, RetryPolicy, call_with_retry, enrich_records
 from contactlake.plans.flows import ingest_and_enrich, ingest_base, saved_and_skipped
 from contactlake.sources.store import TruthStore
 from contactlake.sources.workbook import build_xlsx
@@ -214,3 +214,36 @@ def test_prefixes_hold_through_the_flow(spark, tmpdir_path):
     r = ingest_and_enrich(spark, rows, store, people, None, enrich_companies=False, now=NOW, prefixes=prefixes)
     assert r.cause is None and r.summary["new_inserts"] == 1 and r.summary["failed"] == 0
     assert store.read().first()["X Person: Seniority"] == "chief"
+
+
+def test_ledger_asks_only_what_is_unanswered(spark, tmpdir_path):
+    from contactlake.operators.enrich import ORG_ENDPOINT, PEOPLE_ENDPOINT
+    from contactlake.sources.replies import ReplyLedger
+
+    def provider(endpoint, payload, timeout):
+        if any("bad" in str(x) for x in payload.get("details", [])):
+            raise ProviderError("refused", 422)
+        return {"matches": [None if "none" in str(x) else {"title": "Lead " + x.get("email", "")} for x in payload["details"]]}
+
+    def orgs(endpoint, payload, timeout):
+        return {"matches": [{"name": "Org " + x} for x in payload["domains"]]}
+
+    def run(emails):
+        rows = spark.createDataFrame([(i, e, "x.com") for i, e in enumerate(emails)],
+                                     f"_row_id long, `{S.EMAIL}` string, `{S.WEBSITE}` string")
+        return [(r[S.EMAIL], r[S.TITLE], r["_enrichment_error"]) for r in enrich_records(
+            rows, provider, orgs, batch_size=1, ledger=ledger).frame.orderBy("_row_id").collect()]
+
+    def asked(endpoint):
+        return {r["run"]: (r["n_asked"], r["n_failed"]) for r in ledger.asked().where(F.col("endpoint") == endpoint).collect()}
+
+    ledger = ReplyLedger(spark, tmpdir_path + "/replies")
+    got = run(["a@x.com", "none@x.com", "bad@x.com", "a@x.com", None])
+    assert got[0] == ("a@x.com", "Lead a@x.com", "") and got[3] == got[0]
+    assert got[1] == ("none@x.com", "", "") and got[2] == ("bad@x.com", "", "refused")
+    first = asked(PEOPLE_ENDPOINT)[1]
+    assert first[1] == 1 and asked(ORG_ENDPOINT) == {1: (1, 0)}
+    again = run(["a@x.com", "none@x.com", "bad@x.com", "new@x.com"])
+    assert again[:3] == got[:3] and again[3][1] == "Lead new@x.com"
+    assert asked(PEOPLE_ENDPOINT) == {1: first, 2: (2, 1)}  # the failed one and the new one
+    assert asked(ORG_ENDPOINT) == {1: (1, 0)}
