@@ -3,6 +3,7 @@
 import csv
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,19 @@ def test_exports_in_order_by_the_writer(spark, tmpdir_path):
 def test_an_empty_export_has_a_header(spark, tmpdir_path):
     write_parts(spark.createDataFrame([], "a string, b string"), f"{tmpdir_path}/e", "csv")
     assert read_contacts(spark, f"{tmpdir_path}/e", "csv").collect() == []
+
+
+def test_lines_of_a_split_are_counted_as_they_are_read(spark, tmpdir_path):
+    write_rows(f"{tmpdir_path}/x.csv", [[f"u{i}", "one\ntwo" if i % 3 else "a", 'say "x\n"' if i % 5 == 0 else "", i] for i in range(300)])
+    want = sorted(tuple(r) for r in spark.read.options(header=True, multiLine=True, escape='"').csv(f"{tmpdir_path}/x.csv").collect())
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(most)
+    spark.conf.set(most, "7")  # what one batch counted goes on in the next
+    try:
+        plan = csv_records.records(spark, f"{tmpdir_path}/x.csv")._jdf.queryExecution().optimizedPlan().toString()
+        rows = read_contacts(spark, f"{tmpdir_path}/x.csv", "csv").orderBy("_row_id").collect()
+    finally:
+        spark.conf.set(most, old)
+    assert not re.search(r"windowspecdefinition\(path#\d+, block#\d+L?, at#", plan)  # no task sorts a split's lines
+    assert sorted(tuple(r)[:-1] for r in rows) == want
+    assert [r["n"] for r in rows] == [str(i) for i in range(300)]
