@@ -110,7 +110,8 @@ def upsert(truth: DataFrame, batch: DataFrame, now: str | Column | None = None,
 
     email = qcol(S.EMAIL)
     checkpoint_dir(batch.sparkSession)
-    batch = batch.checkpoint(eager=True)
+    # winners are a sort aggregate: each task sorts what its part holds, so parts are of bounded size
+    batch = batch.hint("rebalance", qcol(ROW_ID)).checkpoint(eager=True)
     repeated = batch.groupBy(ROW_ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_ID).head(1)
     if repeated:
         raise ValueError(f"_row_id {repeated[0][0]} occurs more than once in the batch")

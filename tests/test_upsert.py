@@ -219,3 +219,28 @@ def test_repeated_row_ids_are_refused(spark):
     batch = spark.createDataFrame([(1, "a@x.com"), (1, "b@x.com")], f"_row_id long, `{S.EMAIL}` string")
     with pytest.raises(ValueError, match="_row_id 1"):
         upsert(empty_truth(spark), batch, now="n")
+
+
+def test_a_batch_of_one_part_is_merged_in_several(spark, monkeypatch):
+    """The winners are a sort aggregate: what one task sorts must not be as large as the part that the batch came in."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from contactlake.sources.store import empty_truth
+
+    kept, made = DataFrame.checkpoint, []
+
+    def spy(df, eager=True):
+        out = kept(df, eager)
+        made.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(DataFrame, "checkpoint", spy)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1024")
+    try:
+        batch = spark.range(0, 4000, 1, 1).selectExpr("id AS _row_id", f"concat('u', id % 1000) AS `{S.EMAIL}`", f"cast(id AS string) AS `{S.FIRST}`")
+        state = {r[S.EMAIL]: r for r in upsert(empty_truth(spark), batch, now=NOW).state.collect()}
+    finally:
+        spark.conf.unset(size)
+    assert made[0] > 1
+    assert len(state) == 1000 and all(r[S.FIRST] == e[1:] and r[S.SN] == int(e[1:]) + 1 for e, r in state.items())
