@@ -101,9 +101,21 @@ FROM {orders} o
 """
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str, names: list[str]) -> DataFrame:
-    """Run shared SQL on Spark with the placeholders bound to the tables."""
-    return spark.sql(sql, **{n: read_table(spark, sf_dir, n) for n in names})
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all tasks by a hash of ``key``, before work that is heavy for each row.
+
+    A scan has as many splits as the file has bytes, but only those with the
+    start of a row group get rows: a table of one group is read by one task.
+    The number of parts grows with the splits, so their size is bounded.
+    """
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, 8 * df.rdd.getNumPartitions())
+    return df.repartition(parts, key)
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str, names: list[str], keys: dict[str, str] | None = None) -> DataFrame:
+    """Run shared SQL on Spark with the placeholders bound to the tables; those with a key in ``keys`` are dealt by it."""
+    tables = {n: read_table(spark, sf_dir, n) for n in names}
+    return spark.sql(sql, **{n: dealt(t, keys[n]) if n in (keys or {}) else t for n, t in tables.items()})
 
 
 def duck_sql(sql: str) -> str:
@@ -113,7 +125,7 @@ def duck_sql(sql: str) -> str:
 
 
 def raw_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark_sql(spark, sf_dir, RAW_CONTACTS_SQL, ["customer", "nation", "region"])
+    df = spark_sql(spark, sf_dir, RAW_CONTACTS_SQL, ["customer", "nation", "region"], {"customer": "c_custkey"})
     return df.toDF(*[RAW_HEADERS[c] for c in df.columns])
 
 
@@ -121,7 +133,7 @@ def incoming_updates(spark: SparkSession, sf_dir: str, prefixes=None) -> DataFra
     from .. import schema as S
 
     p = prefixes or S.DEFAULT_PREFIXES
-    df = spark_sql(spark, sf_dir, INCOMING_SQL, ["orders"])
+    df = spark_sql(spark, sf_dir, INCOMING_SQL, ["orders"], {"orders": "o_orderkey"})
     names = {"_row_id": "_row_id", "email": S.EMAIL, "fname": S.FIRST, "title": S.TITLE,
              "industry": S.INDUSTRY, "employees": S.EMPLOYEES,
              "seniority": p.person + "Seniority", "email_send": S.EMAIL_SEND}

@@ -247,3 +247,19 @@ def test_ledger_asks_only_what_is_unanswered(spark, tmpdir_path):
     assert again[:3] == got[:3] and again[3][1] == "Lead new@x.com"
     assert asked(PEOPLE_ENDPOINT) == {1: first, 2: (2, 1)}  # the failed one and the new one
     assert asked(ORG_ENDPOINT) == {1: (1, 0)}
+
+
+def test_tables_of_one_row_group_are_worked_on_by_many_tasks(spark, tmpdir_path):
+    from contactlake.plans.derived import incoming_updates, raw_contacts
+
+    def keep(df, name):
+        df.coalesce(1).write.parquet(f"{tmpdir_path}/{name}.parquet")
+
+    customers = spark.range(0, 400).selectExpr("nullif(id, 7) AS c_custkey", "id % 3 AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    keep(customers.unionByName(customers.limit(20)), "customer")
+    keep(spark.range(3).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name", "id % 2 AS n_regionkey"), "nation")
+    keep(spark.range(2).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name"), "region")
+    keep(spark.range(0, 500).selectExpr("id AS o_orderkey", "id % 90 AS o_custkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority"), "orders")
+    for df, n in ((raw_contacts(spark, tmpdir_path), 420), (incoming_updates(spark, tmpdir_path), 500)):
+        parts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert sum(parts) == n and len(parts) > 3 and max(parts) < n // 2
