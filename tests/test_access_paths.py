@@ -186,3 +186,19 @@ def test_lines_of_a_split_are_counted_as_they_are_read(spark, tmpdir_path):
     assert not re.search(r"windowspecdefinition\(path#\d+, block#\d+L?, at#", plan)  # no task sorts a split's lines
     assert sorted(tuple(r)[:-1] for r in rows) == want
     assert [r["n"] for r in rows] == [str(i) for i in range(300)]
+
+
+def test_page_index_has_a_bounded_number_of_folders(spark, tmpdir_path, monkeypatch):
+    from contactlake.operators import page_index
+
+    monkeypatch.setattr(page_index, "FOLDERS", 4, raising=False)
+    t = truth(spark, 1000, **{S.COMPANY: F.when(F.col("id") % 7 < 2, "Acme").otherwise("Other")}).repartition(5)
+    t = t.withColumn(S.SN, F.when(qcol(S.SN) > 4, qcol(S.SN)))  # two without a number
+    index = PageIndex(spark, f"{tmpdir_path}/few", width=100).build(t)
+    assert len([x for x in os.listdir(f"{tmpdir_path}/few/rows") if x.startswith("_")]) <= 4 + 2 + 1  # _SUCCESS is one
+    for filters in (None, {S.COMPANY: "acm"}):
+        counts = index.counts(filters)
+        rows = apply_filters(t, filters).orderBy(qcol(S.SN)).select(qcol(S.SN)).collect()
+        for offset in (0, 1, 250, len(rows) - 3, 5000):
+            assert index.page(50, offset, filters, counts).select(qcol(S.SN)).collect() == rows[offset:offset + 50]
+            assert index.folders(50, offset, counts)[1] < 100
