@@ -235,12 +235,14 @@ def test_a_batch_of_one_part_is_merged_in_several(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(DataFrame, "checkpoint", spy)
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(size, "1024")
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for size in sizes:
+        spark.conf.set(size, "1024")
     try:
         batch = spark.range(0, 4000, 1, 1).selectExpr("id AS _row_id", f"concat('u', id % 1000) AS `{S.EMAIL}`", f"cast(id AS string) AS `{S.FIRST}`")
         state = {r[S.EMAIL]: r for r in upsert(empty_truth(spark), batch, now=NOW).state.collect()}
     finally:
-        spark.conf.unset(size)
+        for size in sizes:
+            spark.conf.unset(size)
     assert made[0] > 1
     assert len(state) == 1000 and all(r[S.FIRST] == e[1:] and r[S.SN] == int(e[1:]) + 1 for e, r in state.items())
