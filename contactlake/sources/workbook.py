@@ -8,11 +8,14 @@ column names; the data rows stay distributed and are projected with
 ``getItem``. Files that share a header share one projection.
 
 Writing: rows are range-partitioned by ``S.N.`` and every partition writes
-one workbook part (sheet ``Truth Data``) with inline strings.
+workbook parts (sheet ``Truth Data``) with inline strings, one after another.
+The number of partitions follows the rows, not the parts: a shuffle has a
+block for each pair of tasks, and parts may be small.
 """
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
@@ -35,13 +38,21 @@ _REL_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
 NA_TOKENS = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"}
 MAX_SHEET_ROWS = 1_048_576
+#: Rows of a task that writes workbooks, where there are more parts than tasks can run at once.
+ROWS_A_TASK = 50_000
 # --------------------------------------------------------------------------
 
 _CELL_REF = re.compile(r"^([A-Z]+)(\d+)$")
+# a path with its namespace is looked up without a parse of the path for each cell
+_ROW, _CELL, _VALUE, _INLINE, _TEXT = (f"{{{_NS['m']}}}{t}" for t in ("row", "c", "v", "is", "t"))
 
 
 def _col_index(ref: str) -> int:
-    letters = _CELL_REF.match(ref).group(1)
+    return _letters_index(_CELL_REF.match(ref).group(1))
+
+
+@functools.lru_cache(1 << 15)
+def _letters_index(letters: str) -> int:
     n = 0
     for ch in letters:
         n = n * 26 + (ord(ch) - 64)
@@ -49,7 +60,7 @@ def _col_index(ref: str) -> int:
 
 
 def _text_of(el) -> str:
-    return "".join(t.text or "" for t in el.iter(f"{{{_NS['m']}}}t"))
+    return "".join(t.text or "" for t in el.iter(_TEXT))
 
 
 def parse_xlsx(data: bytes) -> tuple[int, list[list[str | None]]]:
@@ -69,18 +80,19 @@ def parse_xlsx(data: bytes) -> tuple[int, list[list[str | None]]]:
             shared = [_text_of(si) for si in sst.findall("m:si", _NS)]
         sheet = ET.fromstring(z.read(path))
     rows: list[list[str | None]] = []
-    for row in sheet.iter(f"{{{_NS['m']}}}row"):
+    for row in sheet.iter(_ROW):
         r_idx = int(row.get("r")) - 1 if row.get("r") else len(rows)
         while len(rows) < r_idx:
             rows.append([])
         cells: list[str | None] = []
-        for pos, c in enumerate(row.findall("m:c", _NS)):
+        for pos, c in enumerate(row.findall(_CELL)):
             ref = c.get("r")
             idx = _col_index(ref) if ref else pos
             t = c.get("t")
-            v = c.find("m:v", _NS)
+            v = c.find(_VALUE)
             if t == "inlineStr":
-                val = _text_of(c.find("m:is", _NS)) if c.find("m:is", _NS) is not None else None
+                inline = c.find(_INLINE)
+                val = None if inline is None else _text_of(inline)
             elif v is None:
                 val = None
             elif t == "s":
@@ -167,12 +179,13 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float | None = N
     warnings: list[str] = []
     if any(h["sheets"] > 1 for h in heads):
         warnings.append(S.MSG_MULTIPLE_SHEETS)
-    if max_rows:
-        over = parsed.groupBy("path").agg(F.max("row_idx").alias("n")).where(F.col("n") > max_rows).limit(1).collect()
-        if over:
-            raise ValueError(f"File has {over[0]['n']} rows (max: {max_rows}).")
     data = parsed.where(F.col("row_idx") > 0)
-    width = data.agg(F.max(F.size("cells")).alias("w")).first()["w"] or 0
+    files_ = data.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("row_idx").alias("last"),
+                                      F.max(F.size("cells")).alias("width")).collect()
+    over = [r["last"] for r in files_ if max_rows and r["last"] > max_rows]
+    if over:
+        raise ValueError(f"File has {over[0]} rows (max: {max_rows}).")
+    width = max((r["width"] for r in files_), default=0)
     groups: dict[tuple, list[str]] = {}
     for h in heads:
         cells = list(h["cells"] or [])
@@ -194,9 +207,8 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float | None = N
         frame = frame.unionByName(f, allowMissingColumns=True)
     # position = rows of earlier files + row index inside the file (rows of a
     # file are numbered contiguously by the parser): one count per file
-    counts = data.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, running = [], 0
-    for r in sorted(counts, key=lambda r: r["path"]):
+    for r in sorted(files_, key=lambda r: r["path"]):
         offsets.append((r["path"], running))
         running += int(r["n"])
     off = spark.createDataFrame(offsets or [("", 0)], "_file string, __off long")
@@ -207,6 +219,7 @@ def read_workbooks(spark: SparkSession, path: str, max_file_mb: float | None = N
 
 # ---------------------------------------------------------------- writing
 
+@functools.lru_cache(1 << 15)
 def _col_letter(i: int) -> str:
     s = ""
     i += 1
@@ -267,20 +280,24 @@ def build_xlsx(header: list[str], rows, sheet_name: str = S.EXPORT_SHEET) -> byt
 
 def export_workbooks(df: DataFrame, out_dir: str, rows_per_part: int = 500_000,
                      order_col: str = S.SN, sheet_name: str = S.EXPORT_SHEET) -> list[str]:
-    """Write ``df`` as workbook parts ``part-00000.xlsx`` ... in ``order_col``
-    order (range partitions, each at most one sheet). ``out_dir`` must be a
+    """Write ``df`` as workbook parts ``part-00000-00000.xlsx`` ... in
+    ``order_col`` order: range partitions, each of one part or more, of
+    ``rows_per_part`` rows at most and one sheet. ``out_dir`` must be a
     folder every executor can write (shared mount). Raises ``ValueError``
     ("No data to export") on an empty frame. Returns the part paths."""
     import os
 
-    if df.isEmpty():
-        raise ValueError(S.MSG_NO_DATA_EXPORT)
     ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)  # counted, sampled for its ranges and written
     n = df.count()
+    if not n:
+        raise ValueError(S.MSG_NO_DATA_EXPORT)
     parts = max(1, -(-n // rows_per_part))
+    tasks = min(parts, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK)))
     header = df.columns
     out_dir = posix_path(out_dir)
-    ordered = df.repartitionByRange(parts, F.col("`" + order_col + "`")).sortWithinPartitions(
+    ordered = df.repartitionByRange(tasks, F.col("`" + order_col + "`")).sortWithinPartitions(
         F.col("`" + order_col + "`"))
 
     def write(it):
@@ -288,18 +305,23 @@ def export_workbooks(df: DataFrame, out_dir: str, rows_per_part: int = 500_000,
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        rows = []
-        for pdf in it:
-            rows.extend(pdf.astype(object).where(pdf.notna(), None).values.tolist())
-        path = os.path.join(out_dir, f"part-{pid:05d}.xlsx")
-        if rows:
+        held, done = [], 0
+
+        def part(rows):
+            path = os.path.join(out_dir, f"part-{pid:05d}-{done:05d}.xlsx")
             os.makedirs(out_dir, exist_ok=True)
             with open(path + ".tmp", "wb") as fh:
                 fh.write(build_xlsx(header, rows, sheet_name))
             os.replace(path + ".tmp", path)
-            yield pd.DataFrame({"path": [path], "rows": [len(rows)]})
-        else:
-            yield pd.DataFrame({"path": [], "rows": []})
+            return pd.DataFrame({"path": [path], "rows": [len(rows)]})
+
+        for pdf in it:
+            held.extend(pdf.astype(object).where(pdf.notna(), None).values.tolist())
+            while len(held) > rows_per_part:
+                yield part(held[:rows_per_part])
+                held, done = held[rows_per_part:], done + 1
+        if held:
+            yield part(held)
 
     # positional names: mapInPandas resolves columns by name, and names such
     # as "S.N." are not valid attribute names there

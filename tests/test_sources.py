@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from contactlake import schema as S
 from contactlake.sources.files import read_contacts
 from contactlake.sources.store import TruthStore, empty_truth
-from contactlake.sources.workbook import build_xlsx, parse_xlsx, read_workbooks
+from contactlake.sources import workbook
+from contactlake.sources.workbook import build_xlsx, export_workbooks, parse_xlsx, read_workbooks
 
 
 def write(path, data):
@@ -278,3 +279,25 @@ def test_store_keeps_its_bucket_count_and_reports_a_broken_file(spark, tmpdir_pa
             out.write(b"broken")
     with pytest.raises(Exception):
         TruthStore(spark, f"{tmpdir_path}/t").read().count()
+
+
+def test_small_workbook_parts_share_tasks(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(workbook, "ROWS_A_TASK", 100)
+    rows = [(i, f"u{i}@x.com" if i % 7 else None) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "`S.N.` long, Email string").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            calls.add(len(frame))
+            yield frame
+
+    out = f"{tmpdir_path}/parts"
+    paths = export_workbooks(df.toDF("sn", "Email").mapInPandas(seen, "sn long, Email string").toDF("S.N.", "Email"),
+                             out, rows_per_part=20)
+    assert calls.value == len(rows)  # counted, sampled and written: computed once
+    sizes = [len(parse_xlsx(open(p, "rb").read())[1]) - 1 for p in paths]
+    assert sum(sizes) == len(rows) and max(sizes) <= 20 and len(paths) >= 50
+    assert len({p.split("-")[-2] for p in paths}) <= max(10, 2 * spark.sparkContext.defaultParallelism)
+    back = read_workbooks(spark, out).frame.orderBy("_row_id").collect()
+    assert [(r["_row_id"], int(r["S.N."]), r["Email"]) for r in back] == [(i - 1, i, e) for i, e in rows]
