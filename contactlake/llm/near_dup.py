@@ -25,7 +25,8 @@ pair of different classes in a bucket is decided, in one more pass:
   buckets together go to a list for each of these words and ``DEEP`` more; as
   the same texts share many buckets, that is less than each bucket's own
   lists. Pairs that share a bucket and ``DEEP`` + 1 of the words are compared
-  (all that share one, where a list is too large). Up to ``LARGE`` rows outside a list's largest class are compared
+  (where a list is too large, all that share one of the first fifth and one, which
+  similar texts do too; only with these words rows go on). Up to ``LARGE`` rows outside a list's largest class are compared
   there; a larger list is split by the buckets that its rows come from, then
   by the next common word in the same way. What is still larger after ``DEEP``
   steps (texts of the same words in another order) is compared like a small one.
@@ -263,30 +264,34 @@ def _near(n: str, other: str, fifth: int):
 def _mixed(entries: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Rows (key, id, n_words, class, p) of keys of several classes: with ``main``, the key's largest class, and
     whether the rows of other classes are ``few``."""
-    # most keys hold one class: what they need is one row a key
-    several = cut(entries.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
-                  .where("c0 <> c1").select("key"))
-    mixed_ = cut(entries.join(by_shuffle(several), "key"))
-    sizes = mixed_.groupBy("key", "class").agg(F.count("*").alias("n"))
-    keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"))
-               .select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
-    rows = mixed_.join(by_shuffle(keys), "key")
-    return rows.where("few"), cut(rows.where("NOT few").drop("main", "few"))
-
-
-def _across(rows: DataFrame, fifth: int, shared: int = 1) -> DataFrame:
+    # most keys hold one class: what they need is one row a key; the join has one row a key on its other side, and is made once
+    sizes = entries.groupBy("key", "class").agg(F.count("*").alias("n"))
+    keys = cut(sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("class", "n").alias("main"),
+                                        F.count("*").alias("classes"))
+               .where("classes > 1").select("key", "main", (F.col("n") - F.col("top") <= small).alias("few")))
+    rows = cut(entries.join(by_shuffle(keys), "key"))
+    return rows.where("few"), rows.where("NOT few").drop("main", "few")
+
+
+def _across(rows: DataFrame, fifth: int, shared: int = 1, words: int = 0) -> DataFrame:
     """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key.
 
     Where rows have the buckets that they come from, a pair has one in common.
     A pair is in ``shared`` keys, or in as many as similar texts of its length
-    have words in common, if that is less.
+    have words in common, if that is less. With ``words``, the rows of a key
+    have had that many words in common, the last at place ``p``: similar texts
+    have met at the first that they share, and so had few others before.
     """
     within = ["buckets"] if "buckets" in rows.columns else []
     out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
-                                             F.col("class").alias("o_class"), *[F.col(c).alias(f"o_{c}") for c in within])
+                                             F.col("class").alias("o_class"), F.col("p").alias("o_p"), *[F.col(c).alias(f"o_{c}") for c in within])
     met = rows.join(by_shuffle(out), "key").where(
         (F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
         & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
+    if words:
+        longest = F.greatest("n_words", "o_words")
+        spare = F.floor(longest / fifth) + F.lit(words - 1) - longest
+        met = met.where((F.col("p") <= F.col("n_words") + spare) & (F.col("o_p") <= F.col("o_words") + spare))
     if within:
         met = met.where(F.arrays_overlap("buckets", "o_buckets"))
     longer = F.col("longer")
@@ -385,8 +390,12 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
         depth += 1
         few, many = _mixed(cut(split), large if depth < DEEP else 1 << 62)
         # similar texts share one word more for each that the lists go further: where no list is left out, that many count
-        least = 1 + DEEP if depth == 1 and many.isEmpty() else 1
-        pairs = cut(pairs.unionByName(_across(few, fifth, least)).distinct())
+        least, step = (1 + DEEP, 0) if depth == 1 and many.isEmpty() else (1, max(1, depth - 1))
+        if least == 1:
+            # else the first that they share is enough: it is among the first fifth and one, the next is among one more
+            first = F.col("p") < F.floor(F.col("n_words") / fifth) + F.lit(step)
+            few, many = few.where(first), many.where(first)
+        pairs = cut(pairs.unionByName(_across(few, fifth, least, step)).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
     dropped(shared, *([] if rare is None else [rare]))

@@ -337,6 +337,29 @@ def test_rows_of_one_class_and_a_few_others_in_a_bucket(spark):
     assert got == all_pairs_classes(rows)
 
 
+def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
+    rng = random.Random(17)
+    template = [f"t{k}" for k in range(45)]
+    rows = []
+    for i in range(60):
+        own, shared = [f"o{i}-{k}" for k in range(15)], template[:: 1 if i % 2 else -1]
+        rows += [" ".join(own + shared), " ".join(own[:-2] + [f"x{i}", f"y{i}"] + shared)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    compared, checked = [], near_dup._checked
+
+    def counted(pairs, words, fifth):
+        compared.append(pairs.count())
+        return checked(pairs, words, fifth)
+
+    monkeypatch.setattr(near_dup, "_checked", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs, small=4, large=80).collect()}
+    assert got == all_pairs_classes(rows)
+    # the words of the template are among those beyond the first fifth and one: their lists are left out
+    assert compared[1] <= 2 * len(rows)
+
+
 def test_near_duplicates_keep_columns_of_any_name(spark):
     rows = [(i, t) for i, _, t in corpus(30)] + [(None, "no id"), (3, "other text of the same id " * 9), (2, corpus(30)[2][2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
