@@ -24,8 +24,9 @@ pair of different classes in a bucket is decided, in one more pass:
   it), and one more for each word that is taken further. Rows of all such
   buckets together go to a list for each of these words and ``DEEP`` more; as
   the same texts share many buckets, that is less than each bucket's own
-  lists. Pairs that share a bucket and ``DEEP`` + 1 of the words are compared
-  (where a list is too large, all that share one of the first fifth and one, which
+  lists. Pairs that share a bucket and ``DEEP`` + 1 of the words are compared;
+  of the lists in which a pair meets, only the last of these words' makes a row
+  of it (where a list is too large, all that share one of the first fifth and one, which
   similar texts do too; only with these words rows go on). Up to ``LARGE`` rows outside a list's largest class are compared
   there; a larger list is split by the buckets that its rows come from, then
   by the next common word in the same way. What is still larger after ``DEEP``
@@ -277,27 +278,34 @@ def _across(rows: DataFrame, fifth: int, shared: int = 1, words: int = 0) -> Dat
     """Pairs (a, b) of different classes in a key: the rows outside its main class, each with all of the key.
 
     Where rows have the buckets that they come from, a pair has one in common.
-    A pair is in ``shared`` keys, or in as many as similar texts of its length
-    have words in common, if that is less. With ``words``, the rows of a key
+    Where they have the words ``before`` the key's, a pair is made once: at the
+    word that is the ``shared``-th that it has in common, or the last that similar
+    texts of its length must have, if that is less. With ``words``, the rows of a key
     have had that many words in common, the last at place ``p``: similar texts
     have met at the first that they share, and so had few others before.
     """
-    within = ["buckets"] if "buckets" in rows.columns else []
+    within = [c for c in ("buckets", "before") if c in rows.columns]
     out = rows.where("class <> main").select("key", F.col("id").alias("o_id"), F.col("n_words").alias("o_words"),
                                              F.col("class").alias("o_class"), F.col("p").alias("o_p"), *[F.col(c).alias(f"o_{c}") for c in within])
     met = rows.join(by_shuffle(out), "key").where(
         (F.col("class") != F.col("o_class")) & _near("n_words", "o_words", fifth)
         & ((F.col("class") == F.col("main")) | (F.col("o_id") < F.col("id"))))
+    longest = F.greatest("n_words", "o_words")
     if words:
-        longest = F.greatest("n_words", "o_words")
         spare = F.floor(longest / fifth) + F.lit(words - 1) - longest
         met = met.where((F.col("p") <= F.col("n_words") + spare) & (F.col("o_p") <= F.col("o_words") + spare))
-    if within:
+    if "buckets" in within:
         met = met.where(F.arrays_overlap("buckets", "o_buckets"))
-    longer = F.col("longer")
-    return (met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), F.greatest("n_words", "o_words").alias("longer"))
-            .groupBy("a", "b").agg(F.count("*").alias("n"), F.max("longer").alias("longer"))
-            .where(F.col("n") >= F.least(F.lit(shared), longer - F.floor(longer / fifth))).select("a", "b"))
+    if "before" in within:
+        met = met.where(F.size(F.array_intersect("before", "o_before")) + 1 == F.least(F.lit(shared), longest - F.floor(longest / fifth)))
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
+def _in_a_bucket(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have a bucket in common."""
+    of = lambda c: by_shuffle(buckets.select(F.col("id").alias(c), F.col("buckets").alias(f"{c}_buckets")))
+    return (pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("a_buckets", "b_buckets"))
+            .select("a", "b").distinct())
 
 
 def _frequencies(words: DataFrame) -> np.ndarray:
@@ -332,7 +340,7 @@ def rare_words(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _rare(words: DataFrame, fifth: int) -> DataFrame:
-    """id and rare: the first words of each text's row of rare words, with their places."""
+    """id, n_words and rare: the first words of each text's row of rare words, with their places."""
     counts, kind = _frequencies(words), words.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -342,9 +350,11 @@ def _rare(words: DataFrame, fifth: int) -> DataFrame:
             ends = np.append(0, np.cumsum([len(x[0]) for x in found])).astype(np.int32)
             none = [np.zeros(0, np.int64)]
             made = pa.StructArray.from_arrays([pa.array(np.concatenate(none + [x[k] for x in found])) for k in (0, 1)], names=["p", "e"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), made)], names=["id", "rare"])
+            n = pa.array([len(x) // 4 for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.ListArray.from_arrays(pa.array(ends), made)],
+                                             names=["id", "n_words", "rare"])
 
-    return words.select("id", "words").mapInArrow(run, f"id {kind}, rare array<struct<p:bigint,e:bigint>>")
+    return words.select("id", "words").mapInArrow(run, f"id {kind}, n_words long, rare array<struct<p:bigint,e:bigint>>")
 
 
 def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int = LARGE) -> DataFrame:
@@ -369,13 +379,15 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
     each = shared.select("key", "id", "n_words").join(by_shuffle(roots), "id", "left").select(
         "key", "id", "n_words", F.coalesce("root", "id").alias("class"), F.lit(-1).cast("long").alias("p"))
     pairs, many = _mixed(each, small)
-    pairs, depth, rare = _across(pairs, fifth), 0, None
+    pairs, depth, kept = _across(pairs, fifth), 0, []
     released(spark)
     if not many.isEmpty():
         some = words.join(by_shuffle(many.select("id").distinct()), "id", "left_semi")
         rare = stored(_rare(some, fifth), "near-rare")
-        many = many.groupBy("id", "n_words", "class", "p").agg(F.collect_set("key").alias("buckets")).withColumn(
-            "key", F.lit(0).cast("long"))
+        # a row's buckets are kept apart from its entries in the first lists: the same for each of them
+        buckets = stored(many.groupBy("id", "n_words").agg(F.collect_set("key").alias("buckets")), "near-lists")
+        kept = [rare, buckets]
+        many = many.select(F.lit(0).cast("long").alias("key"), "id", "n_words", "class", "p").distinct()
     while not many.isEmpty():
         if depth == 1:
             split = (many.withColumn("bucket", F.explode("buckets"))
@@ -384,21 +396,29 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
             # the lists go DEEP words further at first, see below
             reach = F.floor(F.col("n_words") / fifth) + 1 + F.lit(depth - 1 if depth else DEEP)
             next_ = F.explode_outer(F.filter("rare", lambda x: (x["p"] > F.col("p")) & (x["p"] < reach)))
-            split = (many.join(by_shuffle(rare), "id").select("key", "id", "n_words", "class", "buckets", next_.alias("x"))
-                     .where("x IS NOT NULL").select(F.xxhash64("key", "x.e").alias("key"), "id", "n_words", "class",
-                                                    "buckets", F.col("x.p").alias("p")))
+            split = (many.join(by_shuffle(rare), ["id", "n_words"]).select(*many.columns, next_.alias("x")).where("x IS NOT NULL")
+                     .withColumn("key", F.xxhash64("key", "x.e")).withColumn("p", F.col("x.p")).drop("x"))
         depth += 1
-        few, many = _mixed(cut(split), large if depth < DEEP else 1 << 62)
-        # similar texts share one word more for each that the lists go further: where no list is left out, that many count
-        least, step = (1 + DEEP, 0) if depth == 1 and many.isEmpty() else (1, max(1, depth - 1))
-        if least == 1:
+        split = stored(split, "near-split")
+        few, many = _mixed(split, large if depth < DEEP else 1 << 62)
+        dropped(split)
+        if depth == 1 and many.isEmpty():
+            # similar texts share one word more for each that the lists go further: where no list is left out, that many count
+            before = F.transform(F.filter("rare", lambda x: x["p"] < F.col("p")), lambda x: x["e"])
+            few = few.join(by_shuffle(rare), ["id", "n_words"]).select(*few.columns, before.alias("before"))
+            new = _in_a_bucket(cut(_across(few, fifth, 1 + DEEP)), buckets)
+        else:
             # else the first that they share is enough: it is among the first fifth and one, the next is among one more
+            step = max(1, depth - 1)
             first = F.col("p") < F.floor(F.col("n_words") / fifth) + F.lit(step)
             few, many = few.where(first), many.where(first)
-        pairs = cut(pairs.unionByName(_across(few, fifth, least, step)).distinct())
+            if depth == 1:
+                few, many = (x.join(by_shuffle(buckets), ["id", "n_words"]) for x in (few, many))
+            new = _across(few, fifth, words=step)
+        pairs = cut(pairs.unionByName(new).distinct())
         released(spark)
     pairs = cut(pairs.join(by_shuffle(done), ["a", "b"], "left_anti"))
-    dropped(shared, *([] if rare is None else [rare]))
+    dropped(shared, *kept)
     return found.unionByName(_checked(pairs, words, fifth))
 
 

@@ -360,6 +360,21 @@ def test_texts_of_one_template_are_not_all_compared(spark, monkeypatch):
     assert compared[1] <= 2 * len(rows)
 
 
+def test_a_pair_of_many_common_words_is_made_once_in_the_lists(spark):
+    # texts 1 and 2 share words 0 .. 29, texts 1 and 3 only 0, 2, 4, ... 18
+    shares = {1: range(30), 2: range(30), 3: range(0, 20, 2), 4: range(100, 130)}
+    rows = [(e, i, 60, i, p, 4, list(ws)[:p]) for i, ws in shares.items() for p, e in enumerate(ws)]
+    schema = "key long, id long, n_words long, class long, p long, main long, before array<long>"
+    met = []
+    for key in range(30):  # each list by itself
+        some = spark.createDataFrame([r for r in rows if r[0] == key], schema)
+        if key in (0, 5, 9, 12, 13, 18, 29):
+            met += [(key, r["a"], r["b"]) for r in near_dup._across(some, 5, 13).collect()]
+    assert met == [(12, 1, 2)]
+    got = near_dup._across(spark.createDataFrame(rows, schema), 5, 5).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_near_duplicates_keep_columns_of_any_name(spark):
     rows = [(i, t) for i, _, t in corpus(30)] + [(None, "no id"), (3, "other text of the same id " * 9), (2, corpus(30)[2][2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
