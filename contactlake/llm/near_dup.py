@@ -281,7 +281,7 @@ def _across(rows: DataFrame, fifth: int, shared: int = 1, words: int = 0) -> Dat
     Where they have the words ``before`` the key's, a pair is made once: at the
     word that is the ``shared``-th that it has in common, or the last that similar
     texts of its length must have, if that is less. With ``words``, the rows of a key
-    have had that many words in common, the last at place ``p``: similar texts
+    have had at most that many words in common, the last at place ``p``: similar texts
     have met at the first that they share, and so had few others before.
     """
     within = [c for c in ("buckets", "before") if c in rows.columns]
@@ -402,11 +402,15 @@ def links(texts: DataFrame, small: int = SMALL, fifth: int = FIFTH, large: int =
         split = stored(split, "near-split")
         few, many = _mixed(split, large if depth < DEEP else 1 << 62)
         dropped(split)
+        released(spark)
         if depth == 1 and many.isEmpty():
             # similar texts share one word more for each that the lists go further: where no list is left out, that many count
             before = F.transform(F.filter("rare", lambda x: x["p"] < F.col("p")), lambda x: x["e"])
-            few = few.join(by_shuffle(rare), ["id", "n_words"]).select(*few.columns, before.alias("before"))
-            new = _in_a_bucket(cut(_across(few, fifth, 1 + DEEP)), buckets)
+            # the first words of a row have too few before them to be the last of these
+            last = F.size(before) + 1 >= F.least(F.lit(1 + DEEP), F.col("n_words") - F.floor(F.col("n_words") / fifth))
+            few = (few.join(by_shuffle(rare), ["id", "n_words"]).where(last)
+                   .select(*few.columns, before.alias("before")))
+            new = _in_a_bucket(cut(_across(few, fifth, 1 + DEEP, 1 + DEEP)), buckets)
         else:
             # else the first that they share is enough: it is among the first fifth and one, the next is among one more
             step = max(1, depth - 1)
