@@ -5,6 +5,7 @@ import os
 import random
 import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +213,86 @@ def test_top_k_of_large_components_is_exact():
     assert topk._scores(q, c, 1024.0)[0].tolist() == want
 
 
+def test_top_k_moves_little(spark):
+    """Bytes in shuffle files: queries met every shuffle partition as float64 before, which filled the disk at 6 GB."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {str(f): f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    confs = {"spark.sql.shuffle.partitions": "300", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {c: spark.conf.get(c) for c in confs}
+    whole, before = np.floor(1024 * x.astype("float32")).astype(int), files()
+    try:
+        for c, value in confs.items():
+            spark.conf.set(c, value)
+        got = topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    moved = sum(n for f, n in files().items() if f not in before)
+    assert moved < 4 * x.size * 4
+    want = [(q, k + 1, i, s) for q in range(0, len(x), 100) for k, (s, i) in enumerate(
+        sorted(((s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q), key=lambda x: (-x[0], x[1]))[:10])]
+    assert sorted(tuple(r) for r in got) == want
+
+
+@pytest.mark.parametrize("k, tile, high, dtype", [(3, 64, 3, "f4"), (10, 100, 1, "f4"), (5, 2048, 40, "f8"), (40, 33, 2, "f8"),
+                                                  (3, 50, 1 << 31, "f8"), (1, 1, 3, "f4")])
+def test_cell_keeps_the_best(k, tile, high, dtype, monkeypatch):
+    """Ties, repeated ids, rows of a query's own id; many merges."""
+    monkeypatch.setattr(topk, "MERGE_ROWS", 50)
+    rng = np.random.default_rng(k)
+    q_ids = rng.permutation(600)[:300].astype(np.int64) - 100
+    q = rng.integers(-high, high + 1, (300, 4)).astype(dtype)
+    ids = rng.integers(-100, 500, 900).astype(np.int64)
+    c = rng.integers(-high, high + 1, (900, 4)).astype(dtype)
+    ids[:40], c[:40] = q_ids[0], q[0]
+    cell, at = topk.Cell(k, tile), 0
+    cell.add(0, q_ids[:200], q[:200])
+    cell.add(0, q_ids[200:], q[200:])
+    while at < 900:
+        n = int(rng.integers(1, 60))
+        cell.add(1, ids[at: at + n], c[at: at + n])
+        at += n
+    rows = [np.frombuffer(x, "<i8").reshape(-1, 3) for b in cell.found(7) for x in b.column("lists").to_pylist()]
+    got = sorted(tuple(r) for r in topk.merged(np.concatenate(rows), k).tolist())
+    want = []
+    for i, x in zip(q_ids.tolist(), q.astype(int).tolist()):
+        scores = [(min(max(sum(a * b for a, b in zip(x, y)), -2 ** 63), 2 ** 63 - 1), j)
+                  for y, j in zip(c.astype(int).tolist(), ids.tolist()) if j != i]
+        want += [(i, j, s) for s, j in sorted(scores, key=lambda z: (-z[0], z[1]))[:k]]
+    assert got == sorted(want)
+
+
+def test_top_k_of_mixed_widths(spark):
+    """Vectors whose components fit in 16 bits and others, of several lengths, in one table."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 2) * (1e5 if i % 5 == 0 else 1.0)]) for i in range(300)]
+    rows += rows[40:60]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [int(np.floor(1024 * y)) for y in v]) for i, v in rows]
+    want = []
+    for q, x in dict(whole).items():
+        if q % 10 < 2:
+            found = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q and len(y) == len(x))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:10])]
+    for tile in (2048, 5):
+        assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 < 2, tile=tile).collect()) == sorted(want)
+
+
+def test_grid_moves_few_times_the_vectors():
+    for n in (10_000, 15_000_000, 80_000_000):
+        for tasks in (12, 200, 600, 3000):
+            down, across = topk.grid(n, n // 100, n // 100 * 128, 10, tasks, 6)
+            moved = across * n * 128 + down * (n // 100) * (128 + 240)
+            assert 6 <= down * across and moved < 8 * n * 128  # of the packed vectors, which are half of the floats
+    assert topk.grid(0, 0, 0, 10, 12, 4)[0] >= 1
+    down, across = topk.grid(10 ** 6, 10 ** 6, 128 * 10 ** 6, 10, 200, 6)
+    assert down * across >= 6 and (2 * 128 + 480) * 10 ** 6 / across <= topk.HELD_BYTES
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     import public_tokenizers
